@@ -94,17 +94,12 @@ VIEWS: dict[str, str] = {
               FROM lineitem GROUP BY l_orderkey, l_linenumber) AS l
         JOIN t_item AS i ON i.name = CAST(l.partkey AS STRING)""",
     "t_productie_module": """
-        SELECT 'PM-' || name AS name, 'PROD-' || parent AS parent, idx, docstatus_p AS docstatus, parent AS offerte,
-               name AS quotation_item, item_code, item_name AS module, CAST(done AS DECIMAL(18,6)) AS qty, verwerkt
-        FROM (SELECT name, parent, idx, item_code, item_name,
-                     CASE WHEN idx % 3 = 0 THEN 1 ELSE 0 END AS docstatus_p,
-                     CASE WHEN idx % 3 = 0 THEN floor(qty / 2) ELSE idx - 1 END AS done,
-                     CASE WHEN idx % 3 = 0 OR idx = 5 THEN 1 ELSE 0 END AS verwerkt
-              FROM t_quotation_item) AS a
-        UNION ALL
-        SELECT 'PM2-' || name AS name, 'PROD-' || parent AS parent, idx, 1 AS docstatus, parent AS offerte,
-               name AS quotation_item, item_code, item_name AS module, CAST(qty - floor(qty / 2) AS DECIMAL(18,6)) AS qty, 1 AS verwerkt
-        FROM t_quotation_item WHERE idx = 6""",
+        SELECT CASE WHEN turn = 1 THEN 'PM-' ELSE 'PM2-' END || name AS name, 'PROD-' || parent AS parent, idx,
+               CASE WHEN idx % 3 = 0 THEN 1 ELSE 0 END AS docstatus, parent AS offerte, name AS quotation_item, item_code, item_name AS module,
+               CAST(CASE WHEN turn = 2 THEN qty - floor(qty / 2) WHEN idx % 3 = 0 THEN floor(qty / 2) ELSE idx - 1 END AS DECIMAL(18,6)) AS qty,
+               CASE WHEN idx % 3 = 0 OR idx = 5 THEN 1 ELSE 0 END AS verwerkt
+        FROM (SELECT name, parent, idx, item_code, item_name, qty, EXPLODE[1, 2] AS turn FROM t_quotation_item) AS e
+        WHERE turn = 1 OR idx = 6""",
     "t_bin": """
         SELECT CAST(l_partkey AS STRING) AS item_code, 'WH-' || CAST(l_suppkey % 3 AS STRING) AS warehouse,
                CAST(sum(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN -1 ELSE 0 END * CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(18,6)) AS actual_qty,
@@ -278,25 +273,41 @@ def with_views(sql: str, engine: str = "duckdb") -> str:
 
 
 class DerivedTables(Mapping[str, DataFrame]):
-    """The ERP tables over a folder of star-schema parquet files, lazily."""
+    """The ERP tables over a folder of star-schema parquet files, lazily.
+
+    Raw and derived tables are temporary views of the session, named after the folder,
+    so that a table is listed and analysed once per session.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self._spark = spark
         self._folder = folder.rstrip("/")
-        self._made: dict[str, DataFrame] = {}
+        self._prefix = "bomwerk_" + re.sub(r"\W", "_", self._folder).lower() + "_"
+
+    def _view(self, name: str) -> str:
+        view = self._prefix + name
+        if not self._spark.catalog.tableExists(view):
+            if name in RAW:
+                rows = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+            else:
+                rows = self._spark.sql(self._with_views_of(_dialect(VIEWS[name], "spark")))
+            rows.createOrReplaceTempView(view)
+        return view
+
+    def _with_views_of(self, query: str) -> str:
+        """Point the table names of a query (after FROM and JOIN) at the session's views."""
+        return re.sub(
+            r"\b(FROM|JOIN) (\w+)",
+            lambda found: f"{found[1]} {self._view(found[2])} AS {found[2]}"
+            if not re.match(r"\s+AS\b", query[found.end():])
+            else f"{found[1]} {self._view(found[2])}",
+            query,
+        )
 
     def __getitem__(self, name: str) -> DataFrame:
         if f"t_{name}" not in VIEWS:
             raise KeyError(name)
-        if name not in self._made:
-            query = with_views(f"SELECT * FROM t_{name}", "spark")
-            raw = [
-                f"{table} AS (SELECT * FROM parquet.`{self._folder}/{table}.parquet`)"
-                for table in RAW
-                if re.search(rf"\b{table}\b", query)
-            ]
-            self._made[name] = self._spark.sql("WITH " + ",\n".join(raw) + ",\n" + query[5:])
-        return self._made[name]
+        return self._spark.table(self._view(f"t_{name}"))
 
     def __iter__(self) -> Iterator[str]:
         return (name[2:] for name in VIEWS)
