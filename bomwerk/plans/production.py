@@ -251,10 +251,9 @@ def material_issue_lines(tables: Tables, rows: DataFrame | None = None) -> DataF
     quotations = tables["quotation"].select(
         F.col("name").alias("offerte"), F.col("klant_referentie").alias("ref"), F.col("hpl_variant").alias("variant")
     )
-    batch = F.when(F.col("has_batch_no") == 1, F.concat_ws("-", "ref", "item_code", "variant")).otherwise("")
-    complete = F.col("ref").isNotNull() & F.col("variant").isNotNull()
-    # the direct branch loses its batch, and a batch without reference or variant has no number
-    batch_no = F.when((F.col("branch") == "exploded") & (complete | (F.col("has_batch_no") != 1)), batch)
+    number = F.concat("ref", F.lit("-"), "item_code", F.lit("-"), "variant")
+    # the direct branch loses its batch
+    batch_no = F.when(F.col("branch") == "exploded", F.when(F.col("has_batch_no") == 1, number).otherwise(""))
     return (
         rows.join(_issue_parts(tables), "product")
         .join(quotations, "offerte")
