@@ -9,11 +9,12 @@ def oracle(sql: str) -> str:
     """Complete a query text.
 
     Its first line names the output columns with their type: ``n`` number, ``i``
-    integer, ``d`` date, ``s`` text. The types are cast at the end, the ERP tables it
+    integer, ``d`` date, ``t`` time, ``s`` text. The types are cast at the end, the ERP tables it
     mentions are put in front.
     """
     head, body = sql.strip().split("\n", 1)
-    casts = {"n": "CAST({0} AS DOUBLE)", "i": "CAST({0} AS BIGINT)", "d": "CAST(CAST({0} AS DATE) AS VARCHAR)", "s": "{0}"}
+    casts = {"n": "CAST({0} AS DOUBLE)", "i": "CAST({0} AS BIGINT)", "d": "CAST(CAST({0} AS DATE) AS VARCHAR)",
+             "t": "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')", "s": "{0}"}
     columns, kind = [], "s"
     for word in head.split():
         if word.endswith(":"):

@@ -25,7 +25,7 @@ leads AS (
 ADDRESS = "'Straat ' || (o_orderkey % 100) || '<br>' || (1000 + o_orderkey % 9000) || ' AB Plaats ' || (o_custkey % 25)"
 
 QUERIES = {
-    "quote_lines": f"""s: request_id received_at i: pos sequence s: item_code item_name description variant_code variant_naam n: qty s: uom i: conversion_factor s: image item_group n: rate amount s: warehouse n: bpm
+    "quote_lines": f"""s: request_id t: received_at i: pos sequence s: item_code item_name description variant_code variant_naam n: qty s: uom i: conversion_factor s: image item_group n: rate amount s: warehouse n: bpm
 {READ}
 --main
 SELECT request_id, received_at, pos, line AS sequence, item_code, 'Artikel ' || partkey AS item_name, 'Regel ' || line AS description, 'V' || line AS variant_code,
@@ -61,7 +61,7 @@ SELECT q.request_id, l.lead, 'Lead' AS quotation_to, 'Klant ' || q.cid AS custom
        q.o_orderkey % 1000 AS interieur_bedrag, q.o_custkey % 1000 AS styling_bedrag, 0 AS accessoires_bedrag, 21 AS vat_rate, 1 AS vat_included,
        'Betaling in 2 termijnen' AS payment_terms_template
 FROM req q JOIN leads l ON l.configurator_id = q.cid""",
-    "request_archive": """s: request_id received_at api_data
+    "request_archive": """s: request_id t: received_at s: api_data
 SELECT request_id, received_at, payload AS api_data FROM t_quote_request WHERE json_valid(payload)""",
     "lead_lookup": f"""s: request_id configurator_id lead
 {READ}
