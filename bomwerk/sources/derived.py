@@ -237,6 +237,20 @@ VIEWS: dict[str, str] = {
                    || '","aantal":' || CAST(aantal AS STRING) || ',"artikel_prijs":' || CAST(prijs AS STRING)
                    || ',"afbeelding_link":"https://example.org/i/' || CAST(partkey AS STRING) || '"}}' ORDER BY line) AS articles
           FROM t_request_line GROUP BY orderkey) AS a ON orderkey = o_orderkey""",
+    "t_artikel_variant": """
+        SELECT 'V' || CAST(n_nationkey % 20 AS STRING) AS variant_code, CASE WHEN n_regionkey = 0 THEN '' ELSE n_name END AS variant_details FROM nation""",
+    "t_materiaal_variant": """
+        SELECT 'HPL' || CAST(r_regionkey AS STRING) AS variant_code, r_name AS variant_details FROM region""",
+    "t_levertijd_categorie": """
+        SELECT r_name AS levertijd_categorie, CASE WHEN r_regionkey = 2 THEN NULL ELSE CAST(r_regionkey * 0.5 AS DECIMAL(18,6)) END AS levertijd_factor FROM region""",
+    "t_handeling_activiteit": "SELECT 'Handeling ' || CAST(n_regionkey AS STRING) AS handeling FROM nation",
+    "t_handeling_artikelen": """
+        SELECT 'Handeling ' || CAST(n_regionkey AS STRING) AS parent, n_nationkey AS idx,
+               CASE WHEN n_nationkey = 3 THEN NULL ELSE n_name END AS handeling_activiteit FROM nation""",
+    "t_klant_updates": """
+        SELECT 'PORTAAL-' || CAST(user_id AS STRING) AS parent, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(ts AS DATE) END AS datum,
+               CASE WHEN event_type = 'click' THEN '' ELSE props END AS update_tekst FROM events""",
+    "t_instellingen": "SELECT CAST(67.5 AS DECIMAL(18,2)) AS standaard_uurtarief FROM region WHERE r_regionkey = 0",
     "t_report_request": """
         SELECT name AS request_id, parent AS quotation, 'BOM-' || item_code AS bom, CAST(qty AS INT) - 5 AS qty_to_produce
         FROM t_quotation_item""",

@@ -54,4 +54,11 @@ SCHEMAS: dict[str, str] = {
     "journal": f"name STRING, customer STRING, posting_date DATE, grand_total {MONEY}",
     "quote_request": "request_id STRING, received_at TIMESTAMP, payload STRING",
     "report_request": "request_id STRING, quotation STRING, bom STRING, qty_to_produce INT",
+    "artikel_variant": "variant_code STRING, variant_details STRING",
+    "materiaal_variant": "variant_code STRING, variant_details STRING",
+    "levertijd_categorie": f"levertijd_categorie STRING, levertijd_factor {QTY}",
+    "handeling_activiteit": "handeling STRING",
+    "handeling_artikelen": "parent STRING, idx INT, handeling_activiteit STRING",
+    "klant_updates": "parent STRING, datum DATE, update_tekst STRING",
+    "instellingen": f"standaard_uurtarief {MONEY}",
 }
