@@ -230,7 +230,7 @@ VIEWS: dict[str, str] = {
                       || ',"interieur_bedrag":' || CAST(o_orderkey % 1000 AS STRING)
                       || ',"styling_bedrag":' || CAST(o_custkey % 1000 AS STRING)
                       || ',"accessoires_bedrag":0,"artikelen":{"artikelen":[' || coalesce(articles, '') || ']}}]}' END AS payload
-        FROM orders LEFT JOIN (
+        FROM (SELECT /*+ REPARTITION(o_orderkey) */ * FROM orders) AS o LEFT JOIN (
           SELECT orderkey, CONCAT_ROWS('{"artikelen":{"sequence":' || CAST(line AS STRING) || ',"artikel_code":' || CAST(partkey AS STRING)
                    || ',"artikel_naam":"Artikel ' || CAST(partkey AS STRING) || '","helptext":"Regel ' || CAST(line AS STRING)
                    || '","variant_code":"V' || CAST(line AS STRING) || '","variant_naam":"Variant ' || CAST(line AS STRING)

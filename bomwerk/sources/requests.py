@@ -52,7 +52,11 @@ PAYLOAD = T.StructType(
 def parse_requests(requests: DataFrame) -> DataFrame:
     """Requests with their header fields, articles and ``reason``, NULL for a usable request."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = requests.withColumn("_p", F.from_json("payload", PAYLOAD, options))
+    # a generator of one row: the optimizer would otherwise copy the parsing into every
+    # expression and filter that uses its result
+    parsed = requests.select(
+        "request_id", "received_at", "payload", F.explode(F.array(F.from_json("payload", PAYLOAD, options))).alias("_p")
+    )
     # get() gives NULL for a missing element
     header = parsed.withColumn("_h", F.get("_p.root", F.lit(0)))
     reason = (
