@@ -236,55 +236,54 @@ def _uncovered_boms(tables: Tables) -> DataFrame:
 
 def replenishment(
     tables: Tables,
-    two_bin: bool,
-    stocked: bool,
-    guard: str = "off",
+    two_bin: bool | None = None,
+    stocked: bool | None = None,
+    guard: str = "global",
     excluded_groups: Sequence[str] = EXCLUDED_GROUPS,
 ) -> DataFrame:
     """Items below their safety stock that are no product of a bill of material.
 
-    ``stocked`` looks at items with bins, otherwise at items without any. ``guard``:
-    ``global`` returns nothing while any unquoted product has an exploded bill of
-    material (what the reference does), ``per_item`` leaves out the components of
-    such products, ``off`` does neither.
+    ``two_bin`` and ``stocked`` (has any bin) choose one of four sources, None takes both
+    sides in the same pass; ``source`` names it. ``guard`` concerns items that are not
+    two-bin: ``global`` returns none while any unquoted product has an exploded bill of
+    material (what the reference does), ``per_item`` leaves out the components of such
+    products, ``off`` does neither.
     """
-    flag = F.col("bakje_bakje")
+    is_two_bin, has_bin = F.col("bakje_bakje") == 1, F.col("n_bin").isNotNull()
     items = tables["item"].filter(
         (F.col("is_stock_item") == 1)
         & (F.col("safety_stock") > 0)
         & (F.col("disabled") != 1)
-        & (flag == 1 if two_bin else flag != 1)
+        & F.col("bakje_bakje").isNotNull()
     )
+    if two_bin is not None:
+        items = items.filter(is_two_bin if two_bin else ~is_two_bin)
     items = excluding(items, excluded_groups).select(
-        F.col("name").alias("item_code"), "item_name", "stock_uom", "purchase_uom", "safety_stock", "min_order_qty"
+        F.col("name").alias("item_code"), "item_name", "stock_uom", "purchase_uom", "safety_stock", "min_order_qty",
+        "bakje_bakje",
     )
     products = tables["bom"].select(F.col("item").alias("item_code")).distinct()
     rows = purchasable(tables, items).join(products, "item_code", "left_anti")
+    rows = rows.join(bins_per_item(tables), "item_code", "left")
+    if stocked is not None:
+        rows = rows.filter(has_bin if stocked else ~has_bin)
     if guard == "per_item":
-        blocked = (
-            components(tables).join(_uncovered_boms(tables), "bom", "left_semi").select("item_code").distinct()
-        )
-        rows = rows.join(blocked, "item_code", "left_anti")
-    bins = bins_per_item(tables)
-    if stocked:
-        copies = (F.col("n_supplier") * F.col("n_unit")).cast("decimal(12,0)")
-        rows = (
-            rows.join(bins, "item_code")
-            .withColumn("stock_qty", qty(F.col("sum_actual") * copies))
-            .withColumn("ordered_qty", qty(F.col("sum_ordered") * copies))
-        )
-    else:
-        rows = (
-            rows.join(bins.select("item_code"), "item_code", "left_anti")
-            .withColumn("stock_qty", F.lit(0).cast(SUM))
-            .withColumn("ordered_qty", F.lit(0).cast(SUM))
-        )
-    if guard == "global":
-        rows = rows.filter(~_uncovered_boms(tables).exists())
+        blocked = components(tables).join(_uncovered_boms(tables), "bom", "left_semi")
+        blocked = blocked.select("item_code", F.lit(True).alias("blocked")).distinct()
+        rows = rows.join(blocked, "item_code", "left").filter(is_two_bin | F.col("blocked").isNull())
+    elif guard == "global" and two_bin is not True:
+        rows = rows.filter(is_two_bin | ~_uncovered_boms(tables).exists())
+    # sums count once per supplier and unit row, as the reference joins before it sums
+    copies = (F.col("n_supplier") * F.col("n_unit")).cast("decimal(12,0)")
+    nothing = F.lit(0).cast(SUM)
+    rows = rows.withColumn("stock_qty", F.when(has_bin, qty(F.col("sum_actual") * copies)).otherwise(nothing))
+    rows = rows.withColumn("ordered_qty", F.when(has_bin, qty(F.col("sum_ordered") * copies)).otherwise(nothing))
     factor, least = F.col("conversion_factor"), F.col("min_order_qty")
     short = F.col("stock_qty") - F.col("safety_stock")
     order = F.when(short > least * factor, ceil_div(F.abs(short), factor).cast(SUM)).otherwise(least.cast(SUM))
+    source = F.concat(F.when(is_two_bin, "bin_").otherwise(""), F.when(has_bin, "stocked").otherwise("unstocked"))
     return rows.filter(short < 0).select(
+        source.alias("source"),
         "item_code",
         "item_name",
         F.col("purchase_uom").alias("uom"),
@@ -301,20 +300,20 @@ def replenishment(
     )
 
 
-def replenish_stocked(tables: Tables, guard: str = "global", **params) -> DataFrame:
-    return replenishment(tables, two_bin=False, stocked=True, guard=guard, **params)
+def replenish_stocked(tables: Tables, **params) -> DataFrame:
+    return replenishment(tables, two_bin=False, stocked=True, **params).drop("source")
 
 
-def replenish_unstocked(tables: Tables, guard: str = "global", **params) -> DataFrame:
-    return replenishment(tables, two_bin=False, stocked=False, guard=guard, **params)
+def replenish_unstocked(tables: Tables, **params) -> DataFrame:
+    return replenishment(tables, two_bin=False, stocked=False, **params).drop("source")
 
 
 def replenish_bin_stocked(tables: Tables, **params) -> DataFrame:
-    return replenishment(tables, two_bin=True, stocked=True, **params)
+    return replenishment(tables, two_bin=True, stocked=True, **params).drop("source")
 
 
 def replenish_bin_unstocked(tables: Tables, **params) -> DataFrame:
-    return replenishment(tables, two_bin=True, stocked=False, **params)
+    return replenishment(tables, two_bin=True, stocked=False, **params).drop("source")
 
 
 def _sheet_rows(tables: Tables, guard: str) -> DataFrame:
@@ -326,19 +325,10 @@ def _sheet_rows(tables: Tables, guard: str) -> DataFrame:
         .drop("balance_qty")
         .withColumn("source", F.lit("demand"))
     )
-    branches = {
-        "stocked": replenish_stocked(tables, guard),
-        "unstocked": replenish_unstocked(tables, guard),
-        "bin_stocked": replenish_bin_stocked(tables),
-        "bin_unstocked": replenish_bin_unstocked(tables),
-    }
-    sheet = demand
-    for source, rows in branches.items():
-        # the sheet shows what is on order as order_qty and the proposal as qty
-        renamed = rows.withColumnsRenamed({"order_qty": "qty", "ordered_qty": "order_qty", "shortage": "balance"})
-        renamed = renamed.withColumn("status", F.lit("red")).withColumn("source", F.lit(source))
-        sheet = sheet.unionByName(renamed, allowMissingColumns=True)
-    return sheet
+    # the sheet shows what is on order as order_qty and the proposal as qty
+    names = {"order_qty": "qty", "ordered_qty": "order_qty", "shortage": "balance"}
+    below_safety = replenishment(tables, guard=guard).withColumnsRenamed(names).withColumn("status", F.lit("red"))
+    return demand.unionByName(below_safety, allowMissingColumns=True)
 
 
 def planning_sheet(tables: Tables, guard: str = "global", lines_per_part: int = LINES_PER_PART) -> DataFrame:

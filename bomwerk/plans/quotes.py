@@ -128,6 +128,11 @@ def _quote_date() -> Column:
     return F.to_date(F.split_part("offerte_datum", F.lit("T"), F.lit(1)))
 
 
+def _lead_name() -> Column:
+    """The known lead, else the name a new lead gets."""
+    return F.coalesce("lead", F.concat(F.lit("LD-"), "configurator_id"))
+
+
 def lead_upsert(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
     """One row per configurator id in the requests; an unknown id becomes a lead with the
     fields of its first request."""
@@ -142,7 +147,7 @@ def lead_upsert(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
     fields = ("lead_name", "email_id", "transaction_date", "customer_details", "mobile_no", "website")
     return first.join(_known_leads(tables), "configurator_id", "left").select(
         "configurator_id",
-        F.coalesce("lead", F.concat(F.lit("LD-"), "configurator_id")).alias("lead"),
+        _lead_name().alias("lead"),
         *[F.when(new, F.col(name)).alias(name) for name in fields],
         F.when(new, "Quotation").alias("status"),
         F.when(new, "Configurator").alias("source"),
@@ -153,10 +158,9 @@ def lead_upsert(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
 def quote_headers(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
     """One draft quotation per request."""
     rows = usable(_requests(tables, requests))
-    leads = lead_upsert(tables, requests).select("configurator_id", "lead")
-    return rows.join(leads, "configurator_id").select(
+    return rows.join(_known_leads(tables), "configurator_id", "left").select(
         "request_id",
-        "lead",
+        _lead_name().alias("lead"),
         F.lit("Lead").alias("quotation_to"),
         F.col("klant").alias("customer_name"),
         _quote_date().alias("transaction_date"),
