@@ -26,6 +26,7 @@ from bomwerk.operators.dimensions import (
     excluding,
     purchasable,
 )
+from bomwerk.operators.lookup import join_on_key
 from bomwerk.operators.ranking import numbered
 
 # Fixed values of the ERP: quotation states that need material, item groups bought elsewhere.
@@ -93,9 +94,7 @@ def _demand(
         F.sum("todo").cast("decimal(19,6)").alias("todo")
     )
     need = (
-        components(tables)
-        .join(active_boms(tables), "bom")
-        .join(per_product, "product")
+        join_on_key(components(tables).join(active_boms(tables), "bom"), per_product, {"product": "product"}, "inner")
         .groupBy("item_code")
         .agg(
             qty(F.sum(F.col("per_unit") * F.col("todo"))).alias("need"),
@@ -176,10 +175,9 @@ def planning_pegging_rows(
     the large result needs no distinct.
     """
     wanted = planned_items(tables, excluded_groups).select("item_code")
+    lines = components(tables).join(active_boms(tables), "bom")
     per_product = (
-        components(tables)
-        .join(active_boms(tables), "bom")
-        .join(wanted, "item_code", "left_semi")
+        join_on_key(lines, wanted, {"item_code": "item_code"}, "left_semi")
         .select("product", "bom", "item_code", "per_unit")
         .distinct()
     )
@@ -359,7 +357,7 @@ def purchase_order_lines(tables: Tables, delivery_date: str, guard: str = "globa
         .distinct()
     )
     wanted = _sheet_rows(tables, guard).filter(filled(F.col("supplier")) & (F.col("qty") > 0))
-    return wanted.join(drafts, "supplier", "left_anti").select(
+    return join_on_key(wanted, drafts, {"supplier": "supplier"}, "left_anti").select(
         "supplier",
         "source",
         "item_code",

@@ -60,11 +60,15 @@ def _modules(tables: Tables, groups: Sequence[str], status: str) -> DataFrame:
     ).otherwise(F.col("item_name"))
     # made is counted once per active bill of material of the product
     klaar = qty(F.coalesce("made", F.lit(0)) * F.col("n_bom").cast("decimal(10,0)"))
-    return (
+    lines = (
         lines.join(quotations, "quotation")
-        .join(bom_per_product(tables).withColumnRenamed("product", "item_code"), "item_code")
         .join(made, "quotation_item", "left")
-        .withColumn("klaar", klaar)
+    )
+    lines = lookup(
+        lines, bom_per_product(tables), {"item_code": "product"}, {"bom": "bom", "n_bom": "n_bom"}, how="inner"
+    )
+    return (
+        lines.withColumn("klaar", klaar)
         .filter(F.col("klaar") < F.col("besteld"))
         .withColumn("label", label)
         .withColumn("todo", (F.col("besteld") - F.col("klaar")).cast("decimal(19,6)"))
@@ -112,12 +116,9 @@ def check_parts(
         .filter(loose & (F.col("sub_assembly_voorraad") == 1))
         .withColumn("kind", F.lit("subassembly"))
     )
-    stock = bins_per_item(tables, only_positive=True, warehouses=warehouses).select("item_code", "max_actual")
-    return (
-        exploded.unionByName(direct)
-        .join(stock, "item_code", "left")
-        .select("bom", "item_code", "component_name", "per_unit", "kind", "max_actual")
-    )
+    stock = bins_per_item(tables, only_positive=True, warehouses=warehouses)
+    parts = exploded.unionByName(direct).select("bom", "item_code", "component_name", "per_unit", "kind")
+    return lookup(parts, stock, {"item_code": "item_code"}, {"max_actual": "max_actual"})
 
 
 def with_stock(
@@ -125,19 +126,13 @@ def with_stock(
 ) -> DataFrame:
     """Add ``actual_qty`` and ``enough``: whole sets a bin holds, or for batch items the
     unfloored share of the need that the ledger of this customer and variant covers."""
-    ledger = batch_ledger(tables, warehouses).select(
-        F.col("ref").alias("_ref"), F.col("variant").alias("_variant"),
-        F.col("item_code").alias("_item"), "ledger_qty",
-    )
-    same = [
-        F.lower("ref") == F.col("_ref"),
-        F.lower("variant") == F.col("_variant"),
-        F.col("item_code") == F.col("_item"),
-    ]
+    needs = needs.withColumn("_ref", F.lower("ref")).withColumn("_variant", F.lower("variant"))
+    batch_of = {"_ref": "ref", "_variant": "variant", "item_code": "item_code"}
+    needs = lookup(needs, batch_ledger(tables, warehouses), batch_of, {"ledger_qty": "ledger_qty"})
     is_batch = F.col("kind") == "batch"
     booked = F.coalesce("ledger_qty", F.lit(0).cast("decimal(28,6)"))
     return (
-        needs.join(ledger, same, "left")
+        needs.drop("_ref", "_variant")
         .withColumn("actual_qty", F.when(is_batch, booked).otherwise(F.col("max_actual")).cast("decimal(28,6)"))
         .withColumn(
             "enough",
@@ -271,9 +266,9 @@ def material_issue_headers(tables: Tables, rows: DataFrame | None = None) -> Dat
     quotations = tables["quotation"].select(F.col("name").alias("offerte"), F.lit(True).alias("quoted"))
     parts = _issue_parts(tables).select("product", "stock_qty", "rate")
     value = F.when(F.col("quoted"), _issued() * F.coalesce("rate", F.lit(0)))
+    rows = lookup(rows, bom_per_product(tables), {"product": "product"}, {"bom_no": "bom"}, how="inner")
     return (
-        rows.join(bom_per_product(tables).withColumnRenamed("bom", "bom_no"), "product")
-        .join(quotations, "offerte", "left")
+        rows.join(quotations, "offerte", "left")
         .join(parts, "product", "left")
         .groupBy("production_row", "offerte", "quotation_item", "product", "bom_no", "made")
         .agg(F.coalesce(F.sum(value), F.lit(0)).alias("value"))
@@ -306,7 +301,7 @@ def production_rows_kept(tables: Tables, rows: DataFrame | None = None) -> DataF
     """Production rows after processing: rows without quantity deleted, issued ones marked."""
     rows = draft_rows(tables) if rows is None else rows
     has_bom = bom_per_product(tables).select("product", F.lit(True).alias("has_bom"))
-    tried = _rows_to_issue(rows).join(has_bom, "product", "left").select(
+    tried = lookup(_rows_to_issue(rows), has_bom, {"product": "product"}, {"has_bom": "has_bom"}).select(
         F.col("production_row").alias("name"),
         F.when(F.col("has_bom"), 1).alias("verwerkt"),
         F.when(F.col("has_bom"), "issued").otherwise("no BOM").alias("log"),

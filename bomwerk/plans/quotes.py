@@ -158,7 +158,8 @@ def lead_upsert(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
 def quote_headers(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
     """One draft quotation per request."""
     rows = usable(_requests(tables, requests))
-    return rows.join(_known_leads(tables), "configurator_id", "left").select(
+    rows = lookup(rows, _known_leads(tables), {"configurator_id": "configurator_id"}, {"lead": "lead"})
+    return rows.select(
         "request_id",
         _lead_name().alias("lead"),
         F.lit("Lead").alias("quotation_to"),

@@ -22,46 +22,38 @@ def read_transactions(spark: SparkSession, folder: str, files_per_batch: int = 1
 
 
 def start_transactions(tables: Tables, transactions: DataFrame, out: str, **trigger) -> StreamingQuery:
-    """Check arriving transactions and write ``out/postings``, ``out/accepted`` and ``out/rejected``.
+    """Check arriving transactions and write ``out/checked`` and ``out/postings``.
 
-    Stateless: a transaction is held to the stock read when the stream started. Each
-    micro-batch overwrites its own folder, so a batch repeated after a failure leaves
-    one copy.
+    Stateless: a transaction is held to the stock in the snapshot of ``tables``. The
+    static joins are planned per micro-batch, adaptively. Each micro-batch overwrites
+    its own folders and posts from what it wrote, so a batch repeated after a failure
+    leaves one copy and no transaction is judged twice.
     """
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            sinks = {
-                "postings": to_post(batch),
-                "accepted": batch.filter(F.col("reason").isNull()),
-                "rejected": batch.filter(F.col("reason").isNotNull()),
-            }
-            for sink, rows in sinks.items():
-                rows.write.mode("overwrite").parquet(f"{out}/{sink}/batch={number}")
-        finally:
-            batch.unpersist()
+        judged = f"{out}/checked/batch={number}"
+        checked(tables, batch).write.mode("overwrite").parquet(judged)
+        to_post(batch.sparkSession.read.parquet(judged)).write.mode("overwrite").parquet(f"{out}/postings/batch={number}")
 
     return (
-        checked(tables, transactions)
-        .writeStream.foreachBatch(write)
+        transactions.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{out}/_progress")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def txn_stream(tables: Tables, files: int = 4) -> DataFrame:
-    """Feed the transactions through the stream and report what became of each."""
+def txn_stream(tables: Tables, records_per_file: int = 1_000_000, files_per_batch: int = 100) -> DataFrame:
+    """Feed the transactions through the stream as files and report what became of each."""
     rows = tables["voorraad_transactie"]
     spark = rows.sparkSession
     folder = run_folder(spark, "txn-stream")
-    rows.repartition(files, "name").write.parquet(f"{folder}/in")
-    arriving = read_transactions(spark, f"{folder}/in", max(1, files // 2))
+    rows.write.option("maxRecordsPerFile", records_per_file).parquet(f"{folder}/in")
+    arriving = read_transactions(spark, f"{folder}/in", files_per_batch)
     start_transactions(tables, arriving, f"{folder}/out").awaitTermination()
     posted = spark.read.parquet(f"{folder}/out/postings").withColumn("outcome", F.lit("posted"))
-    others = [
-        spark.read.parquet(f"{folder}/out/{sink}").withColumn("outcome", F.lit(sink)).select("name", "outcome", "reason")
-        for sink in ("accepted", "rejected")
-    ]
-    report = posted.unionByName(others[0], allowMissingColumns=True).unionByName(others[1], allowMissingColumns=True)
-    return report.select("name", "outcome", "side", "account", "debit", "credit", "text", "reason")
+    judged = spark.read.parquet(f"{folder}/out/checked").select(
+        "name", F.when(F.col("reason").isNull(), "accepted").otherwise("rejected").alias("outcome"), "reason"
+    )
+    return posted.unionByName(judged, allowMissingColumns=True).select(
+        "name", "outcome", "side", "account", "debit", "credit", "text", "reason"
+    )
