@@ -50,3 +50,21 @@ def postings(
     return documents.select(
         document, *keep, F.lit(MEMO).alias("journal"), text.alias("text"), F.inline(lines)
     )
+
+
+def memo_documents(lines: DataFrame, document: str, date: str) -> DataFrame:
+    """Postings as one-sided JSON bookings, with the cost centre where the line has one."""
+    account = F.struct(F.col("account").alias("id")).alias("grootboek")
+    fields = [F.col("text").alias("omschrijving"), account]
+    if "cost_centre" in lines.columns:
+        centre = F.when(F.col("cost_centre").isNotNull(), F.struct(F.col("cost_centre").alias("id")))
+        fields.append(centre.alias("kostenplaats"))
+    line = F.struct(*fields, F.col("debit").alias("debet"), F.col("credit"))
+    booking = F.struct(
+        F.col(date).cast("string").alias("datum"),
+        F.col(document).alias("boekstuk"),
+        F.col("text").alias("omschrijving"),
+        F.array(line).alias("memoriaalBoekingsRegels"),
+        F.struct(F.col("journal").alias("id")).alias("dagboek"),
+    )
+    return lines.select(document, "side", F.to_json(booking).alias("booking"))

@@ -9,7 +9,7 @@ from bomwerk.functions.columns import MONEY, dec, filled, money
 from bomwerk.operators.dimensions import Tables
 from bomwerk.operators.lookup import lookup, one_per_key
 from bomwerk.operators.mutate import update_by_key
-from bomwerk.operators.postings import CLEARING, MEMO, REVENUE, postings
+from bomwerk.operators.postings import CLEARING, REVENUE, memo_documents, postings
 
 # Fixed values of the ERP.
 ADVANCE_SHARE = "0.3"
@@ -252,20 +252,7 @@ def journal_postings(tables: Tables) -> DataFrame:
 
 def journal_documents(tables: Tables) -> DataFrame:
     """The postings as one-sided JSON bookings."""
-    line = F.struct(
-        F.col("text").alias("omschrijving"),
-        F.struct(F.col("account").alias("id")).alias("grootboek"),
-        F.col("debit").alias("debet"),
-        F.col("credit"),
-    )
-    booking = F.struct(
-        F.col("posting_date").cast("string").alias("datum"),
-        F.col("document").alias("boekstuk"),
-        F.col("text").alias("omschrijving"),
-        F.array(line).alias("memoriaalBoekingsRegels"),
-        F.struct(F.lit(MEMO).alias("id")).alias("dagboek"),
-    )
-    return journal_postings(tables).select("document", "side", F.to_json(booking).alias("booking"))
+    return memo_documents(journal_postings(tables), "document", "posting_date")
 
 
 def journal_rejects(tables: Tables) -> DataFrame:

@@ -19,7 +19,7 @@ from bomwerk.operators.dimensions import (
 )
 from bomwerk.operators.lookup import lookup, one_per_key
 from bomwerk.operators.mutate import delete_where, update_by_key
-from bomwerk.operators.postings import STOCK, WORK_COST, postings
+from bomwerk.operators.postings import STOCK, WORK_COST, memo_documents, postings
 
 # Fixed values of the ERP.
 MODULE_GROUPS = ("Modules", "Accessoires", "Basis")
@@ -297,6 +297,11 @@ def material_issue_postings(tables: Tables, date: str, rows: DataFrame | None =
     )
 
 
+def material_issue_documents(tables: Tables, date: str, rows: DataFrame | None = None) -> DataFrame:
+    """The issue postings as JSON bookings."""
+    return memo_documents(material_issue_postings(tables, date, rows), "production_row", "date")
+
+
 def production_rows_kept(tables: Tables, rows: DataFrame | None = None) -> DataFrame:
     """Production rows after processing: rows without quantity deleted, issued ones marked."""
     rows = draft_rows(tables) if rows is None else rows

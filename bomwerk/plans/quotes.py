@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bomwerk.functions.columns import filled, money
 from bomwerk.operators.dimensions import Tables
 from bomwerk.operators.lookup import lookup, one_per_key
+from bomwerk.operators.mutate import update_by_key
 from bomwerk.sources.requests import parse_requests, usable
 
 # Fixed values of the ERP: the item an unknown article becomes, the article that carries
@@ -219,3 +220,13 @@ def relation_resolve(tables: Tables) -> DataFrame:
     return lookup(leads, directory, {"reference": "relatiecode"}, {"id": "id"}).select(
         "lead", "reference", "lead_name", "mobile_no", "email_id", F.col("id").alias("relation"), action.alias("action")
     )
+
+
+def leads_linked(tables: Tables) -> DataFrame:
+    """Leads with the cost centre and relation found for them."""
+    def found(resolved: DataFrame, column: str, target: str) -> DataFrame:
+        return resolved.filter(F.col("action") == "matched").select(F.col("lead").alias("name"), F.col(column).alias(target))
+
+    centres = found(cost_centre_resolve(tables), "cost_centre", "snelstart_kostenplaats")
+    relations = found(relation_resolve(tables), "relation", "snelstart_relatie")
+    return update_by_key(update_by_key(tables["lead"], centres, ["name"]), relations, ["name"])

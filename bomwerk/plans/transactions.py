@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bomwerk.functions.columns import MONEY
 from bomwerk.operators.dimensions import Tables
 from bomwerk.operators.lookup import lookup, one_per_key
-from bomwerk.operators.postings import STOCK, WORK_COST, postings
+from bomwerk.operators.postings import STOCK, WORK_COST, memo_documents, postings
 
 # Fixed values of the ERP.
 RECEIPT, ISSUE = "Material Receipt", "Material Issue"
@@ -116,3 +116,8 @@ def txn_stock_rows(tables: Tables) -> DataFrame:
 
 def txn_postings(tables: Tables) -> DataFrame:
     return to_post(checked(tables, tables["voorraad_transactie"]))
+
+
+def txn_documents(tables: Tables, date: str) -> DataFrame:
+    """The postings as JSON bookings."""
+    return memo_documents(txn_postings(tables).withColumn("date", F.lit(date).cast("date")), "name", "date")

@@ -42,3 +42,21 @@ def save_tables(tables, names: Sequence[str], root: str) -> None:
     """Store tables so that ``StoredTables(spark, root)`` reads them back."""
     for name in names:
         save_table(tables[name], f"{root.rstrip('/')}/{name}")
+
+
+# Bucket columns that let the planning joins of the large tables start without a shuffle.
+BUCKETS = {
+    "quotation": "name", "quotation_item": "parent", "productie_module": "quotation_item",
+    "bom_explosion_item": "parent", "bom_item": "parent", "bom": "name",
+}
+
+
+def save_bucketed(tables, names: Sequence[str], database: str, buckets: int) -> None:
+    """Store tables in a catalog database, bucketed by the key they are joined on most.
+
+    Choose ``buckets`` so that the largest table has some 256 MB per bucket.
+    """
+    for name in names:
+        key = BUCKETS[name]
+        rows = tables[name].repartition(buckets, key)
+        rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(f"{database}.{name}")

@@ -1,5 +1,7 @@
 """Invoices and journals with scalar subqueries in place of joins."""
 
+from oracle.production import MEMO_JSON
+
 DOWN = """
 WITH down AS (
   SELECT q.name AS quotation, q.transaction_date AS invoice_date, 7 AS term, l.lead_name AS klant_naam, l.snelstart_relatie AS relation, l.snelstart_kostenplaats AS cost_centre,
@@ -99,8 +101,7 @@ SELECT * FROM lines""",
     "journal_documents": f"""s: document side booking
 {JOURNALS}
 --main
-SELECT document, side, '{{"datum":"' || CAST(posting_date AS VARCHAR) || '","boekstuk":"' || document || '","omschrijving":"' || text || '","memoriaalBoekingsRegels":[{{"omschrijving":"' || text
-       || '","grootboek":{{"id":"' || account || '"}},"debet":' || CAST(CAST(debit AS DECIMAL(18,2)) AS VARCHAR) || ',"credit":' || CAST(CAST(credit AS DECIMAL(18,2)) AS VARCHAR) || '}}],"dagboek":{{"id":"MEMO"}}}}' AS booking FROM lines""",
+SELECT document, side, {MEMO_JSON} AS booking FROM (SELECT *, posting_date AS date, NULL::VARCHAR AS cost_centre FROM lines)""",
     "journal_rejects": f"""s: document customer reason
 {JOURNALS}
 --main

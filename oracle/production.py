@@ -81,6 +81,20 @@ report AS (
 
 REPORT_COLUMNS = "s: request_id branch item_code item_name n: qty_per_line required_qty in_stock_qty buildable"
 
+ISSUE_POSTINGS = f"""{ROWS},
+sides AS (
+  SELECT h.production_row, DATE '1999-06-01' AS date, 'MEMO' AS journal, li.item_name || ' Ref: ' || q.klant_referentie AS text, side,
+         CASE side WHEN 'debit' THEN 'WORK_COST' ELSE 'STOCK' END AS account,
+         CASE side WHEN 'debit' THEN total_outgoing_value ELSE 0 END AS debit, CASE side WHEN 'credit' THEN total_outgoing_value ELSE 0 END AS credit,
+         CASE side WHEN 'debit' THEN l.snelstart_kostenplaats END AS cost_centre
+  FROM (SELECT *, unnest(['debit', 'credit']) AS side FROM headers) h JOIN t_quotation q ON q.name = h.offerte
+  JOIN t_quotation_item li ON li.name = h.quotation_item LEFT JOIN t_lead l ON l.configurator_id = q.klant_referentie)"""
+
+# a one-sided booking as JSON text
+MEMO_JSON = """'{"datum":"' || CAST(date AS VARCHAR) || '","boekstuk":"' || document || '","omschrijving":"' || text || '","memoriaalBoekingsRegels":[{"omschrijving":"' || text
+       || '","grootboek":{"id":"' || account || '"}' || coalesce(',"kostenplaats":{"id":"' || cost_centre || '"}', '') || ',"debet":' || CAST(CAST(debit AS DECIMAL(18,2)) AS VARCHAR)
+       || ',"credit":' || CAST(CAST(credit AS DECIMAL(18,2)) AS VARCHAR) || '}],"dagboek":{"id":"MEMO"}}'"""
+
 QUERIES = {
     "open_modules": f"""s: quotation quotation_item i: idx s: klant item_code bom label n: besteld klaar d: due
 {MODULES}
@@ -119,14 +133,13 @@ SELECT production_row, branch, idx, bom, item_code, qty, rate AS basic_rate, CAS
 --main
 SELECT * FROM headers""",
     "material_issue_postings": f"""s: production_row d: date s: journal text side account n: debit credit s: cost_centre
-{ROWS}
+{ISSUE_POSTINGS}
+--main
+SELECT * FROM sides""",
+    "material_issue_documents": f"""s: production_row side booking
+{ISSUE_POSTINGS}
 --main
-SELECT h.production_row, DATE '1999-06-01' AS date, 'MEMO' AS journal, li.item_name || ' Ref: ' || q.klant_referentie AS text, side,
-       CASE side WHEN 'debit' THEN 'WORK_COST' ELSE 'STOCK' END AS account,
-       CASE side WHEN 'debit' THEN total_outgoing_value ELSE 0 END AS debit, CASE side WHEN 'credit' THEN total_outgoing_value ELSE 0 END AS credit,
-       CASE side WHEN 'debit' THEN l.snelstart_kostenplaats END AS cost_centre
-FROM (SELECT *, unnest(['debit', 'credit']) AS side FROM headers) h JOIN t_quotation q ON q.name = h.offerte
-JOIN t_quotation_item li ON li.name = h.quotation_item LEFT JOIN t_lead l ON l.configurator_id = q.klant_referentie""",
+SELECT production_row, side, {MEMO_JSON.replace('document', 'production_row')} AS booking FROM sides""",
     "production_rows_kept": """s: production_row offerte quotation_item item_code n: qty i: verwerkt s: log
 SELECT p.name AS production_row, p.offerte, p.quotation_item, p.item_code, p.qty,
        CASE WHEN p.verwerkt <> 1 AND b.name IS NOT NULL THEN 1 ELSE p.verwerkt END AS verwerkt,

@@ -77,4 +77,7 @@ FROM t_lead l LEFT JOIN t_cost_centre c ON c.nummer = TRY_CAST(l.configurator_id
     "relation_resolve": """s: lead reference lead_name mobile_no email_id relation action
 SELECT l.name AS lead, l.configurator_id AS reference, l.lead_name, l.mobile_no, l.email_id, r.id AS relation, CASE WHEN r.id IS NULL THEN 'create' ELSE 'matched' END AS action
 FROM t_lead l LEFT JOIN t_relation r ON r.relatiecode = l.configurator_id WHERE l.configurator_id IS NOT NULL""",
+    "leads_linked": """s: name lead_name configurator_id email_id mobile_no snelstart_relatie snelstart_kostenplaats
+SELECT l.* REPLACE (coalesce((SELECT id FROM t_relation r WHERE r.relatiecode = l.configurator_id), snelstart_relatie) AS snelstart_relatie,
+       coalesce((SELECT id FROM t_cost_centre c WHERE CAST(c.nummer AS VARCHAR) = l.configurator_id), snelstart_kostenplaats) AS snelstart_kostenplaats) FROM t_lead l""",
 }

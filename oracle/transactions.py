@@ -1,6 +1,7 @@
 """Stock transactions, table rules, numbering and export."""
 
 from oracle.planning import LINES
+from oracle.production import MEMO_JSON
 
 CHECKED = """
 WITH chk AS (
@@ -78,6 +79,10 @@ FROM judged WHERE reason IS NULL""",
 {CHECKED}
 --main
 SELECT * FROM posted""",
+    "txn_documents": f"""s: name side booking
+{CHECKED}
+--main
+SELECT name, side, {MEMO_JSON} AS booking FROM (SELECT *, name AS document, DATE '1999-06-01' AS date, NULL::VARCHAR AS cost_centre FROM posted)""",
     "txn_stream": f"""s: name outcome side account n: debit credit s: text reason
 {CHECKED}
 --main

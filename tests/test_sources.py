@@ -10,7 +10,7 @@ from conftest import SMALL, by
 from bomwerk.plans import planning, report
 from bomwerk.session import checkpoint_dir
 from bomwerk.sources.schemas import SCHEMAS
-from bomwerk.sources.sinks import save_per_supplier, save_report, save_table, save_tables
+from bomwerk.sources.sinks import save_bucketed, save_per_supplier, save_report, save_table, save_tables
 from bomwerk.sources.tables import CatalogTables, StoredTables
 
 
@@ -47,6 +47,22 @@ def test_catalog_tables(spark, small, tmp_path):
         spark.sql("DROP DATABASE erp_test CASCADE")
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, small, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS erp_buckets LOCATION '{tmp_path}/db'")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        save_bucketed(small, ["quotation", "quotation_item", "productie_module"], "erp_buckets", 4)
+        tables = {**{name: small[name] for name in small}, **{n: CatalogTables(spark, "erp_buckets")[n] for n in ("quotation", "quotation_item", "productie_module")}}
+        lines = planning.open_lines(tables)
+        exchanges = [row for row in lines._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in row]
+        # only the lines move, from their quotation's bucket to their own
+        assert len(exchanges) == 1
+        assert lines.exceptAll(planning.open_lines(small)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE erp_buckets CASCADE")
+
+
 def test_one_folder_per_supplier(spark, small, tmp_path):
     lines = planning.purchase_order_lines(small, "1999-06-01")
     save_per_supplier(lines, str(tmp_path / "po"))
