@@ -38,10 +38,12 @@ def save_report(rows: DataFrame, path: str, keys: Sequence[str] = ("request_id",
     titled.orderBy(*keys, "Item").write.mode("overwrite").option("header", True).csv(path)
 
 
-def save_tables(tables, names: Sequence[str], root: str) -> None:
-    """Store tables so that ``StoredTables(spark, root)`` reads them back."""
+def save_tables(tables, names: Sequence[str], root: str, files: int | None = None) -> None:
+    """Store tables so that ``StoredTables(spark, root)`` reads them back, in so many files
+    or as many as the tables have partitions."""
     for name in names:
-        save_table(tables[name], f"{root.rstrip('/')}/{name}")
+        rows = tables[name].repartition(files) if files else tables[name]
+        save_table(rows, f"{root.rstrip('/')}/{name}")
 
 
 # Bucket columns that let the planning joins of the large tables start without a shuffle.
