@@ -108,7 +108,7 @@ def final_invoices(
 def direct_invoices(tables: Tables) -> DataFrame:
     """Invoices without reference, booked on the lead's relation, else the customer's own,
     else a relation to create. A customer whose lead has no relation is rejected."""
-    invoices = tables["sales_invoice"].filter(~F.coalesce(filled(F.col("klant_referentie")), F.lit(False))).select(
+    invoices = tables["sales_invoice"].filter(~filled(F.col("klant_referentie"))).select(
         F.col("name").alias("invoice"), "customer", "posting_date", "grand_total", "net_total",
         "total_taxes_and_charges", "snelstart_grootboek",
     )

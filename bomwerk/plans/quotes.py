@@ -16,7 +16,7 @@ from bomwerk.sources.requests import parse_requests, usable
 FALLBACK_ITEM = "CU00003"
 FALLBACK_UOM = "Stuks"
 FALLBACK_GROUP = "Custom"
-TAX_ARTICLE = 201
+TAX_ARTICLE = "201"
 TAXED_GROUP = "Bus"
 PRICE_LIST = "Verkoop"
 CURRENCY = "EUR"
@@ -47,7 +47,7 @@ def quote_lines(
     rows = usable(_requests(tables, requests)).select(
         "request_id", "received_at", _bpm().alias("request_bpm"), F.posexplode("articles").alias("pos", "a")
     )
-    rows = rows.withColumn("code", F.col("a.artikel_code").cast("string"))
+    rows = rows.withColumn("code", F.col("a.artikel_code"))
     items = one_per_key(
         tables["item"].filter(filled(F.col("configurator_id"))).select(
             "configurator_id", "name", "stock_uom", "warehouse", "item_group"
@@ -125,10 +125,6 @@ def _address() -> Column:
     return F.concat("adres_klant", F.lit("<br>"), "postcode", F.lit(" "), "plaats")
 
 
-def _quote_date() -> Column:
-    return F.to_date(F.split_part("offerte_datum", F.lit("T"), F.lit(1)))
-
-
 def _lead_name() -> Column:
     """The known lead, else the name a new lead gets."""
     return F.coalesce("lead", F.concat(F.lit("LD-"), "configurator_id"))
@@ -139,7 +135,7 @@ def lead_upsert(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
     fields of its first request."""
     rows = usable(_requests(tables, requests)).select(
         "configurator_id", "received_at", "request_id", F.col("klant").alias("lead_name"),
-        F.col("contact_email").alias("email_id"), _quote_date().alias("transaction_date"),
+        F.col("contact_email").alias("email_id"), F.col("quote_date").alias("transaction_date"),
         _address().alias("customer_details"), F.col("contact_telefoon").alias("mobile_no"),
         F.col("configurator_link").alias("website"),
     )
@@ -165,7 +161,7 @@ def quote_headers(tables: Tables, requests: DataFrame | None = None) -> DataFram
         _lead_name().alias("lead"),
         F.lit("Lead").alias("quotation_to"),
         F.col("klant").alias("customer_name"),
-        _quote_date().alias("transaction_date"),
+        F.col("quote_date").alias("transaction_date"),
         F.concat(F.lit("Offerte aangemaakt via configurator ID : "), "configurator_id").alias("remark"),
         F.col("configurator_id").alias("klant_referentie"),
         F.lit("Draft").alias("status"),

@@ -14,7 +14,8 @@ _QTY = T.DecimalType(18, 6)
 _ARTICLE = T.StructType(
     [
         T.StructField("sequence", T.IntegerType()),
-        T.StructField("artikel_code", T.LongType()),
+        # ids are text: a request may hold them as numbers or as strings
+        T.StructField("artikel_code", T.StringType()),
         T.StructField("artikel_naam", T.StringType()),
         T.StructField("helptext", T.StringType()),
         T.StructField("variant_code", T.StringType()),
@@ -37,7 +38,7 @@ PAYLOAD = T.StructType(
             "root",
             T.ArrayType(
                 T.StructType(
-                    [T.StructField("configurator_id", T.LongType())]
+                    [T.StructField("configurator_id", T.StringType())]
                     + [T.StructField(name, T.StringType()) for name in _TEXT_FIELDS]
                     + [T.StructField(name, _PRICE) for name in _AMOUNT_FIELDS]
                     + [T.StructField("artikelen", T.StructType([T.StructField("artikelen", _ARTICLES)]))]
@@ -59,17 +60,19 @@ def parse_requests(requests: DataFrame) -> DataFrame:
     )
     # get() gives NULL for a missing element
     header = parsed.withColumn("_h", F.get("_p.root", F.lit(0)))
+    header = header.withColumn("quote_date", F.expr("try_cast(split_part(_h.offerte_datum, 'T', 1) AS DATE)"))
     reason = (
         F.when(F.col("_p.root").isNull() | F.col("_p._corrupt").isNotNull(), "malformed")
         .when(F.col("_h").isNull(), "empty")
-        .when(F.col("_h.configurator_id").isNull() | ~F.coalesce(filled(F.col("_h.offerte_datum")), F.lit(False)), "incomplete")
+        .when(~filled(F.col("_h.configurator_id")) | F.col("quote_date").isNull(), "incomplete")
         .when(F.col("_h.artikelen.artikelen").isNull(), "no articles")
     )
     return header.select(
         "request_id",
         "received_at",
         "payload",
-        F.col("_h.configurator_id").cast("string").alias("configurator_id"),
+        F.col("_h.configurator_id").alias("configurator_id"),
+        "quote_date",
         *[f"_h.{name}" for name in _TEXT_FIELDS],
         *[f"_h.{name}" for name in _AMOUNT_FIELDS],
         F.col("_h.artikelen.artikelen.artikelen").alias("articles"),

@@ -45,6 +45,7 @@ def intake(make):
             dict(request_id="r5", received_at="2024-03-05 12:00:00", payload='{"root":[]}'),
             dict(request_id="r6", received_at="2024-03-05 12:00:00", payload='{"root":[{"configurator_id":1}]}'),
             dict(request_id="r7", received_at="2024-03-05 12:00:00", payload=None),
+            dict(request_id="r8", received_at="2024-03-05 12:00:00", payload=payload(12, []).replace("2024-03-05T", "2024-13-05T")),
         ],
     )
 
@@ -62,8 +63,15 @@ def test_lines(intake):
 
 def test_rejects_and_archive(intake):
     rejects = {name: row["reason"] for name, row in by(quotes.quote_rejects(intake), "request_id").items()}
-    assert rejects == {"r4": "malformed", "r5": "empty", "r6": "incomplete", "r7": "malformed"}
-    assert set(by(quotes.request_archive(intake), "request_id")) == {"r1", "r2", "r3", "r5", "r6"}
+    assert rejects == {"r4": "malformed", "r5": "empty", "r6": "incomplete", "r7": "malformed", "r8": "incomplete"}
+    assert set(by(quotes.request_archive(intake), "request_id")) == {"r1", "r2", "r3", "r5", "r6", "r8"}
+
+
+def test_ids_may_be_text(intake, make):
+    text = payload("10", [("2", 1, 4)])
+    intake["quote_request"] = make(quote_request=[dict(request_id="t", received_at="2024-03-05 10:00:00", payload=text)])["quote_request"]
+    assert by(quotes.quote_lines(intake), "request_id")["t"]["item_code"] == "I2"
+    assert by(quotes.lead_lookup(intake), "request_id")["t"]["lead"] == "L1"
 
 
 def test_prices(intake):
