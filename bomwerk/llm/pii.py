@@ -119,26 +119,28 @@ def find(docs: DataFrame, kinds=KINDS, min_score: float = MIN_SCORE) -> DataFram
     kept = [c for c in docs.columns if c != "found"]
     rows = docs.select(*kept, F.coalesce("text", F.lit("")).alias("_text"))
     rows = rows.withColumns({f"_m{n}": F.when(F.col("_text").rlike(kind.needs), F.regexp_extract_all("_text", F.lit(kind.pattern), F.lit(0))) for n, kind in enumerate(kinds)})
-    spans = []
-    for n, kind in enumerate(kinds):
-        matches = F.col(f"_m{n}")
-        pieces = F.split("_text", kind.pattern, -1)
-        spans.append(F.when(F.size(matches) > 0, F.filter(
-            F.transform(F.arrays_zip(_starts(pieces, matches).alias("start"), matches.alias("value")), lambda m, n=n, kind=kind: _scored(m, n, kind)),
-            lambda span, kind=kind: (F.lit(True) if kind.confirm is None else kind.confirm(span["value"])) & (F.lit(kind.always) | (span["score"] >= min_score)),
-        )).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,score:double,value:string>>")))
+    spans = [_spans(F.col(f"_m{n}"), n, kind, min_score) for n, kind in enumerate(kinds)]
     rows = rows.withColumns({f"_s{n}": span for n, span in enumerate(spans)})
     return rows.select(*kept, F.array_sort(F.concat(*[F.col(f"_s{n}") for n in range(len(kinds))])).alias("found"))
 
 
-def _scored(match: Column, place: int, kind: Kind) -> Column:
-    start = match["start"]
+def _spans(matches: Column, place: int, kind: Kind, min_score: float) -> Column:
+    starts = _starts(F.split("_text", kind.pattern, -1), matches)
+    confirmed = kind.confirm or (lambda match: F.lit(True))
+    spans = F.filter(
+        F.zip_with(starts, matches, lambda start, match: _scored(start, match, place, kind)),
+        lambda span: confirmed(span["value"]) & (F.lit(kind.always) | (span["score"] >= min_score)),
+    )
+    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,score:double,value:string>>"))
+
+
+def _scored(start: Column, match: Column, place: int, kind: Kind) -> Column:
     low = F.greatest(start - CONTEXT_CHARS, F.lit(0))
     near = F.lower(F.substr(F.col("_text"), low + 1, start - low))
     score = F.lit(kind.score) + F.when(near.rlike(kind.context), CONTEXT_BONUS).otherwise(0.0)
     return F.struct(
-        start.alias("start"), F.lit(place).alias("kind"), (start + F.length(match["value"])).alias("end"),
-        F.least(score, F.lit(1.0)).alias("score"), match["value"].alias("value"),
+        start.alias("start"), F.lit(place).alias("kind"), (start + F.length(match)).alias("end"),
+        F.least(score, F.lit(1.0)).alias("score"), match.alias("value"),
     )
 
 

@@ -46,9 +46,9 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in all documents."""
     rows = pii.find(read(spark, folder, "documents").select("doc_id", "text"))
     base = F.filter("found", lambda span: span["kind"] < 4)
-    counts = {f"n_{kind.name}": F.size(F.filter("found", lambda span, n=n: span["kind"] == n)).cast("long") for n, kind in enumerate(pii.KINDS[:4])}
+    number = lambda kind: F.size(F.filter("found", lambda span: span["kind"] == kind)).cast("long")
     return rows.select(
-        "doc_id", *[count.alias(name) for name, count in counts.items()],
+        "doc_id", *[number(n).alias(f"n_{kind.name}") for n, kind in enumerate(pii.KINDS[:4])],
         F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("found")).alias("spans"),
         F.array_join(F.transform("found", lambda span: F.format_number(span["score"], 2)), ",").alias("scores"),
     )
