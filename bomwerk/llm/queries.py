@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomwerk.llm import mixing, pii, sharding, spotsigs, url_filter
+from bomwerk.llm import langid, mixing, pii, sharding, spotsigs, tokens, toxicity, url_filter
 from bomwerk.llm.tables import read
 from bomwerk.session import tune
 
+TOKENIZER = "word_bpe_49k.json"
 URL_RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
     ("net", "/es/", "block"), ("net", "/fr/", "block"),
@@ -54,6 +55,22 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of all documents, learnt from two thirds of them."""
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang", langid.held_out(F.col("doc_id"), 3, 1).alias("held_out"))
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.classify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of all documents, learnt from the labels of four fifths of them."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    labels = read(spark, folder, "labels").select("doc_id", "toxic").where(~langid.held_out(F.col("doc_id"), 5, 0))
+    model = toxicity.train(docs.join(labels, "doc_id"))
+    rows = toxicity.score(docs.withColumn("held_out", langid.held_out(F.col("doc_id"), 5, 0)), model)
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed by source."""
     docs = read(spark, folder, "documents").select("doc_id", "text", "source")
@@ -67,6 +84,14 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(read(spark, folder, "pages").select("page_id", "url"), rules)
 
 
+def op10_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of all documents."""
+    import public_tokenizers
+
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return tokens.count(docs, public_tokenizers.path(TOKENIZER)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 URL_FILTER_SQL = """
 WITH parts AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -86,7 +111,7 @@ QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(rule_host || rule_pa
 """
 
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op1_spotsigs, op2_sharding, op3_pii, op8_mixing, op9_url_filter,
+    op1_spotsigs, op2_sharding, op3_pii, op5_langid, op6_toxicity, op8_mixing, op9_url_filter, op10_tokens,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: (lambda spark, folder, query=query: query(tune(spark), folder)) for query in _QUERIES
