@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomwerk.llm import langid, mixing, pii, sharding, spotsigs, tokens, toxicity, url_filter
+from bomwerk.llm import langid, mixing, near_dups, pii, sharding, spotsigs, tokens, toxicity, url_filter
 from bomwerk.llm.tables import read
 from bomwerk.session import tune
 
@@ -71,6 +71,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 
+def op7_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return near_dups.classes(read(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed by source."""
     docs = read(spark, folder, "documents").select("doc_id", "text", "source")
@@ -111,7 +116,7 @@ QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(rule_host || rule_pa
 """
 
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op1_spotsigs, op2_sharding, op3_pii, op5_langid, op6_toxicity, op8_mixing, op9_url_filter, op10_tokens,
+    op1_spotsigs, op2_sharding, op3_pii, op5_langid, op6_toxicity, op7_near_dups, op8_mixing, op9_url_filter, op10_tokens,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: (lambda spark, folder, query=query: query(tune(spark), folder)) for query in _QUERIES
