@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomwerk.llm import langid, mixing, near_dups, pii, sharding, spotsigs, tokens, toxicity, url_filter
+import corpus_pipeline
+from bomwerk.llm import decontaminate, langid, mixing, near_dups, pii, sharding, spotsigs, tokens, toxicity, url_filter
 from bomwerk.llm.tables import read
 from bomwerk.session import tune
 
@@ -55,6 +56,11 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark items that documents contain."""
+    return decontaminate.contaminated(read(spark, folder, "documents").select("doc_id", "text"), read(spark, folder, "benchmark"))
+
+
 def op5_langid(spark: SparkSession, folder: str) -> DataFrame:
     """The language of all documents, learnt from two thirds of them."""
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang", langid.held_out(F.col("doc_id"), 3, 1).alias("held_out"))
@@ -116,9 +122,9 @@ QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(rule_host || rule_pa
 """
 
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op1_spotsigs, op2_sharding, op3_pii, op5_langid, op6_toxicity, op7_near_dups, op8_mixing, op9_url_filter, op10_tokens,
+    op1_spotsigs, op2_sharding, op3_pii, op4_decontaminate, op5_langid, op6_toxicity, op7_near_dups, op8_mixing, op9_url_filter, op10_tokens,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: (lambda spark, folder, query=query: query(tune(spark), folder)) for query in _QUERIES
-}
+} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = {"op9_url_filter": URL_FILTER_SQL}
