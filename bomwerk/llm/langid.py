@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bomwerk.llm import batches
+from bomwerk.llm.tables import kept
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 128  # labelled documents fetched for each language, of at most SAMPLE_CHARS each
@@ -21,6 +22,7 @@ SAMPLE_CHARS = 8192
 DICTIONARY_BYTES = 1 << 17  # the dictionary of a language is made of whole documents up to this size
 MIN_MARGIN = 0.002  # best against second size, as a share of the second
 SHORT, SHORT_LEVEL, LEVEL = 1024, 12, 5  # short texts get the finer, slower level
+CARRIER_BYTES = 256  # of each dictionary, for short texts that come out equal
 STEEP = 50.0  # margin at which the score is 1 - 1/e: 2 %
 
 
@@ -54,8 +56,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     text if there is no dictionary. Of equal sizes the language that sorts first wins,
     and the text is rejected. Columns with the names of the results are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    rows = docs.select(*kept)
+    columns = kept(docs, "lang_pred", "score", "rejected")
+    rows = docs.select(*columns)
     schema = rows.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)}).schema
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +68,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
                 names, scores, rejected = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
-                    names=[*kept, "lang_pred", "score", "rejected"],
+                    names=[*columns, "lang_pred", "score", "rejected"],
                 )
 
     return rows.mapInArrow(run, schema)
@@ -86,15 +88,27 @@ def _judge(dictionaries: dict[str, bytes]):
         return made
 
     fine, usual = compressors(SHORT_LEVEL), compressors(LEVEL)
+    # behind text that all languages have pieces of, a few more words cost what they are worth, without the cost of a frame
+    carrier = b" ".join(content[:CARRIER_BYTES] for _, content in sorted(dictionaries.items()))
+    bare = [len(packer.compress(carrier)) for _, packer in fine]
+
+    def weigh(raw: bytes) -> list[tuple[int, str]]:
+        if len(raw) > SHORT:
+            return sorted((len(packer.compress(raw)), lang) for lang, packer in usual)
+        sizes = sorted((len(packer.compress(raw)), lang) for lang, packer in fine)
+        if len(sizes) > 1 and sizes[0][0] == sizes[1][0]:
+            behind = carrier + b" " + raw + b" "
+            sizes = sorted((len(packer.compress(behind)) - before, lang) for (lang, packer), before in zip(fine, bare, strict=True))
+        return sizes
 
     def judge(body: str) -> tuple[str, float, bool]:
         if not body or not dictionaries:
             return UNKNOWN, 0.0, True
         raw = body.encode()
-        sizes = sorted((len(packer.compress(raw)), lang) for lang, packer in (fine if len(raw) <= SHORT else usual))
+        sizes = weigh(raw)
         best, lang = sizes[0]
         second = sizes[1][0] if len(sizes) > 1 else len(raw) + best
-        margin = (second - best) / second
+        margin = (second - best) / max(1, second)
         return lang, 1.0 - math.exp(-STEEP * margin), margin < MIN_MARGIN
 
     return judge

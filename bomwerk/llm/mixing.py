@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomwerk.llm.tables import stored
+from bomwerk.llm.tables import kept, stored
 
 WEIGHTS = (5, 2, 1)  # by the rank of a source, repeating
 REPEATS = 3  # a source's target is at most so many times its size
@@ -81,9 +81,8 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, repeats: int = REPEA
     empty. Rows that repeat id and text are told apart by nothing and so are
     interchangeable. Columns with the names of the results are replaced.
     """
-    names = ("size", "source_size", "target", "taken", "_shard", "_order")
-    kept = [c for c in docs.columns if c not in names]
-    rows = docs.select(*kept, words(F.col("text")).alias("size"),
+    columns = kept(docs, "size", "source_size", "target", "taken")
+    rows = docs.select(*columns, words(F.col("text")).alias("size"),
                        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_order"))
     slim = stored(rows.select("source", "size", "_order"), "mix-sizes")
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
@@ -117,15 +116,19 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, repeats: int = REPEA
     )
     turns = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(0).cast("long")
     order = Window.partitionBy("source", "_shard").orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.select(*kept, "size", "_order", shard).withColumn("_upto", F.sum("size").over(order))
+    placed = rows.select(*columns, "size", "_order", shard).withColumn("_upto", F.sum("size").over(order))
     within = F.col("source").eqNullSafe(F.col("_of")) & (F.col("_shard") == F.col("_in"))
     rest = F.col("quota") - turns * F.col("shard_size") - (F.col("_upto") - F.col("size"))
     taken = turns * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return placed.join(dealt, within).select(*kept, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.join(dealt, within).select(*columns, "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix: each as often as the mix takes it, a part of a turn counting as one."""
-    taken = mix(docs, **options).where(F.col("taken") > 0)
+    """The documents of the mix: each as often as the mix takes it, a part of a turn counting as one.
+
+    All columns stay as they are. Documents without words are not in the mix.
+    """
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("document"))
+    taken = mix(rows, **options).where(F.col("taken") > 0)
     copies = F.ceil(F.col("taken") / F.col("size")).cast("long")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select("document.*")

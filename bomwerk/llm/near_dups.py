@@ -7,10 +7,8 @@ coordinate, and the earliest dart of each coordinate is the signature. Two signa
 agree at a coordinate with the probability of the weighted Jaccard similarity. Where the
 share of agreeing coordinates is near the threshold, the shingles themselves decide.
 
-Texts with equal signatures are one node. Nodes meet in buckets of equal bands. In each
-bucket, rounds compare all members with a few hubs and then drop the hubs and every
-member that, by the triangle inequality, cannot be similar to a member still unlinked.
-No bucket is paired off with itself, and no link between classes is lost.
+Texts with equal signatures are one node. Nodes meet in buckets of equal bands, where
+rounds of hubs (``rounds``) join them to classes.
 """
 
 from __future__ import annotations
@@ -21,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bomwerk.llm import batches
+from bomwerk.llm import batches, rounds
 from bomwerk.llm.tables import stored
 from bomwerk.operators.lookup import join_on_key
 
@@ -35,7 +33,6 @@ BANDS, ROWS = 32, 8
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (math.log(COORDINATES) + 4)  # expected; leaves about one text in 50 without one at some coordinate
 DOUBT = 0.1  # so near the threshold, four standard errors, pairs are compared by their shingles
-MOST_HUBS = 64  # of a bucket in one round; rounds go on as long as they must
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,11 +175,6 @@ def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
     return shared / (np.bincount(text, weight, len(left)) - shared)
 
 
-def _draw(node: str) -> Column:
-    """A fixed random order of nodes, the same in all buckets, so that few nodes are hubs."""
-    return F.struct(F.xxhash64(F.lit(7), F.col(node)), F.col(node))
-
-
 def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (node, other) between similar ``nodes`` (node, signature) that join all classes.
 
@@ -190,70 +182,21 @@ def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     links, to its class. ``docs`` (doc_id, text) has the texts of the nodes.
     """
     doubtful, sure = math.floor((similarity - DOUBT) * COORDINATES), math.ceil((similarity + DOUBT) * COORDINATES)
-    slack = COORDINATES - doubtful  # nodes with fewer agreeing coordinates than doubtful are not similar
     bands = F.array(*[F.xxhash64(F.lit(n), F.substring("signature", 1 + 2 * ROWS * n, 2 * ROWS)) for n in range(BANDS)])
-    members = nodes.select("node", F.explode(bands).alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("bucket")
-    active = stored(join_on_key(members, shared, {"bucket": "bucket"}, "inner"), "near-members")
-    found, hubs = None, 1
-    while True:
-        first = Window.partitionBy("bucket").orderBy(_draw("node"))
-        chosen = active.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= hubs)
-        chosen = chosen.select("bucket", F.col("node").alias("hub"))
-        per_bucket = chosen.groupBy("bucket").agg(F.collect_list("hub").alias("hubs"))  # at most ``hubs`` of them
-        met = join_on_key(active, per_bucket, {"bucket": "bucket"}, "inner").select(
-            "bucket", "node", F.array_contains("hubs", F.col("node")).alias("is_hub"), F.explode("hubs").alias("hub")
-        )
-        met = stored(met.where(_draw("node") > _draw("hub")), "near-met")
-        pairs = met.select("node", "hub").distinct()
+
+    def judge(pairs: DataFrame) -> DataFrame:
         pairs = join_on_key(pairs, nodes, {"node": "node"}, "inner").withColumnRenamed("signature", "_left")
         pairs = join_on_key(pairs, nodes, {"hub": "node"}, "inner")
-        judged = stored(pairs.select("node", "hub", agreeing("_left", "signature").alias("same")), "near-judged")
-        unsure = judged.where(F.col("same").between(doubtful, sure - 1))
-        judged = judged.withColumn("linked", F.col("same") >= sure)
-        if not unsure.isEmpty():
-            by_text = exact(unsure, docs).where(F.col("exact") >= similarity).select("node", "hub", F.lit(True).alias("_exact"))
-            judged = judged.join(by_text, ["node", "hub"], "left")
-            judged = stored(judged.select("node", "hub", "same", (F.col("linked") | F.coalesce("_exact", F.lit(False))).alias("linked")), "near-linked")
-        linked = judged.where("linked").select("node", F.col("hub").alias("other"))
-        found = linked if found is None else found.unionByName(linked)
-        # who is left: members without a link to a hub, and those that may still resemble one of them
-        rest = met.where(~F.col("is_hub")).join(judged, ["node", "hub"]).groupBy("bucket", "node")
-        rest = stored(rest.agg(F.max("same").alias("best"), F.bool_or("linked").alias("linked")), "near-rest")
-        unlinked = F.when(~F.col("linked"), F.col("best"))
-        reach = rest.groupBy("bucket").agg(F.max(unlinked).alias("reach"), F.count(unlinked).alias("open"), F.min(F.when(F.col("linked"), F.col("best"))).alias("nearest"))
-        # a single unlinked member with nobody to compare is done
-        reach = reach.where((F.col("open") > 1) | (F.col("open") == 1) & (F.col("nearest") <= F.col("reach") + slack))
-        after = join_on_key(rest, reach, {"bucket": "bucket"}, "inner").where(~F.col("linked") | (F.col("best") <= F.col("reach") + slack))
-        active = stored(after.select("bucket", "node"), "near-members")
-        if active.isEmpty():
-            return found
-        hubs = min(2 * hubs, MOST_HUBS)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (node, other): the root is its component's lowest node.
-
-    Large-star and small-star steps in turn: each node tells its neighbours its lowest
-    one. Only minima are aggregated, so a node with very many neighbours costs little.
-    """
-    edges = edges.where(F.col("node") != F.col("other")).select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct()
-    edges = stored(edges, "near-edges")
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other")))
-        lowest = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("low"))
-        large = join_on_key(both.where(F.col("other") > F.col("node")), lowest, {"node": "node"}, "inner").select(F.col("other").alias("node"), F.col("low").alias("other"))
-        large = stored(large.distinct(), "near-large")
-        lowest = large.groupBy("node").agg(F.min("other").alias("low"))
-        small = join_on_key(large, lowest, {"node": "node"}, "inner")
-        small = small.select(F.explode(F.array(F.struct("node", F.col("low").alias("to")), F.struct(F.col("other").alias("node"), F.col("low").alias("to")))).alias("e"))
-        small = small.select("e.node", F.col("e.to").alias("other")).where(F.col("node") != F.col("other")).distinct()
-        edges = stored(small, "near-edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("node", "other") % (1 << 40))).first()
-        if now == mark:
-            return edges.select("node", F.col("other").alias("root"))
-        mark = now
+        judged = stored(pairs.select("node", "hub", agreeing("_left", "signature").alias("near")), "near-agreeing")
+        unsure = judged.where(F.col("near").between(doubtful, sure - 1))
+        if unsure.isEmpty():
+            return judged.withColumn("linked", F.col("near") >= sure)
+        by_text = exact(unsure, docs).where(F.col("exact") >= similarity).select("node", "hub", F.lit(True).alias("_exact"))
+        linked = (F.col("near") >= sure) | F.coalesce("_exact", F.lit(False))
+        return judged.join(by_text, ["node", "hub"], "left").withColumn("linked", linked)
+
+    # nodes that agree at fewer coordinates than doubtful are not linked
+    return rounds.links(nodes.select("node", F.explode(bands).alias("bucket")), judge, COORDINATES - doubtful)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -265,7 +208,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     prints = stored(signed(docs.select("doc_id", "text")), "near-prints")
     nodes = stored(prints.groupBy("signature").agg(F.min("doc_id").alias("node")).select("node", "signature"), "near-nodes")
-    roots = stored(components(links(nodes, docs, similarity)), "near-roots")
+    roots = stored(rounds.components(links(nodes, docs, similarity)), "near-roots")
     named = nodes.select("node", F.xxhash64("signature").alias("_a"), F.xxhash64(F.lit(1), "signature").alias("_b"))
     named = join_on_key(named, roots, {"node": "node"}, "left").select("_a", "_b", F.coalesce("root", "node").alias("class_id"))
     hashed = prints.select("doc_id", F.xxhash64("signature").alias("_a"), F.xxhash64(F.lit(1), "signature").alias("_b"))
@@ -274,8 +217,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class: the one that names it. Rows without an id stay."""
-    kept = classes(docs, similarity).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_keep"))
-    one = docs.join(kept, F.col("doc_id") == F.col("_keep"), "left_semi")
+    named = stored(classes(docs, similarity).where(F.col("doc_id") == F.col("class_id")).select("doc_id"), "near-kept")
+    one = docs.join(named, "doc_id", "left_semi").select(*docs.columns)
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1)
     if not repeated.isEmpty():
         one = one.dropDuplicates(["doc_id"])

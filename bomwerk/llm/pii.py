@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bomwerk.llm.tables import kept
+
 MIN_SCORE = 0.5
 CONTEXT_CHARS = 48  # before a span
 CONTEXT_BONUS = 0.3
@@ -116,12 +118,12 @@ def find(docs: DataFrame, kinds=KINDS, min_score: float = MIN_SCORE) -> DataFram
     Matches of one kind do not overlap. A null or empty text has an empty array. Other
     columns stay; one named ``found`` is replaced.
     """
-    kept = [c for c in docs.columns if c != "found"]
-    rows = docs.select(*kept, F.coalesce("text", F.lit("")).alias("_text"))
+    columns = kept(docs, "found")
+    rows = docs.select(*columns, F.coalesce("text", F.lit("")).alias("_text"))
     rows = rows.withColumns({f"_m{n}": F.when(F.col("_text").rlike(kind.needs), F.regexp_extract_all("_text", F.lit(kind.pattern), F.lit(0))) for n, kind in enumerate(kinds)})
     spans = [_spans(F.col(f"_m{n}"), n, kind, min_score) for n, kind in enumerate(kinds)]
     rows = rows.withColumns({f"_s{n}": span for n, span in enumerate(spans)})
-    return rows.select(*kept, F.array_sort(F.concat(*[F.col(f"_s{n}") for n in range(len(kinds))])).alias("found"))
+    return rows.select(*columns, F.array_sort(F.concat(*[F.col(f"_s{n}") for n in range(len(kinds))])).alias("found"))
 
 
 def _spans(matches: Column, place: int, kind: Kind, min_score: float) -> Column:

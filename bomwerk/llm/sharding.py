@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bomwerk.llm import ranges
-from bomwerk.llm.tables import stored
+from bomwerk.llm.tables import kept, stored
 
 OVERHEAD = 16  # bytes a record takes besides its text
 BIG = 8  # a record above 1/8 of a shard is placed by itself
@@ -55,10 +55,10 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     differ by at most one record of less than 1/8 of a shard, unless a single record
     exceeds a shard's share. A null text counts as empty. Null ids sort first; rows that
     repeat id and text are neighbours. An empty table stays empty. Columns named size,
-    shard, slot or range are replaced.
+    shard or slot are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("size", "shard", "slot", "range", "_key")]
-    rows = docs.select(*kept, record_size(F.col("text")).alias("size"), _key(F.col("text"), F.col("doc_id")).alias("_key"))
+    columns = kept(docs, "size", "shard", "slot")
+    rows = docs.select(*columns, record_size(F.col("text")).alias("size"), _key(F.col("text"), F.col("doc_id")).alias("_key"))
     slim = stored(rows.select("_key", "size"), "shard-keys")
     total, count = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
 
@@ -84,12 +84,12 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
 
     def lined(records: DataFrame) -> DataFrame:
         """Records with their row on the line and the shard that has its middle."""
-        order = Window.partitionBy("range").orderBy("_key")
+        order = Window.partitionBy("_range").orderBy("_key")
         upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        middle = ranges.lookup(F.col("range"), byte_starts) + F.sum("size").over(upto) - F.col("size") / 2
+        middle = ranges.lookup(F.col("_range"), byte_starts) + F.sum("size").over(upto) - F.col("size") / 2
         return (
-            records.withColumn("range", ranges.below(F.col("_key"), cuts, _literal).cast("int"))
-            .withColumn("_row", ranges.lookup(F.col("range"), row_starts) + F.row_number().over(order) - 1)
+            records.withColumn("_range", ranges.below(F.col("_key"), cuts, _literal).cast("int"))
+            .withColumn("_row", ranges.lookup(F.col("_range"), row_starts) + F.row_number().over(order) - 1)
             .withColumn("shard", ranges.upto(middle, edges).cast("int"))
         )
 
@@ -97,9 +97,9 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     first = {shard: (row, number) for shard, row, number in lined(small).groupBy("shard").agg(F.min("_row"), F.count("*")).collect()}
     starts = [first.get(shard, (0, 0))[0] for shard in range(shards)]
     out = lined(rows.where(F.col("size") <= limit)).withColumn("slot", (F.col("_row") - ranges.lookup(F.col("shard"), starts)).cast("long"))
-    out = out.select(*kept, "size", "shard", "slot")
+    out = out.select(*columns, "size", "shard", "slot")
     if big:
-        out = out.unionByName(_place(rows.where(F.col("size") > limit), kept, placed, [first.get(shard, (0, 0))[1] for shard in range(shards)]))
+        out = out.unionByName(_place(rows.where(F.col("size") > limit), columns, placed, [first.get(shard, (0, 0))[1] for shard in range(shards)]))
     return out
 
 
@@ -112,8 +112,8 @@ def _cut(records: DataFrame, total: int, count: int) -> tuple[list[Any], list[tu
     cuts = sorted({tuple(k) for k in ranges.splitters(drawn, wanted)})
     tried: set[tuple] = set()
     for turn in range(ROUNDS):
-        placed = records.withColumn("range", ranges.below(key, cuts, _literal))
-        found = {r[0]: (r[1], r[2]) for r in placed.groupBy("range").agg(F.sum("size"), F.count("*")).collect()}
+        placed = records.withColumn("_range", ranges.below(key, cuts, _literal))
+        found = {r[0]: (r[1], r[2]) for r in placed.groupBy("_range").agg(F.sum("size"), F.count("*")).collect()}
         totals = [found.get(n, (0, 0)) for n in range(len(cuts) + 1)]
         mean = max(1, total / wanted), max(1, count / wanted)
         # a range of one key cannot be cut; one that was tried in vain is such a range
@@ -122,13 +122,13 @@ def _cut(records: DataFrame, total: int, count: int) -> tuple[list[Any], list[tu
         if not over or turn == ROUNDS - 1 or len(cuts) >= 4 * ranges.MOST_RANGES:
             return cuts, totals
         tried |= {(tuple(cuts[n - 1 : n + 1]), n) for n in over}
-        inside = placed.where(F.col("range").isin(over))
+        inside = placed.where(F.col("_range").isin(over))
         drawn = ranges.sample(inside, key, [*salt, F.lit(turn)], F.lit(1.0), sum(totals[n][1] for n in over), len(over) * 4 * ranges.SAMPLES_PER_RANGE)
         cuts = sorted({*cuts, *(tuple(k) for k in drawn[:: ranges.SAMPLES_PER_RANGE])})
     raise AssertionError("unreachable")
 
 
-def _place(records: DataFrame, kept: list[str], placed: list[list[tuple]], counts: list[int]) -> DataFrame:
+def _place(records: DataFrame, columns: list[str], placed: list[list[tuple]], counts: list[int]) -> DataFrame:
     """The big records, fewer than eight a shard, in their shards behind the small ones."""
     # equal keys can be in several shards: the n-th of them takes the n-th place
     spots: dict[tuple, list[tuple[int, int]]] = {}
@@ -146,4 +146,4 @@ def _place(records: DataFrame, kept: list[str], placed: list[list[tuple]], count
         F.concat_ws("/", F.col("_key.hash").cast("string"), F.col("_key.id").cast("string")),
     )
     nth = F.row_number().over(Window.partitionBy("_key").orderBy("size"))
-    return records.withColumn("_at", F.get(at, nth - 1)).select(*kept, "size", F.col("_at.shard").alias("shard"), F.col("_at.slot").alias("slot"))
+    return records.withColumn("_at", F.get(at, nth - 1)).select(*columns, "size", F.col("_at.shard").alias("shard"), F.col("_at.slot").alias("slot"))

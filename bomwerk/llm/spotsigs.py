@@ -9,10 +9,14 @@ and between neighbouring ranges of sizes, and only where rare signatures meet.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomwerk.llm import ranges
+from bomwerk.llm import ranges, rounds
+from bomwerk.llm.tables import kept, stored
+from bomwerk.operators.lookup import join_on_key
 
 # Function words of English, German, French and Spanish.
 ANCHORS = (
@@ -25,6 +29,7 @@ CHAIN = 2  # content words behind an anchor
 SKIP = 8  # anchors a chain steps over between two content words
 DOCS_PER_RANGE = 512
 LEAST = -(2**63)
+SIMILARITY = 0.8
 
 
 def _pattern(words) -> str:
@@ -70,6 +75,47 @@ def jaccard(left: Column, right: Column, least: float = 0.0) -> Column:
     )
 
 
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, links) for every document with an id; the class is named by its lowest id.
+
+    Documents belong together if a chain of fingerprints, each similar to the next, joins
+    them; ``links`` counts the comparisons that linked the document's fingerprint. Sets
+    are partitioned by size so that similar ones are in the same or in neighbouring
+    partitions. In a set's rarest signatures, as many as a similar set cannot miss
+    altogether, it meets the sets of both. Rows that repeat an id are one document; texts
+    without a signature form one class.
+    """
+    prints = stored(
+        docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.col("text")).alias("spots")), "spot-prints"
+    )
+    nodes = stored(prints.groupBy("spots").agg(F.min("doc_id").alias("node")).select("node", "spots"), "spot-nodes")
+    spots = nodes.select("node", F.size("spots").alias("size"), F.explode("spots").alias("spot"))
+    often = spots.groupBy("spot").agg(F.count("*").alias("often"))
+    by_rarity = join_on_key(spots, often, {"spot": "spot"}, "inner").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("often", "spot"))).alias("spots"))
+    # sizes are cut where a set stops being similar to the smallest one of its partition
+    part = F.floor(F.log("size") / F.lit(-math.log(similarity))).cast("int")
+    prefix = (F.col("size") - F.ceil(F.col("size") * similarity) + 1).cast("int")
+    members = (
+        by_rarity.select("node", part.alias("part"), F.explode(F.slice("spots", F.lit(1), prefix)).alias("s"))
+        .select("node", "s.spot", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+        .select("node", F.xxhash64("spot", "part").alias("bucket"))
+    )
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        pairs = join_on_key(pairs, nodes, {"node": "node"}, "inner").withColumnRenamed("spots", "_left")
+        pairs = join_on_key(pairs, nodes, {"hub": "node"}, "inner")
+        near = jaccard(F.col("_left"), F.col("spots"))
+        return pairs.select("node", "hub", near.alias("near")).withColumn("linked", F.col("near") >= similarity)
+
+    found = stored(rounds.links(members, judge, 1 - similarity), "spot-links")
+    roots = stored(rounds.components(found), "spot-roots")
+    numbers = found.select(F.explode(F.array("node", "other")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    key = F.xxhash64("spots").alias("_key")
+    named = join_on_key(join_on_key(nodes.select("node", key), roots, {"node": "node"}), numbers, {"node": "node"})
+    named = named.select("_key", F.coalesce("root", "node").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return join_on_key(prints.select("doc_id", key), named, {"_key": "_key"}, "inner").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("links").alias("links"))
+
+
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` with ``next_<column>`` of the document before it by id; before the first stands the last.
 
@@ -77,7 +123,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     document at an end is the next one of the range above, and is sent there as well.
     Ids that repeat are ordered by their text's hash; a null id is the lowest.
     """
-    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)))
+    rows = docs.select(*kept(docs, *[f"next_{c}" for c in columns])).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)))
     count, highest = rows.agg(F.count("*"), F.max("_key")).first()
     wanted = ranges.count_ranges(count, DOCS_PER_RANGE)
     key = F.col("_key")

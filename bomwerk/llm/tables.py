@@ -18,6 +18,16 @@ def stored(rows: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(folder)
 
 
+def kept(rows: DataFrame, *results: str) -> list[str]:
+    """The columns that an operator hands on beside its ``results``.
+
+    A column with the name of a result is replaced by it, whatever its case. Names that
+    begin with an underscore are the operators' own; such columns are dropped.
+    """
+    taken = {name.lower() for name in results}
+    return [name for name in rows.columns if name.lower() not in taken and not name.startswith("_")]
+
+
 def read(spark, folder: str, name: str) -> DataFrame:
     """A table of the corpus."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")

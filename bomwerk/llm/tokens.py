@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomwerk.llm import batches
+from bomwerk.llm.tables import kept
 
 CHUNK = 16_384  # characters; a longer text is encoded in chunks
 OVERLAP = 256  # characters, doubled where alignment fails
@@ -137,8 +138,8 @@ def count(docs: DataFrame, path: str, limit: int = 2048, text: str = "text") ->
     library does by default; nothing is truncated. A null or empty text has no token.
     Columns with the names of the results are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
-    rows = docs.select(*kept)
+    columns = kept(docs, "n_bytes", "n_tokens", "over_limit")
+    rows = docs.select(*columns)
     schema = rows.withColumn("n_tokens", F.lit(0).cast("long")).schema
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +149,7 @@ def count(docs: DataFrame, path: str, limit: int = 2048, text: str = "text") ->
         counter = Counter(path)
         for batch in parts:
             for part in batches.slices(batch, text):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counter.batch(part.column(text)), pa.int64())], names=[*kept, "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counter.batch(part.column(text)), pa.int64())], names=[*columns, "n_tokens"])
 
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    return rows.mapInArrow(run, schema).select(*kept, size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return rows.mapInArrow(run, schema).select(*columns, size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

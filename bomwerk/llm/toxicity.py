@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomwerk.llm import batches
+from bomwerk.llm.tables import kept
 
 PRIOR = 0.05  # weight of the prior, as a share of the labelled documents
 MIN_Z = 3.0  # a word's score is how far its log-odds are beyond so many standard errors
@@ -141,8 +142,8 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
     is significant. A null or empty text has no passage. Columns with the names of the
     results are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("evidence", "passages")]
-    rows = docs.select(*kept)
+    columns = kept(docs, "evidence", "passages")
+    rows = docs.select(*columns)
     kind = "array<struct<start:int,end:int,score:double,expected:double>>"
     schema = rows.withColumns({"evidence": F.lit(0.0), "passages": F.array().cast(kind)}).schema
     scores, drift = model.scores, model.drift
@@ -165,7 +166,7 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
                     totals.append(total)
                     lists.append(passages)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(totals, pa.float64()), pa.array(lists, pa.list_(passage))], names=[*kept, "evidence", "passages"]
+                    [*part.columns, pa.array(totals, pa.float64()), pa.array(lists, pa.list_(passage))], names=[*columns, "evidence", "passages"]
                 )
 
     return rows.mapInArrow(run, schema)
@@ -183,7 +184,12 @@ def _aggregate(found: list[tuple[int, int, float]], length: int) -> tuple[float,
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``evidence``, ``passages`` and the calibrated ``score`` from 0 to 1."""
+    """``docs`` with ``evidence``, ``passages`` and the calibrated ``score`` from 0 to 1.
+
+    An empty text has a score too, that of a text without evidence. A column named
+    ``score`` is replaced.
+    """
     slope, offset = model.weights
     curve = 1 / (1 + F.exp(-(F.lit(slope) * F.greatest(F.least(F.col("evidence"), F.lit(MOST_EVIDENCE)), F.lit(-50.0)) + F.lit(offset))))
-    return evidence(docs, model).withColumn("score", curve)
+    rows = evidence(docs, model)
+    return rows.select(*kept(rows, "score"), curve.alias("score"))
