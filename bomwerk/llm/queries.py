@@ -72,7 +72,7 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """The toxicity of all documents, learnt from the labels of four fifths of them."""
     docs = read(spark, folder, "documents").select("doc_id", "text")
     labels = read(spark, folder, "labels").select("doc_id", "toxic").where(~langid.held_out(F.col("doc_id"), 5, 0))
-    model = toxicity.train(docs.join(labels, "doc_id"))
+    model = toxicity.train(docs, labels)
     rows = toxicity.score(docs.withColumn("held_out", langid.held_out(F.col("doc_id"), 5, 0)), model)
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 

@@ -26,7 +26,7 @@ from bomwerk.llm.tables import kept
 PRIOR = 0.05  # weight of the prior, as a share of the labelled documents
 MIN_Z = 3.0  # a word's score is how far its log-odds are beyond so many standard errors
 MOST_WORDS = 50_000  # of the model: those with the highest z
-MOST_LABELLED = 400_000  # documents that the word counts use, drawn by hash; bounds the fit only
+MOST_LABELLED = 40_000  # documents that the word counts use, drawn by hash; bounds the fit only
 CALIBRATION = 20_000  # labelled documents that the calibration uses, drawn by hash
 K = 0.1  # of the extreme-value law
 MOST_EVIDENCE = 6.0  # more of it makes no difference to the calibrated score
@@ -70,19 +70,22 @@ def segments(scores: np.ndarray, places: np.ndarray, length: int, drift: float)
     return [(start, end, total - before) for start, end, before, total, _ in found]
 
 
-def train(labelled: DataFrame) -> Model:
-    """A model from ``labelled`` (doc_id, text, toxic 0 or 1).
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1).
 
-    Counts documents per word over at most about ``MOST_LABELLED`` of them; the words
-    stay in Spark but for the significant ones. Rows with a null label or text do not
-    count. With one label only, every text gets the same score.
+    Counts documents per word over about ``MOST_LABELLED`` labelled ones; the words stay
+    in Spark but for the significant ones. A document with several labels is toxic if
+    one says so; null labels and texts do not count. With one label only, every text
+    gets the same score.
     """
-    rows = labelled.where(F.col("toxic").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    totals = {row.toxic: row["count"] for row in rows.groupBy("toxic").count().collect()}
+    labels = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    totals = {row.toxic: row["count"] for row in labels.groupBy("toxic").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         return Model({}, -1e-6, (0.0, 4.0 if toxic else -4.0))
-    rows = _drawn(rows, MOST_LABELLED, toxic + clean)
+    # some MOST_LABELLED pairs of two numbers, less than a megabyte, go to every task; no text is shuffled
+    drawn = F.broadcast(_drawn(labels, MOST_LABELLED, toxic + clean))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(drawn, "doc_id")
     spoken = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " ")), " "))
     counts = rows.select("toxic", F.explode(spoken).alias("word")).where(F.col("word") != "").groupBy("word").agg(
         F.sum("toxic").alias("in_toxic"), F.count("*").alias("in_all")
@@ -103,7 +106,7 @@ def train(labelled: DataFrame) -> Model:
     # in a toxic passage about one word in twenty is one of the model's
     drift = math.log(0.95)
     model = Model(scores, drift)
-    examples = _drawn(rows, CALIBRATION, toxic + clean)
+    examples = _drawn(rows, CALIBRATION, toxic + clean)  # a part of the same ones
     points = evidence(examples.select("text", "toxic"), model).select("evidence", "toxic").collect()
     model.weights = _logistic(np.array([p[0] for p in points]), np.array([p[1] for p in points], dtype=float))
     return model
