@@ -1,10 +1,10 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-A word's score is the log-odds of toxic against other documents under a Dirichlet prior
-that follows the word's frequency in all labelled documents; words without significant
-log-odds have a common, slightly negative score. Scores are taken at the cautious end of
-their interval, so words that a few copies of a document share weigh little. The linear
-scan of Ruzzo and Tompa finds all maximal-scoring segments of a text. As scores are
+A token is a word or the beginning of one. Its score is the log-odds of toxic against other
+documents under a Dirichlet prior that follows the token's frequency in all labelled
+documents, taken at the cautious end of its interval, so tokens that a few copies of a
+document share weigh little. A word has the strongest score of its tokens; words without
+significant tokens have a common, slightly negative score. The linear scan of Ruzzo and Tompa finds all maximal-scoring segments of a text. As scores are
 log-likelihood ratios, the best score of n unrelated words has an extreme-value
 distribution with scale 1, which turns a segment's score into the number of such
 segments expected by chance.
@@ -13,7 +13,7 @@ segments expected by chance.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,22 +21,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomwerk.llm import batches
-from bomwerk.llm.tables import kept
+from bomwerk.llm.tables import kept, stored
 
 PRIOR = 0.05  # weight of the prior, as a share of the labelled documents
-MIN_Z = 3.0  # a word's score is how far its log-odds are beyond so many standard errors
-MOST_WORDS = 50_000  # of the model: those with the highest z
+CAUTION = (2.0, 2.5, 3.0, 3.5)  # a token's score is how far its log-odds are beyond so many standard errors; the best number is taken
+BEGINNINGS = (7, 6, 5)  # letters
+MOST_TOKENS = 50_000  # of the model: those with the highest z
 MOST_LABELLED = 40_000  # documents that the word counts use, drawn by hash; bounds the fit only
-CALIBRATION = 20_000  # labelled documents that the calibration uses, drawn by hash
+CALIBRATION = 4  # one labelled document in so many is kept from the counts for the calibration
 K = 0.1  # of the extreme-value law
 MOST_EVIDENCE = 6.0  # more of it makes no difference to the calibrated score
 EXPECTED = 0.01  # a segment is significant if fewer than so many are expected by chance
 
 
 class Model:
-    """Scores of words, the common score of all others, and the calibration."""
+    """Scores of tokens, the common score of words without one, and the calibration."""
 
-    def __init__(self, scores: dict[str, float], drift: float, weights: tuple[float, float] = (0.0, 0.0)):
+    def __init__(self, scores: dict[str, float], drift: float, weights: Sequence[float] = (0.0, 0.0)):
         self.scores, self.drift, self.weights = scores, drift, weights
 
 
@@ -73,8 +74,9 @@ def segments(scores: np.ndarray, places: np.ndarray, length: int, drift: float)
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1).
 
-    Counts documents per word over about ``MOST_LABELLED`` labelled ones; the words stay
-    in Spark but for the significant ones. A document with several labels is toxic if
+    Counts documents per token over about ``MOST_LABELLED`` labelled ones; the tokens stay
+    in Spark but for the significant ones. A part of the documents is not counted: on it
+    the scores are calibrated, and the caution is chosen that fits best. A document with several labels is toxic if
     one says so; null labels and texts do not count. With one label only, every text
     gets the same score.
     """
@@ -86,30 +88,33 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # some MOST_LABELLED pairs of two numbers, less than a megabyte, go to every task; no text is shuffled
     drawn = F.broadcast(_drawn(labels, MOST_LABELLED, toxic + clean))
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(drawn, "doc_id")
-    spoken = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " ")), " "))
-    counts = rows.select("toxic", F.explode(spoken).alias("word")).where(F.col("word") != "").groupBy("word").agg(
-        F.sum("toxic").alias("in_toxic"), F.count("*").alias("in_all")
-    )
-    share = min(1.0, MOST_LABELLED / (toxic + clean))
+    kept_back = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(CALIBRATION)) == 0
+    words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " ")), " "))
+    begun = [F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.lit("^"), F.left(w, F.lit(n)))) for n in BEGINNINGS]
+    tokens = rows.where(~kept_back).select("toxic", F.explode(F.array_distinct(F.concat(words, *begun))).alias("token"))
+    counts = tokens.where(F.col("token") != "").groupBy("token").agg(F.sum("toxic").alias("in_toxic"), F.count("*").alias("in_all"))
+    share = min(1.0, MOST_LABELLED / (toxic + clean)) * (1 - 1 / CALIBRATION)
     n1, n0 = toxic * share, clean * share
     weight = PRIOR * (n1 + n0)
     prior = PRIOR * F.col("in_all")
     y1, y0 = F.col("in_toxic") + prior, F.col("in_all") - F.col("in_toxic") + prior
     odds = F.log(y1 / F.greatest(F.lit(n1 + weight) - y1, F.lit(0.5))) - F.log(y0 / F.greatest(F.lit(n0 + weight) - y0, F.lit(0.5)))
     z = odds / F.sqrt(1 / y1 + 1 / y0)
-    words = (
-        counts.where(F.col("in_all") > 1)
-        .select("word", odds.alias("odds"), z.alias("z"))
-        .where(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "word").limit(MOST_WORDS).collect()
+    strong = (
+        counts.where(F.col("in_all") > 1).select("token", odds.alias("odds"), z.alias("z"))
+        .where(F.abs("z") >= CAUTION[0]).orderBy(F.abs("z").desc(), "token").limit(MOST_TOKENS).collect()
     )
-    scores = {row.word: row.odds * (1 - MIN_Z / abs(row.z)) for row in words}
     # in a toxic passage about one word in twenty is one of the model's
     drift = math.log(0.95)
-    model = Model(scores, drift)
-    examples = _drawn(rows, CALIBRATION, toxic + clean)  # a part of the same ones
-    points = evidence(examples.select("text", "toxic"), model).select("evidence", "toxic").collect()
-    model.weights = _logistic(np.array([p[0] for p in points]), np.array([p[1] for p in points], dtype=float))
-    return model
+    examples = stored(rows.where(kept_back).select("text", "toxic"), "toxic-examples")  # a quarter of a bounded sample
+    best = None
+    for caution in CAUTION:
+        model = Model({row.token: row.odds * (1 - caution / abs(row.z)) for row in strong if abs(row.z) >= caution}, drift)
+        points = evidence(examples, model).select("evidence", "toxic").collect()
+        *model.weights, loss = _logistic(np.array([p[0] for p in points]), np.array([p[1] for p in points], dtype=float))
+        if best is None or loss < best[0]:
+            best = loss, model
+    return best[1]
 
 
 def _drawn(rows: DataFrame, most: int, count: int) -> DataFrame:
@@ -118,22 +123,29 @@ def _drawn(rows: DataFrame, most: int, count: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / count))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through the points, slightly regularised, by Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Slope, offset and mean loss of a logistic curve through the points, slightly regularised, by damped Newton steps."""
     if not len(x) or y.min() == y.max():
-        return 0.0, (4.0 if len(y) and y[0] else -4.0)
+        return 0.0, (4.0 if len(y) and y[0] else -4.0), 0.0
     x = np.clip(x, -50.0, MOST_EVIDENCE)
-    slope, offset = 0.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
+
+    def loss(at: np.ndarray) -> float:
+        z = at[0] * x + at[1]
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + 0.05 * at[0] ** 2)
+
+    at = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(at[0] * x + at[1], -30, 30)))
         w = p * (1 - p) + 1e-9
-        g = np.array([((y - p) * x).sum() - 0.1 * slope, (y - p).sum()])
-        h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum()]])
-        step = np.clip(np.linalg.solve(h + 1e-6 * np.eye(2), g), -2, 2)
-        slope, offset = slope + step[0], offset + step[1]
-        if np.abs(step).max() < 1e-6:
+        slope = np.array([((y - p) * x).sum() - 0.1 * at[0], (y - p).sum()])
+        curve = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum()]])
+        step = np.linalg.solve(curve + 1e-6 * np.eye(2), slope)
+        while np.abs(step).max() > 1e-7 and loss(at + step) > loss(at):
+            step = step / 2
+        if np.abs(step).max() <= 1e-7:
             break
-    return float(slope), float(offset)
+        at = at + step
+    return float(at[0]), float(at[1]), loss(at) / len(y)
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
@@ -156,7 +168,7 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
         for batch in parts:
             for part in batches.slices(batch):
                 codes, words, starts = batches.split(batches.plain(part.column("text")))
-                own = np.array([scores.get(word, 0.0) for word in words])
+                own = np.array([_strongest(word, scores) for word in words])
                 scored = own[codes] if len(codes) else np.zeros(0)
                 hits = np.flatnonzero(scored)
                 edges = np.searchsorted(hits, starts)
@@ -175,6 +187,11 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _strongest(word: str, scores: dict[str, float]) -> float:
+    own = [scores.get(word, 0.0), *(scores.get("^" + word[:n], 0.0) for n in BEGINNINGS if len(word) > n)]
+    return max(own, key=abs)
+
+
 def _aggregate(found: list[tuple[int, int, float]], length: int) -> tuple[float, list[dict]]:
     chance = math.log(K * max(1, length))
     passages = [
