@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bomwerk.operators.dimensions import Tables
 from bomwerk.plans.planning import purchase_order_lines
 
-# The columns a layout can choose from.
+# Fixed values of the ERP: the columns a layout can choose from.
 EXPORT_COLUMNS = (
     "Item Code", "Supplier Code", "Item Name", "Quantity", "Unit", "Rate", "Amount", "Supplier", "Supplier Name",
     "Purchase Order", "Transaction Date", "Schedule Date",
@@ -40,3 +40,10 @@ def supplier_export(tables: Tables, delivery_date: str) -> DataFrame:
         F.col("artikel_data").alias("column_name"),
         F.element_at("values", F.col("artikel_data")).alias("value"),
     )
+
+
+def export_layout_rejects(tables: Tables) -> DataFrame:
+    """Layout rows that name no export column; ``supplier_export`` leaves them out."""
+    layout = tables["export_layout"]
+    known = F.coalesce(F.col("artikel_data").isin(list(EXPORT_COLUMNS)), F.lit(False))
+    return layout.filter(~known).select("supplier", "idx", F.col("artikel_data").alias("name"), F.lit("unknown column").alias("reason"))

@@ -36,7 +36,7 @@ EXCLUDED_GROUPS = ("HPL Onderdelen", "Meubelstoffen", "Gordijnstoffen", "Vloer O
 LINES_PER_PART = 1000
 
 SHEET_COLUMNS = (
-    "bom_item", "bom_item_parts", "item_code", "item_name", "uom", "stock_uom", "safety_stock", "min_order_qty",
+    "item_code", "item_name", "uom", "stock_uom", "safety_stock", "min_order_qty",
     "conversion_factor", "req_qty", "stock_qty", "order_qty", "balance", "status", "qty", "supplier",
     "supplier_part_no",
 )
@@ -205,6 +205,7 @@ def planning_pegging(
     A text holds ``lines_per_part`` lines; a component with more gets further parts,
     so no task ever gathers all lines of a hot component and none are lost.
     """
+    # fixed values of the ERP: the words of the text
     text = F.concat(
         F.lit("Offerte : "), "quotation", F.lit(" Regel : "), F.col("idx").cast("string"),
         F.lit(" - "), F.col("todo").cast("string"), F.lit(" X "), "item_name",
@@ -315,7 +316,7 @@ def replenish_bin_unstocked(tables: Tables, **params) -> DataFrame:
 
 
 def _sheet_rows(tables: Tables, guard: str) -> DataFrame:
-    """The sheet without its pegging text."""
+    """The sheet with all its columns."""
     demand = (
         _demand(tables, STATUSES, EXCLUDED_GROUPS, True)
         .withColumn("qty", _demand_qty())
@@ -329,22 +330,17 @@ def _sheet_rows(tables: Tables, guard: str) -> DataFrame:
     return demand.unionByName(below_safety, allowMissingColumns=True)
 
 
-def planning_sheet(tables: Tables, guard: str = "global", lines_per_part: int = LINES_PER_PART) -> DataFrame:
+def planning_sheet(tables: Tables, guard: str = "global") -> DataFrame:
     """All proposals in one schema, with the source each came from.
 
-    ``bom_item`` is the first part of the pegging text and ``bom_item_parts`` the number
-    of parts; ``planning_pegging`` has them all.
+    The pegging text is a child table, ``planning_sheet_pegging``.
     """
-    texts = (
-        planning_pegging(tables, lines_per_part=lines_per_part)
-        .groupBy("item_code")
-        .agg(
-            F.max(F.when(F.col("part") == 1, F.col("bom_item"))).alias("bom_item"),
-            F.count("*").alias("bom_item_parts"),
-        )
-        .withColumn("source", F.lit("demand"))
-    )
-    return _sheet_rows(tables, guard).join(texts, ["source", "item_code"], "left").select("source", *SHEET_COLUMNS)
+    return _sheet_rows(tables, guard).select("source", *SHEET_COLUMNS)
+
+
+def planning_sheet_pegging(tables: Tables, lines_per_part: int = LINES_PER_PART) -> DataFrame:
+    """The pegging texts of the sheet: a row for each part of each row. Only demand has any."""
+    return planning_pegging(tables, lines_per_part=lines_per_part).select(F.lit("demand").alias("source"), "item_code", "part", "bom_item")
 
 
 def purchase_order_lines(tables: Tables, delivery_date: str, guard: str = "global") -> DataFrame:

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomwerk.functions.columns import MONEY
 from bomwerk.operators.dimensions import Tables
 from bomwerk.operators.lookup import lookup, one_per_key
 from bomwerk.operators.postings import STOCK, WORK_COST, memo_documents, postings
+from bomwerk.operators.ranking import numbered
 
 # Fixed values of the ERP.
 RECEIPT, ISSUE = "Material Receipt", "Material Issue"
 IN, OUT = "In", "Uit"
-UNITS_SHOWN = 20
 
 
 def scanned(tables: Tables, transactions: DataFrame) -> DataFrame:
@@ -77,11 +77,11 @@ def txn_lookup(tables: Tables) -> DataFrame:
     )
 
 
-def txn_units(tables: Tables, shown: int = UNITS_SHOWN) -> DataFrame:
-    """The first units of each item, in their order: one page of a pick list."""
+def txn_units(tables: Tables, page: int | None = None) -> DataFrame:
+    """The units of each item with their position; the first ``page`` of them if a page is asked for."""
     units = tables["uom_conversion_detail"].groupBy(F.col("parent").alias("item_code"), "uom").agg(F.min("idx").alias("idx"))
-    position = F.row_number().over(Window.partitionBy("item_code").orderBy("idx", "uom"))
-    return units.withColumn("position", position).filter(F.col("position") <= shown).select("item_code", "uom", "position")
+    rows = numbered(units, ["item_code"], ["idx", "uom"])
+    return (rows if page is None else rows.filter(F.col("position") <= page)).select("item_code", "uom", "position")
 
 
 def txn_quantity(tables: Tables) -> DataFrame:

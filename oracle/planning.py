@@ -115,14 +115,12 @@ SHEET = TEXTS + GROUPED.removeprefix(FANNED) + "".join(
     f",\n{name} AS ({sql})" for name, sql in BRANCHES.items()
 ) + """,
 sheet AS (
-  SELECT 'demand' AS source, (SELECT max(bom_item) FROM texts t WHERE t.item_code = planned.item_code AND part = 1) AS bom_item,
-         (SELECT count(*) FROM texts t WHERE t.item_code = planned.item_code) AS bom_item_parts,
-         item_code, item_name, uom, stock_uom, safety_stock, min_order_qty, conversion_factor, req_qty, stock_qty, order_qty,
+  SELECT 'demand' AS source, item_code, item_name, uom, stock_uom, safety_stock, min_order_qty, conversion_factor, req_qty, stock_qty, order_qty,
          round(stock_qty + order_qty - req_qty, 2) AS balance, CASE WHEN x < 0 THEN 'red' ELSE 'green' END AS status, qty, supplier, supplier_part_no
   FROM planned""" + "".join(
     f"""
   UNION ALL
-  SELECT '{name}', NULL, NULL, item_code, item_name, uom, stock_uom, safety_stock, min_order_qty, conversion_factor, NULL, stock_qty, ordered_qty,
+  SELECT '{name}', item_code, item_name, uom, stock_uom, safety_stock, min_order_qty, conversion_factor, NULL, stock_qty, ordered_qty,
          shortage, 'red', order_qty, supplier, supplier_part_no FROM {name}"""
     for name in BRANCHES
 ) + ")"
@@ -142,10 +140,14 @@ QUERIES = {
     "replenish_bin_stocked": f"{REPLENISH_COLUMNS}\n{BRANCHES['bin_stocked']}",
     "replenish_bin_unstocked": f"{REPLENISH_COLUMNS}\n{BRANCHES['bin_unstocked']}",
     "replenish_stocked_per_item": f"{REPLENISH_COLUMNS}\n{replenish_select(True, False, PER_ITEM)}",
-    "planning_sheet": f"""s: source bom_item i: bom_item_parts s: item_code item_name uom stock_uom n: safety_stock min_order_qty conversion_factor req_qty stock_qty order_qty balance s: status n: qty s: supplier supplier_part_no
+    "planning_sheet": f"""s: source item_code item_name uom stock_uom n: safety_stock min_order_qty conversion_factor req_qty stock_qty order_qty balance s: status n: qty s: supplier supplier_part_no
 {SHEET}
 --main
 SELECT * FROM sheet""",
+    "planning_sheet_pegging": f"""s: source item_code i: part s: bom_item
+{SHEET}
+--main
+SELECT s.source, t.* FROM texts t JOIN sheet s ON s.source = 'demand' AND s.item_code = t.item_code""",
     "purchase_order_lines": f"""s: supplier source item_code supplier_part_no d: schedule_date n: qty s: uom stock_uom n: conversion_factor s: description n: stock_qty
 {LINES}
 --main

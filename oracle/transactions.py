@@ -60,7 +60,7 @@ QUERIES = {
 --main
 SELECT * REPLACE (scan_reason AS reason) FROM judged""",
     "txn_units": """s: item_code uom i: position
-SELECT parent AS item_code, uom, row_number() OVER (PARTITION BY parent ORDER BY idx) AS position FROM t_uom_conversion_detail QUALIFY position <= 20""",
+SELECT parent AS item_code, uom, row_number() OVER (PARTITION BY parent ORDER BY idx) AS position FROM t_uom_conversion_detail""",
     "txn_quantity": f"""s: name artikel unit n: qty conversion_factor aantal
 {CHECKED}
 --main
@@ -131,4 +131,6 @@ SELECT p.supplier, p.source, p.item_code, l.idx AS position, l.artikel_data AS c
             WHEN 'Quantity' THEN CAST(CAST(p.qty AS DECIMAL(18,6)) AS VARCHAR) WHEN 'Unit' THEN p.uom WHEN 'Supplier' THEN p.supplier WHEN 'Supplier Name' THEN s.supplier_name
             WHEN 'Purchase Order' THEN p.supplier || '/1999-06-01' WHEN 'Transaction Date' THEN '1999-06-01' WHEN 'Schedule Date' THEN '1999-06-01' END AS value
 FROM po p JOIN t_export_layout l ON l.supplier = p.supplier AND l.artikel_data <> 'Kleur' LEFT JOIN t_supplier s ON s.name = p.supplier""",
+    "export_layout_rejects": """s: supplier i: idx s: name reason
+SELECT supplier, idx, artikel_data AS name, 'unknown column' AS reason FROM t_export_layout WHERE artikel_data = 'Kleur'""",
 }

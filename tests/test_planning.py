@@ -196,7 +196,15 @@ def test_sheet_is_the_sum_of_its_sources(small):
     }
     assert counts == {name: rows.count() for name, rows in parts.items() if rows.count()}
     row = sheet.filter("source = 'stocked'").first()
-    assert row["req_qty"] is None and row["bom_item"] is None
+    assert row["req_qty"] is None
+
+
+def test_sheet_pegging_holds_every_line(small):
+    texts = planning.planning_sheet_pegging(small, lines_per_part=3)
+    found = texts.selectExpr("item_code", "explode(split(bom_item, '<br>')) AS line")
+    assert texts.filter("part > 1").count() and found.count() == planning.planning_pegging_rows(small).count()
+    sheet = planning.planning_sheet(small).filter("source = 'demand'")
+    assert sheet.join(texts, "item_code", "left_anti").count() == texts.join(sheet, "item_code", "left_anti").count() == 0
 
 
 def test_exact_need_is_never_larger(small):
