@@ -56,11 +56,3 @@ def ratio(amount: Column, unit: Column) -> Column:
 def filled(value: Column) -> Column:
     """Neither NULL nor empty; never NULL itself."""
     return value.isNotNull() & F.coalesce(value != "", F.lit(False))
-
-
-def first_segment(value: Column) -> Column:
-    return F.substring_index(value, "-", 1)
-
-
-def last_segment(value: Column) -> Column:
-    return F.substring_index(value, "-", -1)

@@ -10,6 +10,7 @@ from bomwerk.operators.dimensions import Tables
 from bomwerk.operators.lookup import lookup, one_per_key
 from bomwerk.operators.mutate import update_by_key
 from bomwerk.operators.postings import CLEARING, REVENUE, memo_documents, postings
+from bomwerk.plans.quotes import leads_linked
 
 # Fixed values of the ERP.
 ADVANCE_SHARE = "0.3"
@@ -35,7 +36,7 @@ def _no_money() -> Column:
 
 def _leads_by_reference(tables: Tables) -> DataFrame:
     return one_per_key(
-        tables["lead"].filter(filled(F.col("configurator_id"))).select(
+        leads_linked(tables).filter(filled(F.col("configurator_id"))).select(
             "configurator_id", "name", "lead_name", "snelstart_relatie", "snelstart_kostenplaats"
         ),
         ["configurator_id"], ["name"],
@@ -52,7 +53,8 @@ def _with_lead(rows: DataFrame, tables: Tables) -> DataFrame:
 def down_payment_invoices(tables: Tables, share: str = ADVANCE_SHARE, vat_share: str = VAT_SHARE) -> DataFrame:
     """30 % of every quotation; the VAT is 21 % of that gross amount, when the quotation has taxes."""
     quotations = tables["quotation"].select(
-        F.col("name").alias("quotation"), "klant_referentie", "transaction_date", "grand_total", "total_taxes_and_charges"
+        F.col("name").alias("quotation"), "klant_referentie", "transaction_date", "grand_total",
+        F.col("taxes_and_charges").alias("vat_kind"), "total_taxes_and_charges",
     )
     part = _share(F.col("grand_total"), share)
     vat = F.when(F.col("total_taxes_and_charges") > 0, money(_share(part, vat_share))).otherwise(_no_money())
@@ -62,7 +64,7 @@ def down_payment_invoices(tables: Tables, share: str = ADVANCE_SHARE, vat_share:
         .withColumn("vat", vat)
         .select(
             "quotation", F.col("transaction_date").alias("invoice_date"), F.lit(TERM_DAYS).alias("term"), "klant_naam",
-            "relation", "cost_centre", "total", money(F.col("total") - F.col("vat")).alias("line"), "vat",
+            "relation", "cost_centre", "total", money(F.col("total") - F.col("vat")).alias("line"), "vat", "vat_kind",
             F.when(F.col("lead").isNull(), "no lead").alias("reason"),
         )
     )
@@ -85,7 +87,8 @@ def final_invoices(
     )
     booked = one_per_key(booked, ["klant_referentie"], ["transaction_date", "name"], last=True)
     invoices = tables["sales_invoice"].filter(filled(F.col("klant_referentie"))).select(
-        F.col("name").alias("invoice"), "klant_referentie", "posting_date", "grand_total", "total_taxes_and_charges"
+        F.col("name").alias("invoice"), "klant_referentie", "posting_date", "grand_total",
+        F.col("taxes_and_charges").alias("vat_kind"), "total_taxes_and_charges",
     )
     rows = lookup(
         _with_lead(invoices, tables), booked, {"klant_referentie": "klant_referentie"},
@@ -99,7 +102,7 @@ def final_invoices(
         .withColumn("vat", F.when(taxes > 0, money(taxes)).otherwise(_no_money()))
         .select(
             "invoice", F.col("posting_date").alias("invoice_date"), F.lit(TERM_DAYS).alias("term"), "quotation", "klant_naam",
-            "relation", "cost_centre", "advance", "total", money(F.col("total") - F.col("vat")).alias("line"), "vat",
+            "relation", "cost_centre", "advance", "total", money(F.col("total") - F.col("vat")).alias("line"), "vat", "vat_kind",
             reason.alias("reason"),
         )
     )
@@ -110,7 +113,7 @@ def direct_invoices(tables: Tables) -> DataFrame:
     else a relation to create. A customer whose lead has no relation is rejected."""
     invoices = tables["sales_invoice"].filter(~filled(F.col("klant_referentie"))).select(
         F.col("name").alias("invoice"), "customer", "posting_date", "grand_total", "net_total",
-        "total_taxes_and_charges", "snelstart_grootboek",
+        F.col("taxes_and_charges").alias("vat_kind"), "total_taxes_and_charges", "snelstart_grootboek",
     )
     accounts = one_per_key(
         tables["ledger_account"].select("grootboek_naam", "grootboek_code"), ["grootboek_naam"], ["grootboek_code"]
@@ -119,7 +122,7 @@ def direct_invoices(tables: Tables) -> DataFrame:
         invoices, tables["customer"], {"customer": "name"},
         {"customer_lead": "lead_name", "own_relation": "snelstart_referentie"},
     )
-    rows = lookup(rows, tables["lead"], {"customer_lead": "name"}, {"lead_relation": "snelstart_relatie"})
+    rows = lookup(rows, leads_linked(tables), {"customer_lead": "name"}, {"lead_relation": "snelstart_relatie"})
     rows = lookup(rows, accounts, {"snelstart_grootboek": "grootboek_naam"}, {"account": "grootboek_code"})
     has_lead, lead_relation = filled(F.col("customer_lead")), filled(F.col("lead_relation"))
     own = filled(F.col("own_relation"))
@@ -129,7 +132,7 @@ def direct_invoices(tables: Tables) -> DataFrame:
         "invoice", "customer", F.col("posting_date").alias("invoice_date"), F.lit(TERM_DAYS).alias("term"),
         relation.alias("relation"), "account", money(F.col("grand_total")).alias("total"),
         money(F.col("net_total")).alias("line"), money(F.col("total_taxes_and_charges")).alias("vat"),
-        action.alias("action"), F.when(action.isNull(), "lead without relation").alias("reason"),
+        "vat_kind", action.alias("action"), F.when(action.isNull(), "lead without relation").alias("reason"),
     )
 
 
@@ -177,46 +180,86 @@ def invoice_group_rejects(tables: Tables) -> DataFrame:
     return rows.select("invoice", "lead_name", F.lit("no base quotation").alias("reason"))
 
 
-def _bookable(tables: Tables) -> DataFrame:
-    """All invoices that can be booked, in one schema."""
-    columns = ("document", "kind", "invoice_date", "term", "relation", "cost_centre", "account", "text", "total", "line", "vat")
+def _documents(tables: Tables) -> DataFrame:
+    """All invoices in one schema, with the reason why one cannot be calculated."""
+    columns = (
+        "document", "kind", "invoice_date", "term", "relation", "cost_centre", "account", "text", "total", "line", "vat", "vat_kind",
+        "action", "reason",
+    )
     revenue = F.lit(REVENUE)
     nothing = F.lit(None).cast("string")
 
-    def bookable(rows: DataFrame, kind: str, document: str, text: str, account: Column, centre: Column) -> DataFrame:
-        rows = rows.filter(F.col("reason").isNull()).withColumnRenamed(document, "document")
-        rows = rows.withColumn("kind", F.lit(kind)).withColumn("text", F.col(text))
-        return rows.withColumn("account", account).withColumn("cost_centre", centre).select(*columns)
+    def document(rows: DataFrame, kind: str, name: str, text: str, account: Column, centre: Column, action: Column) -> DataFrame:
+        rows = rows.withColumnRenamed(name, "document").withColumn("kind", F.lit(kind)).withColumn("text", F.col(text))
+        return rows.withColumn("account", account).withColumn("cost_centre", centre).withColumn("action", action).select(*columns)
 
     centre = F.col("cost_centre")
-    down = bookable(down_payment_invoices(tables), "down payment", "quotation", "klant_naam", revenue, centre)
-    final = bookable(final_invoices(tables), "final", "invoice", "klant_naam", revenue, centre)
-    direct = bookable(direct_invoices(tables), "direct", "invoice", "customer", F.col("account"), nothing)
+    down = document(down_payment_invoices(tables), "down payment", "quotation", "klant_naam", revenue, centre, nothing)
+    final = document(final_invoices(tables), "final", "invoice", "klant_naam", revenue, centre, nothing)
+    direct = document(direct_invoices(tables), "direct", "invoice", "customer", F.col("account"), nothing, F.col("action"))
     return down.unionByName(final).unionByName(direct)
 
 
+def _judged(tables: Tables) -> DataFrame:
+    """Documents with ``reason`` also set where an id that the booking needs is missing.
+
+    A direct invoice whose relation is still to be created lacks no id but that one.
+    """
+    direct = F.col("kind") == "direct"
+    to_create = F.coalesce(F.col("action") == "create", F.lit(False))
+    reason = (
+        F.when(F.col("reason").isNotNull(), F.col("reason"))
+        .when(~filled(F.col("relation")) & ~to_create, "no relation")
+        .when(~direct & ~filled(F.col("cost_centre")), "no cost centre")
+        .when(~filled(F.col("account")), "no ledger account")
+        .when((direct | (F.col("vat") > 0)) & ~filled(F.col("vat_kind")), "no VAT kind")
+    )
+    return _documents(tables).withColumn("reason", reason).withColumn("to_create", to_create & F.col("reason").isNull())
+
+
+def _bookable(tables: Tables) -> DataFrame:
+    return _judged(tables).filter(F.col("reason").isNull() & ~F.col("to_create"))
+
+
+def booking_rejects(tables: Tables) -> DataFrame:
+    """Documents that cannot be booked."""
+    return _judged(tables).filter(F.col("reason").isNotNull()).select("document", "kind", "reason")
+
+
+def direct_relations_to_create(tables: Tables) -> DataFrame:
+    """Relations that direct invoices wait for: created under the invoice's id and the
+    customer's name, then kept on the customer, so that the next run books the invoice."""
+    return _judged(tables).filter("to_create").select(
+        F.col("document").alias("invoice"), F.col("text").alias("customer"), F.col("document").alias("relatiecode"), F.col("text").alias("naam")
+    )
+
+
 def invoice_balance_check(tables: Tables) -> DataFrame:
     """Line plus VAT against the total, with the sum as text."""
     difference = (F.col("line") + F.col("vat") - F.col("total")).cast(MONEY)
     text = F.concat(
         F.col("line").cast("string"), F.lit(" + "), F.col("vat").cast("string"), F.lit(" = "), F.col("total").cast("string")
     )
-    return _bookable(tables).select(
+    return _documents(tables).filter(F.col("reason").isNull()).select(
         "document", "kind", difference.alias("difference"), F.when(difference != 0, 0).otherwise(1).alias("balanced"),
         text.alias("calculation"),
     )
 
 
-def booking_documents(tables: Tables, vat_kind: str = "Hoog") -> DataFrame:
-    """Bookings as JSON text for the bookkeeping service. Down payments and final invoices
-    have a VAT row only when there is VAT, direct invoices always."""
+def booking_documents(tables: Tables) -> DataFrame:
+    """Bookings as JSON text for the bookkeeping service, with the VAT kind of each document.
+
+    Down payments and final invoices have a VAT row only when there is VAT, direct
+    invoices always. ``booking_rejects`` and ``direct_relations_to_create`` have the
+    documents that are left out.
+    """
     line = F.struct(
         F.col("text").alias("omschrijving"),
         F.struct(F.col("account").alias("id")).alias("grootboek"),
         F.when(F.col("kind") != "direct", F.struct(F.col("cost_centre").alias("id"))).alias("kostenplaats"),
         F.col("line").alias("bedrag"),
     )
-    vat = F.array(F.struct(F.lit(vat_kind).alias("btwSoort"), F.col("vat").alias("btwBedrag")))
+    vat = F.array(F.struct(F.col("vat_kind").alias("btwSoort"), F.col("vat").alias("btwBedrag")))
     booking = F.struct(
         F.col("invoice_date").cast("string").alias("factuurdatum"),
         F.col("document").alias("factuurnummer"),
@@ -231,8 +274,8 @@ def booking_documents(tables: Tables, vat_kind: str = "Hoog") -> DataFrame:
 
 def quote_linked_flag(tables: Tables) -> DataFrame:
     """Quotations with the booked flag set where a down payment was booked."""
-    booked = down_payment_invoices(tables).filter(F.col("reason").isNull()).select(
-        F.col("quotation").alias("name"), F.lit(1).alias("snelstart_koppeling")
+    booked = _bookable(tables).filter(F.col("kind") == "down payment").select(
+        F.col("document").alias("name"), F.lit(1).alias("snelstart_koppeling")
     )
     flags = tables["quotation"].select("name", "snelstart_koppeling")
     return update_by_key(flags, booked, ["name"])

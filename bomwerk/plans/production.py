@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bomwerk.functions.columns import MONEY, filled, floor_div, isin_ci, money, qty, ratio
@@ -121,26 +121,37 @@ def check_parts(
     return lookup(parts, stock, {"item_code": "item_code"}, {"max_actual": "max_actual"})
 
 
-def with_stock(
+def from_ledger(
     needs: DataFrame, tables: Tables, warehouses: DataFrame | None = None
 ) -> DataFrame:
-    """Add ``actual_qty`` and ``enough``: whole sets a bin holds, or for batch items the
-    unfloored share of the need that the ledger of this customer and variant covers."""
+    """Add ``actual_qty`` and ``enough`` to batch items: the unfloored share of the need
+    that the ledger of this customer and variant covers."""
     needs = needs.withColumn("_ref", F.lower("ref")).withColumn("_variant", F.lower("variant"))
     batch_of = {"_ref": "ref", "_variant": "variant", "item_code": "item_code"}
     needs = lookup(needs, batch_ledger(tables, warehouses), batch_of, {"ledger_qty": "ledger_qty"})
+    booked = F.coalesce("ledger_qty", F.lit(0)).cast("decimal(28,6)")
+    return needs.withColumn("actual_qty", booked).withColumn("enough", ratio(booked, F.col("need"))).drop("_ref", "_variant", "ledger_qty")
+
+
+def from_bins(needs: DataFrame) -> DataFrame:
+    """Add ``actual_qty`` and ``enough`` to other items: the whole sets that the largest bin holds."""
+    whole = floor_div(F.col("max_actual"), F.col("need")).cast("double")
+    return needs.withColumn("actual_qty", F.col("max_actual").cast("decimal(28,6)")).withColumn("enough", whole)
+
+
+def needs_with_stock(
+    orders: DataFrame, parts: DataFrame, need: Column, tables: Tables, warehouses: DataFrame | None = None, how: str = "inner"
+) -> DataFrame:
+    """Orders with every part of their bill of material, its need and its stock.
+
+    The parts are split before they meet the orders, so only batch items go through the
+    join with the ledger. With ``how`` left, an order without other parts has one row
+    whose part is NULL.
+    """
     is_batch = F.col("kind") == "batch"
-    booked = F.coalesce("ledger_qty", F.lit(0).cast("decimal(28,6)"))
-    return (
-        needs.drop("_ref", "_variant")
-        .withColumn("actual_qty", F.when(is_batch, booked).otherwise(F.col("max_actual")).cast("decimal(28,6)"))
-        .withColumn(
-            "enough",
-            F.when(is_batch, ratio(booked, F.col("need"))).otherwise(
-                floor_div(F.col("max_actual"), F.col("need")).cast("double")
-            ),
-        )
-    )
+    loose = orders.join(parts.filter(~is_batch), "bom", how).withColumn("need", need)
+    batch = orders.join(parts.filter(is_batch), "bom").withColumn("need", need)
+    return from_bins(loose).unionByName(from_ledger(batch, tables, warehouses))
 
 
 def _need():
@@ -152,7 +163,7 @@ def _material_check(tables: Tables, kind: str) -> DataFrame:
     needs = _modules(tables, MODULE_GROUPS, IN_PRODUCTION).withColumnRenamed("item_code", "product")
     needs = needs.join(parts, "bom").withColumn("need", _need())
     if kind == "batch":
-        return with_stock(needs, tables).select(
+        return from_ledger(needs, tables).select(
             "quotation_item", "item_code", "component_name", "need", "actual_qty", F.col("enough").alias("ratio")
         )
     whole = floor_div(F.col("max_actual"), F.col("need")).cast("double")
@@ -183,11 +194,10 @@ def module_status(tables: Tables) -> DataFrame:
     """Verwerkt, No BOM, Tekort or Okay for every open module, in one pass over all its
     components. A component without a value counts as short."""
     modules = _modules(tables, MODULE_GROUPS, IN_PRODUCTION).withColumnRenamed("item_code", "product")
-    needs = modules.join(check_parts(tables), "bom", "left").withColumn("need", _need())
+    needs = needs_with_stock(modules, check_parts(tables), _need(), tables, how="left")
     short = F.when(F.col("kind").isNotNull() & (F.coalesce("enough", F.lit(0.0)) <= 0), 1).otherwise(0)
     counted = (
-        with_stock(needs, tables)
-        .groupBy("quotation_item", "quotation", "product", "bom")
+        needs.groupBy("quotation_item", "quotation", "product", "bom")
         .agg(F.count("kind").alias("parts"), F.sum(short).alias("shortages"))
     )
     processed = (

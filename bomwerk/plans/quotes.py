@@ -201,7 +201,8 @@ def cost_centre_resolve(tables: Tables) -> DataFrame:
         F.expr("try_cast(configurator_id AS INT)").alias("nummer"),
     )
     action = F.when(F.col("nummer").isNull(), "invalid").when(F.col("id").isNotNull(), "matched").otherwise("create")
-    return leads.join(directory, "nummer", "left").select(
+    # references that are no number have none here; they must not meet in one task
+    return lookup(leads, directory, {"nummer": "nummer"}, {"id": "id"}).select(
         "lead", "reference", "description", F.col("id").alias("cost_centre"), action.alias("action")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomwerk.operators.dimensions import Tables, warehouse_tree
-from bomwerk.plans.production import check_parts, with_stock
+from bomwerk.plans.production import check_parts, needs_with_stock
 
 
 def _valid():
@@ -35,13 +35,8 @@ def bom_stock_report(
     parts = check_parts(
         tables, plain_without_subassemblies=False, direct_quantity="stock_qty", warehouses=below
     )
-    needs = (
-        requests.filter(_valid())
-        .join(quotations, "quotation")
-        .join(parts, "bom")
-        .withColumn("need", (F.col("per_unit") * F.col("qty_to_produce")).cast("decimal(28,6)"))
-    )
-    return with_stock(needs, tables, below).select(
+    need = (F.col("per_unit") * F.col("qty_to_produce")).cast("decimal(28,6)")
+    return needs_with_stock(requests.filter(_valid()).join(quotations, "quotation"), parts, need, tables, below).select(
         "request_id",
         F.col("kind").alias("branch"),
         "item_code",

@@ -80,6 +80,7 @@ VIEWS: dict[str, str] = {
                'Customer#' || CAST(o_custkey AS STRING) AS customer_name,
                CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE 'LEAD-' || CAST(o_custkey AS STRING) END AS lead,
                CAST(o_totalprice AS DECIMAL(18,2)) AS grand_total,
+               CASE WHEN o_orderkey % 97 = 1 THEN NULL WHEN o_custkey % 5 = 0 THEN 'Geen' WHEN o_orderkey % 7 = 0 THEN 'Laag' ELSE 'Hoog' END AS taxes_and_charges,
                CASE WHEN o_custkey % 5 = 0 THEN CAST(0 AS DECIMAL(18,2))
                     ELSE CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.173554 AS DECIMAL(8,6)), 2) AS DECIMAL(18,2)) END AS total_taxes_and_charges,
                CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS snelstart_koppeling
@@ -150,6 +151,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE 'LEAD-' || CAST(o_custkey AS STRING) END AS lead_name,
                CAST(o_orderdate AS DATE) AS posting_date, CAST(o_totalprice AS DECIMAL(18,2)) AS grand_total,
                CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.826446 AS DECIMAL(8,6)), 2) AS DECIMAL(18,2)) AS net_total,
+               CASE WHEN o_orderkey % 97 = 1 THEN NULL WHEN o_custkey % 5 = 0 THEN 'Geen' WHEN o_orderkey % 7 = 0 THEN 'Laag' ELSE 'Hoog' END AS taxes_and_charges,
                CASE WHEN o_custkey % 5 = 0 THEN CAST(0 AS DECIMAL(18,2))
                     ELSE CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.173554 AS DECIMAL(8,6)), 2) AS DECIMAL(18,2)) END AS total_taxes_and_charges,
                'Omzet ' || CAST(o_custkey % 27 AS STRING) AS snelstart_grootboek

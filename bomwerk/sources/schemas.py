@@ -23,7 +23,7 @@ SCHEMAS: dict[str, str] = {
     f"stock_qty {QTY}, stock_uom STRING, rate {QTY}",
     "quotation": f"name STRING, docstatus INT, vj_status STRING, voorraadplanning_compleet INT, "
     f"klant_referentie STRING, hpl_variant STRING, transaction_date DATE, levertijd INT, customer_name STRING, "
-    f"lead STRING, grand_total {MONEY}, total_taxes_and_charges {MONEY}, snelstart_koppeling INT",
+    f"lead STRING, grand_total {MONEY}, taxes_and_charges STRING, total_taxes_and_charges {MONEY}, snelstart_koppeling INT",
     "quotation_item": f"name STRING, parent STRING, idx INT, docstatus INT, item_code STRING, item_name STRING, "
     f"item_group STRING, variant_code STRING, qty {QTY}, amount {MONEY}",
     "productie_module": f"name STRING, parent STRING, idx INT, docstatus INT, offerte STRING, "
@@ -36,7 +36,7 @@ SCHEMAS: dict[str, str] = {
     "customer": "name STRING, lead_name STRING, snelstart_referentie STRING",
     "supplier": "name STRING, supplier_name STRING, default_price_list STRING",
     "sales_invoice": f"name STRING, customer STRING, klant_referentie STRING, lead_name STRING, "
-    f"posting_date DATE, grand_total {MONEY}, net_total {MONEY}, total_taxes_and_charges {MONEY}, "
+    f"posting_date DATE, grand_total {MONEY}, net_total {MONEY}, taxes_and_charges STRING, total_taxes_and_charges {MONEY}, "
     f"snelstart_grootboek STRING",
     "sales_invoice_item": f"parent STRING, idx INT, item_group STRING, quotation STRING, amount {MONEY}",
     "item_price": f"name STRING, item_code STRING, price_list STRING, currency STRING, "

@@ -48,7 +48,7 @@ def save_tables(tables, names: Sequence[str], root: str, files: int | None = Non
 
 # Bucket columns that let the planning joins of the large tables start without a shuffle.
 BUCKETS = {
-    "quotation": "name", "quotation_item": "parent", "productie_module": "quotation_item",
+    "quotation": "name", "quotation_item": "parent", "productie_module": "name",
     "bom_explosion_item": "parent", "bom_item": "parent", "bom": "name",
 }
 

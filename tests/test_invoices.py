@@ -14,11 +14,11 @@ from bomwerk.plans import invoices
 @pytest.fixture
 def books(make):
     def quote(name, ref, total, taxes, **values):
-        base = dict(docstatus=1, klant_referentie=ref, grand_total=total, total_taxes_and_charges=taxes, snelstart_koppeling=0, transaction_date="2024-01-01")
+        base = dict(docstatus=1, klant_referentie=ref, grand_total=total, taxes_and_charges="Laag", total_taxes_and_charges=taxes, snelstart_koppeling=0, transaction_date="2024-01-01")
         return {"name": name, **base, **values}
 
     def invoice(name, **values):
-        base = dict(customer="K1", posting_date="2024-02-01", grand_total="121.00", net_total="100.00", total_taxes_and_charges="21.00")
+        base = dict(customer="K1", posting_date="2024-02-01", grand_total="121.00", net_total="100.00", taxes_and_charges="Hoog", total_taxes_and_charges="21.00")
         return {"name": name, **base, **values}
 
     return make(
@@ -106,13 +106,24 @@ def test_bookings_are_json(books):
     rows = by(invoices.booking_documents(books), "document")
     f1 = json.loads(rows["F1"]["booking"])
     assert f1["btw"] == [{"btwSoort": "Hoog", "btwBedrag": 14.7}] and f1["boekingsregels"][0]["kostenplaats"] == {"id": "KP1"}
-    assert "btw" not in json.loads(rows["Q3"]["booking"])
-    assert json.loads(rows["D4"]["booking"])["btw"][0]["btwBedrag"] == 0
+    assert json.loads(rows["Q1"]["booking"])["btw"][0]["btwSoort"] == "Laag"
+    assert set(rows) == {"Q1", "Q2", "F1", "D1"}
+
+
+def test_every_document_is_booked_rejected_or_waits(books, small):
+    rejects = {name: row["reason"] for name, row in by(invoices.booking_rejects(books), "document").items()}
+    assert rejects == {"Q3": "no relation", "Q4": "no lead", "F2": "no booked quotation", "D2": "lead without relation", "D3": "no ledger account", "D4": "no ledger account"}
+    booked, left, waiting = (job(small).count() for job in (invoices.booking_documents, invoices.booking_rejects, invoices.direct_relations_to_create))
+    assert booked and left and waiting and booked + left + waiting == small["quotation"].count() + small["sales_invoice"].count()
+    empty = invoices.booking_documents(small).filter("booking LIKE '%:{}%'")
+    assert empty.count() == 0
+    kinds = invoices.booking_documents(small).selectExpr("get_json_object(booking, '$.btw[0].btwSoort') AS kind").distinct().count()
+    assert kinds >= 3
 
 
 def test_linked_flag(books):
     rows = by(invoices.quote_linked_flag(books), "name")
-    assert {name: row["snelstart_koppeling"] for name, row in rows.items()} == {"Q1": 1, "Q2": 1, "Q3": 1, "Q4": 0}
+    assert {name: row["snelstart_koppeling"] for name, row in rows.items()} == {"Q1": 1, "Q2": 1, "Q3": 0, "Q4": 0}
 
 
 def test_journals(books, small):
