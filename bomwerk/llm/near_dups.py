@@ -7,8 +7,10 @@ coordinate, and the earliest dart of each coordinate is the signature. Two signa
 agree at a coordinate with the probability of the weighted Jaccard similarity. Where the
 share of agreeing coordinates is near the threshold, the shingles themselves decide.
 
-Texts with equal signatures are one node. Nodes meet in buckets of equal bands, where
-rounds of hubs (``rounds``) join them to classes.
+Texts with equal signatures are one node. Nodes meet in buckets of equal bands. First
+all members of a bucket are compared with one hub, the node that meets most others. The
+members that this leaves in different classes are compared in blocks: a task compares
+two blocks of bounded size and hands on only the nearest links that join classes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +33,12 @@ SHINGLE = 5  # words
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 8
 COORDINATES = BANDS * ROWS
-DARTS = COORDINATES * (math.log(COORDINATES) + 4)  # expected; leaves about one text in 50 without one at some coordinate
-DOUBT = 0.1  # so near the threshold, four standard errors, pairs are compared by their shingles
+DARTS = COORDINATES * (math.log(COORDINATES) + 3)  # expected; leaves about one text in 20 without one at some coordinate
+DOUBT = 0.075  # so near the threshold, three standard errors, pairs are compared by their shingles
+LOW, SURE = math.floor((SIMILARITY - DOUBT) * COORDINATES), math.ceil((SIMILARITY + DOUBT) * COORDINATES)
+BLOCK = 256  # nodes
+NEAREST = 3  # links in doubt that are compared by their shingles for two classes
+SLICE_DARTS = 1 << 18  # that a task throws at once
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,7 +122,7 @@ def signatures(text: np.ndarray, value: np.ndarray, weight: np.ndarray, number:
             on = ranks[:, -1] <= most[:, 0]
             live, rank = live[on], ranks[on, -1]
             turn += many
-            many = min(2 * many, 64)
+            many = min(2 * many, 64, max(1, SLICE_DARTS // max(1, len(live))))
         # a text that misses a coordinate looks at twice the ranks, which adds darts and changes none
         todo = (best == np.iinfo(np.uint64).max).any(axis=1)
         limit = np.where(todo, limit * 2, limit)
@@ -147,21 +153,21 @@ def agreeing(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """``pairs`` (node, hub) with the weighted Jaccard similarity of their texts as ``exact``."""
-    ids = pairs.select(F.explode(F.array("node", "hub")).alias("id")).distinct()
+    """``pairs`` (node, other) with the weighted Jaccard similarity of their texts as ``exact``."""
+    ids = pairs.select(F.explode(F.array("node", "other")).alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = stored(texts.join(ids, "id", "left_semi"), "near-texts")
-    both = join_on_key(pairs.select("node", "hub"), texts.withColumnRenamed("text", "left"), {"node": "id"}, "inner")
-    both = join_on_key(both, texts.withColumnRenamed("text", "right"), {"hub": "id"}, "inner")
+    both = join_on_key(pairs.select("node", "other"), texts.withColumnRenamed("text", "left"), {"node": "id"}, "inner")
+    both = join_on_key(both, texts.withColumnRenamed("text", "right"), {"other": "id"}, "inner")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for part in batches.slices(batch, "left", "right"):
                 found = weighted_jaccard(part.column("left"), part.column("right"))
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("hub"), pa.array(found, pa.float64())], names=["node", "hub", "exact"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("other"), pa.array(found, pa.float64())], names=["node", "other", "exact"])
 
     # a repeated id gives a pair more than one similarity
-    return both.mapInArrow(run, "node long, hub long, exact double").groupBy("node", "hub").agg(F.max("exact").alias("exact"))
+    return both.mapInArrow(run, "node long, other long, exact double").groupBy("node", "other").agg(F.max("exact").alias("exact"))
 
 
 def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -175,31 +181,112 @@ def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
     return shared / (np.bincount(text, weight, len(left)) - shared)
 
 
-def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (node, other) between similar ``nodes`` (node, signature) that join all classes.
 
     Every node that shares a bucket with one it resembles is linked to it or, by other
     links, to its class. ``docs`` (doc_id, text) has the texts of the nodes.
     """
-    doubtful, sure = math.floor((similarity - DOUBT) * COORDINATES), math.ceil((similarity + DOUBT) * COORDINATES)
     bands = F.array(*[F.xxhash64(F.lit(n), F.substring("signature", 1 + 2 * ROWS * n, 2 * ROWS)) for n in range(BANDS)])
-
-    def judge(pairs: DataFrame) -> DataFrame:
-        pairs = join_on_key(pairs, nodes, {"node": "node"}, "inner").withColumnRenamed("signature", "_left")
-        pairs = join_on_key(pairs, nodes, {"hub": "node"}, "inner")
-        judged = stored(pairs.select("node", "hub", agreeing("_left", "signature").alias("near")), "near-agreeing")
-        unsure = judged.where(F.col("near").between(doubtful, sure - 1))
-        if unsure.isEmpty():
-            return judged.withColumn("linked", F.col("near") >= sure)
-        by_text = exact(unsure, docs).where(F.col("exact") >= similarity).select("node", "hub", F.lit(True).alias("_exact"))
-        linked = (F.col("near") >= sure) | F.coalesce("_exact", F.lit(False))
-        return judged.join(by_text, ["node", "hub"], "left").withColumn("linked", linked)
-
-    # nodes that agree at fewer coordinates than doubtful are not linked
-    return rounds.links(nodes.select("node", F.explode(bands).alias("bucket")), judge, COORDINATES - doubtful)
-
-
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    members = nodes.select("node", F.explode(bands).alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    members = stored(join_on_key(members, sizes, {"bucket": "bucket"}, "inner").select("bucket", "node", "size"), "near-members")
+    # the middle of a group of near-copies shares a bucket with more of them than its fringe
+    degrees = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    rank = F.struct("degree", F.xxhash64("node").alias("draw"), "node")
+    hubs = join_on_key(members, degrees, {"node": "node"}, "inner").groupBy("bucket").agg(F.max(rank).alias("hub")).select("bucket", F.col("hub.node").alias("hub"))
+    pairs = join_on_key(members, hubs, {"bucket": "bucket"}, "inner").where(F.col("node") != F.col("hub")).select("node", F.col("hub").alias("other")).distinct()
+    pairs = join_on_key(pairs, nodes, {"node": "node"}, "inner").withColumnRenamed("signature", "_left")
+    pairs = join_on_key(pairs, nodes, {"other": "node"}, "inner").select("node", "other", agreeing("_left", "signature").alias("near"))
+    starred = stored(_decided(pairs.where(F.col("near") >= LOW), None, docs), "near-starred")
+
+    # buckets whose members are in one class by now are done
+    roots = stored(rounds.components(starred), "near-roots")
+    members = join_on_key(members.select("bucket", "node"), roots, {"node": "node"}).withColumn("root", F.coalesce("root", "node"))
+    mixed = members.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("size"))
+    mixed = mixed.where(F.col("_low") != F.col("_high")).select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    members = join_on_key(members, mixed, {"bucket": "bucket"}, "inner")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    members = members.withColumn("block", own).select(
+        "bucket", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_with")
+    )
+    members = members.select("bucket", F.least("block", "_with").alias("a"), F.greatest("block", "_with").alias("b"), "node", "root", "block")
+    members = join_on_key(members, nodes, {"node": "node"}, "inner")
+    members = members.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    nearest = members.mapInArrow(_compare_blocks, "node long, other long, near int").groupBy("node", "other").agg(F.max("near").alias("near"))
+    return starred.unionByName(_decided(nearest, starred, docs))
+
+
+def _decided(edges: DataFrame, known: DataFrame | None, docs: DataFrame) -> DataFrame:
+    """Of ``edges`` (node, other, near) the links: the sure ones, and those in doubt that
+    join classes of sure and ``known`` links and whose shingles are similar.
+    """
+    edges = stored(edges, "near-edges")
+    sure = edges.where(F.col("near") >= SURE).select("node", "other")
+    doubt = edges.where(F.col("near") < SURE)
+    if doubt.isEmpty():
+        return sure
+    roots = stored(rounds.components(sure if known is None else known.unionByName(sure)), "near-roots")
+    for side in ("node", "other"):
+        doubt = join_on_key(doubt, roots.withColumnRenamed("root", f"_{side}"), {side: "node"}).withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    between = Window.partitionBy("_low", "_high").orderBy(F.col("near").desc(), "node", "other")
+    doubt = doubt.where(F.col("_node") != F.col("_other")).withColumn("_low", F.least("_node", "_other")).withColumn("_high", F.greatest("_node", "_other"))
+    doubt = stored(doubt.withColumn("_place", F.row_number().over(between)).where(F.col("_place") <= NEAREST).select("node", "other"), "near-doubt")
+    return sure.unionByName(exact(doubt, docs).where(F.col("exact") >= SIMILARITY).select("node", "other"))
+
+
+def _compare_blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nearest links between classes of each (bucket, a, b); its rows follow each other."""
+    rest = None
+    for batch in parts:
+        batch = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        keys = np.stack([batch.column(name).to_numpy() for name in ("bucket", "a", "b")])
+        starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
+        yield _nearest(batch, starts, starts[1:])
+        rest = batch.slice(starts[-1])  # the last group may go on in the next batch
+    if rest is not None and rest.num_rows:
+        yield _nearest(rest, [0], [rest.num_rows])
+
+
+def _nearest(batch: pa.RecordBatch, starts: list[int], ends: list[int]) -> pa.RecordBatch:
+    nodes, roots, blocks = (batch.column(name).to_numpy() for name in ("node", "root", "block"))
+    apart = batch.column("a").to_numpy() != batch.column("b").to_numpy()
+    prints = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(batch.num_rows, -1)
+    found: list[tuple[int, int, int]] = []
+    for low, high in zip(starts, ends, strict=False):
+        edges = []
+        for n in range(low, high - 1):
+            near = (prints[n + 1 : high] == prints[n]).sum(axis=1)
+            fits = (near >= LOW) & (roots[n + 1 : high] != roots[n])
+            if apart[low]:  # two blocks: each is compared with itself elsewhere
+                fits &= blocks[n + 1 : high] != blocks[n]
+            edges += [(int(near[m]), n, n + 1 + int(m)) for m in np.flatnonzero(fits)]
+        found += [(int(nodes[a]), int(nodes[b]), near) for near, a, b in _forest(edges, roots)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32())],
+        names=["node", "other", "near"],
+    )
+
+
+def _forest(edges: list[tuple[int, int, int]], roots: np.ndarray) -> list[tuple[int, int, int]]:
+    """The edges that join classes, nearest first: at any threshold they join what all edges join."""
+    top: dict[int, int] = {}
+
+    def find(root: int) -> int:
+        while top.get(root, root) != root:
+            root = top[root]
+        return root
+
+    kept = []
+    for near, a, b in sorted(edges, reverse=True):
+        left, right = find(int(roots[a])), find(int(roots[b]))
+        if left != right:
+            top[left] = right
+            kept.append((near, a, b))
+    return kept
+
+
+def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for every document with an id; the class is named by its lowest id.
 
     Documents belong together if a chain of texts, each similar to the next, joins them.
@@ -208,16 +295,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     prints = stored(signed(docs.select("doc_id", "text")), "near-prints")
     nodes = stored(prints.groupBy("signature").agg(F.min("doc_id").alias("node")).select("node", "signature"), "near-nodes")
-    roots = stored(rounds.components(links(nodes, docs, similarity)), "near-roots")
+    roots = stored(rounds.components(links(nodes, docs)), "near-roots")
     named = nodes.select("node", F.xxhash64("signature").alias("_a"), F.xxhash64(F.lit(1), "signature").alias("_b"))
     named = join_on_key(named, roots, {"node": "node"}, "left").select("_a", "_b", F.coalesce("root", "node").alias("class_id"))
     hashed = prints.select("doc_id", F.xxhash64("signature").alias("_a"), F.xxhash64(F.lit(1), "signature").alias("_b"))
     return join_on_key(hashed, named, {"_a": "_a", "_b": "_b"}, "inner").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
-def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class: the one that names it. Rows without an id stay."""
-    named = stored(classes(docs, similarity).where(F.col("doc_id") == F.col("class_id")).select("doc_id"), "near-kept")
+    named = stored(classes(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id"), "near-kept")
     one = docs.join(named, "doc_id", "left_semi").select(*docs.columns)
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1)
     if not repeated.isEmpty():
