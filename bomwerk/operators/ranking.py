@@ -10,18 +10,21 @@ from pyspark.sql import functions as F
 from bomwerk.session import checkpoint_dir
 
 
-def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
+def numbered(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", partitions: int | None = None
+) -> DataFrame:
     """Number rows 1..n within ``keys`` by ``order``, which must be a total order.
 
     Rows are range-partitioned on (keys, order), so a hot key is spread over many
     partitions. Each (partition, key) slice is numbered locally and shifted by the
     size of the slices before it. The partition of a row must not change between the
     counting and the numbering, so the placement is written to the shared checkpoint
-    folder first.
+    folder first. ``partitions`` sets their number, else Spark does; a large table wants
+    some hundred MB in each.
     """
     checkpoint_dir(rows.sparkSession)
     placed = (
-        rows.repartitionByRange(*keys, *order)
+        rows.repartitionByRange(*([partitions] if partitions else []), *keys, *order)
         .withColumn("_slice", F.spark_partition_id())
         .checkpoint()
     )

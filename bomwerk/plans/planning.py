@@ -132,7 +132,9 @@ def _demand_qty() -> Column:
     proposal divides everything; both are written without a division."""
     balance, safety = F.abs("balance_qty"), F.col("safety_stock")
     factor, least = F.nullif(F.col("conversion_factor"), F.lit(0)), F.col("min_order_qty")
-    below_least = balance * factor + safety < least * factor
+    # narrow enough for products with all 15 decimals
+    exact, by = "decimal(19,6)", factor.cast("decimal(17,9)")
+    below_least = balance.cast(exact) * by + safety < least.cast(exact) * by
     proposal = F.when(below_least, least.cast(SUM)).otherwise(ceil_div(balance + safety, factor).cast(SUM))
     return F.when(F.col("balance_qty") < safety, proposal).otherwise(F.lit(0).cast(SUM))
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bomwerk.functions.columns import filled, money
+from bomwerk.functions.columns import MONEY, filled, money
 from bomwerk.operators.dimensions import Tables
 from bomwerk.operators.lookup import lookup, one_per_key
-from bomwerk.operators.mutate import update_by_key
+from bomwerk.operators.mutate import insert_new, update_by_key
 from bomwerk.sources.requests import parse_requests, usable
 
 # Fixed values of the ERP: the item an unknown article becomes, the article that carries
@@ -116,6 +116,17 @@ def price_upsert(tables: Tables, requests: DataFrame | None = None) -> DataFrame
     )
 
 
+def prices_after_intake(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
+    """The price table after intake: changed rates, and a selling price for items without one."""
+    changes = price_upsert(tables, requests)
+    updates = changes.filter(F.col("action") == "update").select("name", "price_list_rate")
+    new = changes.filter(F.col("action") == "insert").select(
+        F.concat(F.lit("IP-"), "item_code").alias("name"), "item_code", "price_list", "currency",
+        F.col("price_list_rate").cast(MONEY).alias("price_list_rate"), F.col("selling").cast("int").alias("selling"),
+    )
+    return insert_new(update_by_key(tables["item_price"], updates, ["name"]), new, ["name"])
+
+
 def _known_leads(tables: Tables) -> DataFrame:
     leads = tables["lead"].filter(filled(F.col("configurator_id"))).select("configurator_id", F.col("name").alias("lead"))
     return one_per_key(leads, ["configurator_id"], ["lead"])
@@ -152,6 +163,14 @@ def lead_upsert(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
     )
 
 
+def leads_after_intake(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
+    """The lead table after intake, with a lead for every configurator id that had none."""
+    new = lead_upsert(tables, requests).filter(F.col("action") == "insert").select(
+        F.col("lead").alias("name"), "lead_name", "configurator_id", "email_id", "mobile_no"
+    )
+    return insert_new(tables["lead"], new, ["name"])
+
+
 def quote_headers(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
     """One draft quotation per request."""
     rows = usable(_requests(tables, requests))

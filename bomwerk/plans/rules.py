@@ -9,28 +9,32 @@ from pyspark.sql import functions as F
 
 from bomwerk.functions.columns import filled
 from bomwerk.operators.dimensions import Tables
-from bomwerk.operators.lookup import lookup
+from bomwerk.operators.lookup import join_on_key, lookup
 from bomwerk.plans.export import EXPORT_COLUMNS
 
-# The rules the tables declare.
+# Fixed values of the ERP: the rules the tables declare.
 REQUIRED = {
     "artikel_variant": ("variant_code", "variant_details"),
     "export_layout": ("supplier", "artikel_data"),
     "handeling_activiteit": ("handeling",),
     "handeling_artikelen": ("handeling_activiteit",),
     "instellingen": ("standaard_uurtarief",),
-    "item": ("warehouse", "stock_type"),
+    "item": ("warehouse", "stock_type", "naming_series"),
     "klant_portaal": ("offerte",),
     "klant_updates": ("datum", "update_tekst"),
     "ledger_account": ("grootboek_code", "grootboek_naam"),
     "levertijd_categorie": ("levertijd_categorie", "levertijd_factor"),
     "materiaal_variant": ("variant_code", "variant_details"),
+    "productie": ("datum",),
     "productie_module": ("qty",),
     "voorraad_check": ("posting_date", "item", "qty"),
     "voorraad_transactie": ("transactie_type", "unit", "qty", "artikel"),
 }
+# Tables whose rows need a row in a child table: its name and the key that its ``parent`` holds.
+REQUIRED_ROWS = {"productie": ("productie_module", "name"), "handeling_activiteit": ("handeling_artikelen", "handeling")}
 UNIQUE = {
     "artikel_variant": ("variant_code",),
+    "export_layout": (("supplier", "idx"),),
     "handeling_activiteit": ("handeling",),
     "item": ("configurator_id",),
     "klant_portaal": ("offerte",),
@@ -42,15 +46,21 @@ UNIQUE = {
 ACCEPTED = {
     ("export_layout", "artikel_data"): EXPORT_COLUMNS,
     ("item", "stock_type"): ("Standaard Inkoop", "Custom Inkoop"),
+    ("item", "naming_series"): ("B-", "MV1-", "O-", "SV-", "CS-", "SUB-", "OK-", "OH-", "A-", "OA-"),
     ("voorraad_transactie", "transactie_type"): ("In", "Uit"),
 }
 FOREIGN = {
     ("export_layout", "supplier"): ("supplier", "name"),
+    ("handeling_artikelen", "handeling_activiteit"): ("routing", "name"),
     ("item", "material"): ("materiaal_variant", "variant_code"),
     ("item", "warehouse"): ("warehouse", "name"),
     ("item_supplier", "supplier"): ("supplier", "name"),
     ("klant_portaal", "offerte"): ("quotation", "name"),
+    ("productie_module", "bom"): ("bom", "name"),
     ("quotation_item", "item_code"): ("item", "name"),
+    ("voorraad_artikelen", "item_code"): ("item", "name"),
+    ("voorraad_artikelen", "supplier"): ("supplier", "name"),
+    ("voorraad_artikelen", "uom"): ("uom", "name"),
     ("voorraad_check", "item"): ("item", "name"),
     ("voorraad_transactie", "artikel"): ("item", "name"),
 }
@@ -60,8 +70,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def check_required(tables: Tables, rules: dict = REQUIRED) -> DataFrame:
-    """Rows without a value per required column; one pass over each table."""
+def check_required(tables: Tables, rules: dict = REQUIRED, rows: dict = REQUIRED_ROWS) -> DataFrame:
+    """Rows without a value per required column, and rows without a row in a required
+    child table; one pass over each table."""
     def counts(table: str, columns: tuple[str, ...]) -> DataFrame:
         missing: list[Column] = [
             F.struct(
@@ -74,13 +85,25 @@ def check_required(tables: Tables, rules: dict = REQUIRED) -> DataFrame:
         ]
         return tables[table].agg(F.array(*missing).alias("checks")).select(F.inline("checks"))
 
+    def childless(table: str, child: str, key: str) -> DataFrame:
+        parents = tables[child].select(F.col("parent").alias(key), F.lit(1).alias("_has")).distinct()
+        found = join_on_key(tables[table].select(key), parents, {key: key}, "left")
+        return found.agg(F.sum(F.when(F.col("_has").isNull(), 1).otherwise(0)).alias("violations"), F.count("*").alias("checked_rows")).select(
+            F.lit(table).alias("table_name"), F.lit(child).alias("column_name"), "violations", "checked_rows"
+        )
+
+    found = [counts(table, columns) for table, columns in rules.items()]
+    found += [childless(table, child, key) for table, (child, key) in rows.items()]
     # a table without rows has no sum, and no violation
-    return _union([counts(table, columns) for table, columns in rules.items()]).fillna(0, ["violations"])
+    return _union(found).fillna(0, ["violations"])
 
 
-def _values(tables: Tables, table: str, column: str) -> DataFrame:
-    """Distinct filled values of a column with their number of rows."""
-    value = F.col(column).cast("string")
+def _values(tables: Tables, table: str, column: str | tuple[str, ...]) -> DataFrame:
+    """Distinct filled values of a column, or of several together, with their number of rows."""
+    if isinstance(column, tuple):
+        value, column = F.concat_ws(" ", *[F.col(name).cast("string") for name in column]), " ".join(column)
+    else:
+        value = F.col(column).cast("string")
     return (
         tables[table].filter(filled(value)).groupBy(value.alias("value")).agg(F.count("*").alias("violations"))
         .select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "value", "violations")
@@ -134,5 +157,5 @@ def txn_enriched(tables: Tables) -> DataFrame:
 
 def item_series_fetch(tables: Tables) -> DataFrame:
     """Items with the series code of their group."""
-    rows = lookup(tables["item"], tables["item_group"], {"item_group": "name"}, {"naming_series": "item_group_code"})
+    rows = lookup(tables["item"].drop("naming_series"), tables["item_group"], {"item_group": "name"}, {"naming_series": "item_group_code"})
     return rows.select("name", "item_group", "naming_series")

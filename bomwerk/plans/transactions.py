@@ -16,38 +16,45 @@ RECEIPT, ISSUE = "Material Receipt", "Material Issue"
 IN, OUT = "In", "Uit"
 
 
-def scanned(tables: Tables, transactions: DataFrame) -> DataFrame:
+def snapshot(tables: Tables) -> Tables:
+    """What transactions are held against, one row per key: items, bins and unit factors."""
+    return {
+        "items": tables["item"].filter(F.col("is_stock_item") == 1).select("name", "item_name", "stock_uom", "warehouse"),
+        "bins": one_per_key(
+            tables["bin"].select("item_code", "warehouse", "actual_qty", "valuation_rate"),
+            ["item_code", "warehouse"], ["actual_qty", "valuation_rate"],
+        ),
+        "factors": one_per_key(
+            tables["uom_conversion_detail"].select("parent", "uom", "idx", "conversion_factor"), ["parent", "uom"], ["idx", "conversion_factor"]
+        ),
+    }
+
+
+def scanned(known: Tables, transactions: DataFrame) -> DataFrame:
     """Transactions with the stock item they name, its warehouse and the stock there.
 
-    Only left joins to one-row-per-key sides, so ``transactions`` may be a stream.
+    ``known`` is a ``snapshot``. Only left joins to one-row-per-key sides, so
+    ``transactions`` may be a stream.
     """
-    items = tables["item"].filter(F.col("is_stock_item") == 1)
-    bins = one_per_key(
-        tables["bin"].select("item_code", "warehouse", "actual_qty", "valuation_rate"),
-        ["item_code", "warehouse"], ["actual_qty", "valuation_rate"],
-    )
     rows = lookup(
-        transactions, items, {"artikel": "name"},
+        transactions, known["items"], {"artikel": "name"},
         {"item": "name", "artikel_naam": "item_name", "stock_unit": "stock_uom", "locatie": "warehouse"},
     )
     rows = lookup(
-        rows, bins.withColumn("has_bin", F.lit(True)), {"item": "item_code", "locatie": "warehouse"},
+        rows, known["bins"].withColumn("has_bin", F.lit(True)), {"item": "item_code", "locatie": "warehouse"},
         {"actual_qty": "actual_qty", "valuation_rate": "valuation_rate", "has_bin": "has_bin"},
     )
     reason = F.when(F.col("item").isNull(), "no stock item").when(F.col("has_bin").isNull(), "no stock")
     return rows.withColumn("reason", reason).drop("item", "has_bin")
 
 
-def checked(tables: Tables, transactions: DataFrame) -> DataFrame:
+def checked(known: Tables, transactions: DataFrame) -> DataFrame:
     """Scanned transactions with ``aantal`` in stock units and the reason of a rejection.
 
     Receipts are held to the present stock like issues.
     """
-    factors = one_per_key(
-        tables["uom_conversion_detail"].select("parent", "uom", "idx", "conversion_factor"), ["parent", "uom"], ["idx", "conversion_factor"]
-    )
     rows = lookup(
-        scanned(tables, transactions), factors, {"artikel": "parent", "unit": "uom"},
+        scanned(known, transactions), known["factors"], {"artikel": "parent", "unit": "uom"},
         {"conversion_factor": "conversion_factor"},
     )
     aantal = F.when(F.col("qty") > 0, (F.col("qty") * F.col("conversion_factor")).cast("decimal(28,6)"))
@@ -59,6 +66,10 @@ def checked(tables: Tables, transactions: DataFrame) -> DataFrame:
     return rows.withColumn("aantal", aantal).withColumn("reason", reason)
 
 
+def _checked(tables: Tables) -> DataFrame:
+    return checked(snapshot(tables), tables["voorraad_transactie"])
+
+
 def _accepted(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("reason").isNull())
 
@@ -72,7 +83,7 @@ def to_post(rows: DataFrame) -> DataFrame:
 
 
 def txn_lookup(tables: Tables) -> DataFrame:
-    return scanned(tables, tables["voorraad_transactie"]).select(
+    return scanned(snapshot(tables), tables["voorraad_transactie"]).select(
         "name", "artikel", "artikel_naam", "stock_unit", "locatie", "actual_qty", "reason"
     )
 
@@ -85,14 +96,14 @@ def txn_units(tables: Tables, page: int | None = None) -> DataFrame:
 
 
 def txn_quantity(tables: Tables) -> DataFrame:
-    return checked(tables, tables["voorraad_transactie"]).select(
+    return _checked(tables).select(
         "name", "artikel", "unit", "qty", "conversion_factor", "aantal"
     )
 
 
 def txn_validation(tables: Tables) -> DataFrame:
     """Accepted when the quantity does not exceed the stock, in either direction."""
-    return checked(tables, tables["voorraad_transactie"]).select(
+    return _checked(tables).select(
         "name", "transactie_type", "artikel", "aantal", "actual_qty",
         F.when(F.col("reason").isNull(), 1).otherwise(0).alias("accepted"), "reason",
     )
@@ -101,7 +112,7 @@ def txn_validation(tables: Tables) -> DataFrame:
 def txn_stock_rows(tables: Tables) -> DataFrame:
     """Stock rows of accepted transactions: a receipt into the warehouse or an issue out of it."""
     receipt = F.col("transactie_type") == IN
-    return _accepted(checked(tables, tables["voorraad_transactie"])).select(
+    return _accepted(_checked(tables)).select(
         "name",
         F.when(receipt, RECEIPT).otherwise(ISSUE).alias("purpose"),
         F.col("artikel").alias("item_code"),
@@ -115,7 +126,7 @@ def txn_stock_rows(tables: Tables) -> DataFrame:
 
 
 def txn_postings(tables: Tables) -> DataFrame:
-    return to_post(checked(tables, tables["voorraad_transactie"]))
+    return to_post(_checked(tables))
 
 
 def txn_documents(tables: Tables, date: str) -> DataFrame:

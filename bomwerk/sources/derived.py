@@ -37,12 +37,13 @@ VIEWS: dict[str, str] = {
                CASE WHEN p_partkey % 50 = 49 THEN 1 ELSE 0 END AS disabled,
                CASE WHEN p_partkey % 40 = 39 THEN CAST(p_partkey - 1 AS STRING) ELSE CAST(p_partkey AS STRING) END AS configurator_id,
                CASE p_partkey % 4 WHEN 0 THEN 'Standaard Inkoop' WHEN 1 THEN 'Custom Inkoop' WHEN 2 THEN NULL ELSE p_brand END AS stock_type,
-               CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE 'HPL' || CAST(p_partkey % 6 AS STRING) END AS material
+               CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE 'HPL' || CAST(p_partkey % 6 AS STRING) END AS material,
+               CASE p_partkey % 9 WHEN 0 THEN 'B-' WHEN 1 THEN 'MV1-' WHEN 2 THEN 'O-' WHEN 3 THEN 'SUB-' WHEN 4 THEN 'OA-' WHEN 5 THEN '' WHEN 6 THEN 'ZZ-' ELSE 'A-' END AS naming_series
         FROM part""",
     "t_item_supplier": """
         SELECT DISTINCT CAST(l_partkey AS STRING) AS parent, 'Supplier#' || CAST(l_suppkey AS STRING) AS supplier,
                'SP-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS supplier_part_no
-        FROM lineitem WHERE l_suppkey % 25 = l_partkey % 25""",
+        FROM lineitem WHERE l_partkey % 23 <> 7""",
     "t_uom_conversion_detail": """
         SELECT CAST(p_partkey AS STRING) AS parent, 'Stuks' AS uom, CAST(1 AS DECIMAL(21,9)) AS conversion_factor, 1 AS idx
         FROM part
@@ -99,11 +100,14 @@ VIEWS: dict[str, str] = {
         JOIN t_item AS i ON i.name = CAST(l.partkey AS STRING)""",
     "t_productie_module": """
         SELECT CASE WHEN turn = 1 THEN 'PM-' ELSE 'PM2-' END || name AS name, 'PROD-' || parent AS parent, idx,
-               CASE WHEN idx % 3 = 0 THEN 1 ELSE 0 END AS docstatus, parent AS offerte, name AS quotation_item, item_code, item_name AS module,
+               CASE WHEN idx % 3 = 0 THEN 1 ELSE 0 END AS docstatus, parent AS offerte, name AS quotation_item, item_code, 'BOM-' || item_code AS bom, item_name AS module,
                CAST(CASE WHEN turn = 2 THEN qty - floor(qty / 2) WHEN idx % 3 = 0 THEN floor(qty / 2) ELSE idx - 1 END AS DECIMAL(18,6)) AS qty,
                CASE WHEN idx % 3 = 0 OR idx = 5 THEN 1 ELSE 0 END AS verwerkt
         FROM (SELECT name, parent, idx, item_code, item_name, qty, EXPLODE[1, 2] AS turn FROM t_quotation_item) AS e
         WHERE turn = 1 OR idx = 6""",
+    # production documents, some without a date and some without rows
+    "t_productie": """
+        SELECT 'PROD-' || name AS name, CASE WHEN grand_total < 20000 THEN NULL ELSE transaction_date END AS datum FROM t_quotation""",
     "t_bin": """
         SELECT CAST(l_partkey AS STRING) AS item_code, 'WH-' || CAST(l_suppkey % 3 AS STRING) AS warehouse,
                CAST(sum(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN -1 ELSE 0 END * CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(18,6)) AS actual_qty,
@@ -207,7 +211,9 @@ VIEWS: dict[str, str] = {
                     WHEN 10 THEN 'Purchase Order' WHEN 11 THEN 'Transaction Date' WHEN 12 THEN 'Schedule Date' ELSE 'Kleur' END AS artikel_data
         FROM (SELECT 'Supplier#' || CAST(s_suppkey AS STRING) AS supplier, s_suppkey,
                      EXPLODE[1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13] AS k FROM supplier) AS e
-        WHERE (s_suppkey + k) % 3 <> 0""",
+        WHERE (s_suppkey + k) % 3 <> 0
+        UNION ALL
+        SELECT 'Supplier#' || CAST(s_suppkey AS STRING) AS supplier, 1 AS idx, 'Item Code' AS artikel_data FROM supplier WHERE s_suppkey = 1""",
     "t_journal": """
         SELECT 'JV-' || CAST(o_orderkey AS STRING) AS name, 'Customer#' || CAST(o_custkey AS STRING) AS customer,
                CAST(o_orderdate AS DATE) AS posting_date, CAST(o_totalprice AS DECIMAL(18,2)) AS grand_total
@@ -248,7 +254,14 @@ VIEWS: dict[str, str] = {
         SELECT 'HPL' || CAST(r_regionkey AS STRING) AS variant_code, r_name AS variant_details FROM region""",
     "t_levertijd_categorie": """
         SELECT r_name AS levertijd_categorie, CASE WHEN r_regionkey = 2 THEN NULL ELSE CAST(r_regionkey * 0.5 AS DECIMAL(18,6)) END AS levertijd_factor FROM region""",
-    "t_handeling_activiteit": "SELECT 'Handeling ' || CAST(n_regionkey AS STRING) AS handeling FROM nation",
+    "t_routing": "SELECT n_name AS name FROM nation WHERE n_nationkey % 4 <> 1",
+    "t_uom": "SELECT DISTINCT uom AS name FROM t_uom_conversion_detail",
+    "t_voorraad_artikelen": """
+        SELECT 'PLAN-' || CAST(l_orderkey AS STRING) AS parent, l_linenumber AS idx, CAST(l_partkey + (CASE WHEN l_quantity > 49 THEN 1000000 ELSE 0 END) AS STRING) AS item_code,
+               CASE WHEN l_returnflag = 'R' AND l_quantity < 2 THEN 'Supplier#oud' ELSE 'Supplier#' || CAST(l_suppkey AS STRING) END AS supplier,
+               CASE WHEN l_linenumber = 7 THEN 'Pallet' ELSE 'Stuks' END AS uom
+        FROM lineitem""",
+    "t_handeling_activiteit": "SELECT 'Handeling ' || CAST(n_regionkey AS STRING) AS handeling FROM nation UNION ALL SELECT 'Handeling ' || r_name AS handeling FROM region",
     "t_handeling_artikelen": """
         SELECT 'Handeling ' || CAST(n_regionkey AS STRING) AS parent, n_nationkey AS idx,
                CASE WHEN n_nationkey = 3 THEN NULL ELSE n_name END AS handeling_activiteit FROM nation""",

@@ -13,7 +13,7 @@ SCHEMAS: dict[str, str] = {
     "item": f"name STRING, item_name STRING, item_group STRING, stock_uom STRING, purchase_uom STRING, "
     f"warehouse STRING, safety_stock {QTY}, min_order_qty {QTY}, is_stock_item INT, has_batch_no INT, "
     f"bakje_bakje INT, sub_assembly_voorraad INT, disabled INT, configurator_id STRING, stock_type STRING, "
-    f"material STRING",
+    f"material STRING, naming_series STRING",
     "item_supplier": "parent STRING, supplier STRING, supplier_part_no STRING",
     "uom_conversion_detail": "parent STRING, uom STRING, conversion_factor DECIMAL(21,9), idx INT",
     "bom": "name STRING, item STRING, docstatus INT, is_default INT, is_active INT",
@@ -27,7 +27,8 @@ SCHEMAS: dict[str, str] = {
     "quotation_item": f"name STRING, parent STRING, idx INT, docstatus INT, item_code STRING, item_name STRING, "
     f"item_group STRING, variant_code STRING, qty {QTY}, amount {MONEY}",
     "productie_module": f"name STRING, parent STRING, idx INT, docstatus INT, offerte STRING, "
-    f"quotation_item STRING, item_code STRING, module STRING, qty {QTY}, verwerkt INT",
+    f"quotation_item STRING, item_code STRING, bom STRING, module STRING, qty {QTY}, verwerkt INT",
+    "productie": "name STRING, datum DATE",
     "bin": f"item_code STRING, warehouse STRING, actual_qty {QTY}, ordered_qty {QTY}, valuation_rate {QTY}",
     "stock_ledger_entry": f"item_code STRING, batch_no STRING, warehouse STRING, actual_qty {QTY}",
     "warehouse": "name STRING, parent_warehouse STRING, lft INT, rgt INT",
@@ -58,6 +59,9 @@ SCHEMAS: dict[str, str] = {
     "materiaal_variant": "variant_code STRING, variant_details STRING",
     "levertijd_categorie": f"levertijd_categorie STRING, levertijd_factor {QTY}",
     "handeling_activiteit": "handeling STRING",
+    "routing": "name STRING",
+    "uom": "name STRING",
+    "voorraad_artikelen": "parent STRING, idx INT, item_code STRING, supplier STRING, uom STRING",
     "handeling_artikelen": "parent STRING, idx INT, handeling_activiteit STRING",
     "klant_updates": "parent STRING, datum DATE, update_tekst STRING",
     "instellingen": f"standaard_uurtarief {MONEY}",

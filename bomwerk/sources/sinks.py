@@ -38,6 +38,11 @@ def save_report(rows: DataFrame, path: str, keys: Sequence[str] = ("request_id",
     titled.orderBy(*keys, "Item").write.mode("overwrite").option("header", True).csv(path)
 
 
+def save_sheet(rows: DataFrame, path: str, by: str = "supplier") -> None:
+    """The planning sheet by supplier or item code, descending, as its readers know it."""
+    rows.orderBy(F.col(by).desc_nulls_last(), "source", "item_code").write.mode("overwrite").option("header", True).csv(path)
+
+
 def save_tables(tables, names: Sequence[str], root: str, files: int | None = None) -> None:
     """Store tables so that ``StoredTables(spark, root)`` reads them back, in so many files
     or as many as the tables have partitions."""

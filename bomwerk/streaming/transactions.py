@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bomwerk.operators.dimensions import Tables
-from bomwerk.plans.transactions import checked, to_post
+from bomwerk.plans.transactions import checked, snapshot, to_post
 from bomwerk.session import run_folder
 from bomwerk.sources.schemas import SCHEMAS
 
@@ -24,14 +24,19 @@ def read_transactions(spark: SparkSession, folder: str, files_per_batch: int = 1
 def start_transactions(tables: Tables, transactions: DataFrame, out: str, **trigger) -> StreamingQuery:
     """Check arriving transactions and write ``out/checked`` and ``out/postings``.
 
-    Stateless: a transaction is held to the stock in the snapshot of ``tables``. The
-    static joins are planned per micro-batch, adaptively. Each micro-batch overwrites
+    Stateless: a transaction is held to the stock in the snapshot of ``tables``, which is
+    reduced and stored once, in ``out/snapshot``, before the stream starts. The static joins are planned per micro-batch, adaptively. Each micro-batch overwrites
     its own folders and posts from what it wrote, so a batch repeated after a failure
     leaves one copy and no transaction is judged twice.
     """
+    spark = transactions.sparkSession
+    for name, rows in snapshot(tables).items():
+        rows.write.mode("overwrite").parquet(f"{out}/snapshot/{name}")
+    known = {name: spark.read.parquet(f"{out}/snapshot/{name}") for name in ("items", "bins", "factors")}
+
     def write(batch: DataFrame, number: int) -> None:
         judged = f"{out}/checked/batch={number}"
-        checked(tables, batch).write.mode("overwrite").parquet(judged)
+        checked(known, batch).write.mode("overwrite").parquet(judged)
         to_post(batch.sparkSession.read.parquet(judged)).write.mode("overwrite").parquet(f"{out}/postings/batch={number}")
 
     return (

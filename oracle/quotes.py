@@ -42,6 +42,17 @@ last AS (SELECT item_code, prijs FROM ql QUALIFY row_number() OVER (PARTITION BY
 SELECT item_code, name, 'Verkoop' AS price_list, 'EUR' AS currency, 1 AS selling, coalesce(prijs, price_list_rate) AS price_list_rate,
        CASE WHEN name IS NULL THEN 'insert' WHEN prijs IS NULL THEN 'keep' ELSE 'update' END AS action
 FROM t_item_price FULL JOIN last USING (item_code)""",
+    "prices_after_intake": f"""s: name item_code price_list currency n: price_list_rate i: selling
+{READ},
+last AS (SELECT item_code, prijs FROM ql QUALIFY row_number() OVER (PARTITION BY item_code ORDER BY received_at DESC, request_id DESC, pos DESC) = 1)
+--main
+SELECT coalesce(name, 'IP-' || item_code) AS name, item_code, 'Verkoop' AS price_list, 'EUR' AS currency, coalesce(prijs, price_list_rate) AS price_list_rate, 1 AS selling
+FROM t_item_price FULL JOIN last USING (item_code)""",
+    "leads_after_intake": f"""s: name lead_name configurator_id email_id mobile_no snelstart_relatie snelstart_kostenplaats
+{LEADS}
+--main
+SELECT * FROM t_lead
+UNION ALL SELECT lead, 'Klant ' || cid, configurator_id, 'k' || o_orderkey || '@example.org', '06-' || o_orderkey, NULL, NULL FROM leads WHERE fresh""",
     "lead_upsert": f"""s: configurator_id lead lead_name email_id d: transaction_date s: customer_details mobile_no website status source action
 {LEADS}
 --main

@@ -21,11 +21,12 @@ posted AS (
 
 REQUIRED = {
     "artikel_variant": "variant_code variant_details", "export_layout": "supplier artikel_data", "handeling_activiteit": "handeling",
-    "handeling_artikelen": "handeling_activiteit", "instellingen": "standaard_uurtarief", "item": "warehouse stock_type", "klant_portaal": "offerte",
+    "handeling_artikelen": "handeling_activiteit", "instellingen": "standaard_uurtarief", "item": "warehouse stock_type naming_series", "klant_portaal": "offerte",
     "klant_updates": "datum update_tekst", "ledger_account": "grootboek_code grootboek_naam", "levertijd_categorie": "levertijd_categorie levertijd_factor",
-    "materiaal_variant": "variant_code variant_details", "productie_module": "qty", "voorraad_check": "posting_date item qty",
+    "materiaal_variant": "variant_code variant_details", "productie": "datum", "productie_module": "qty", "voorraad_check": "posting_date item qty",
     "voorraad_transactie": "transactie_type unit qty artikel",
 }
+ROWS = {("productie", "productie_module"): "name", ("handeling_activiteit", "handeling_artikelen"): "handeling"}
 UNIQUE = {
     "artikel_variant": "variant_code", "handeling_activiteit": "handeling", "item": "configurator_id", "klant_portaal": "offerte", "lead": "configurator_id",
     "ledger_account": "grootboek_code grootboek_naam", "levertijd_categorie": "levertijd_categorie", "materiaal_variant": "variant_code",
@@ -33,11 +34,14 @@ UNIQUE = {
 ACCEPTED = {
     ("export_layout", "artikel_data"): "'Item Code', 'Supplier Code', 'Item Name', 'Quantity', 'Unit', 'Rate', 'Amount', 'Supplier', 'Supplier Name', 'Purchase Order', 'Transaction Date', 'Schedule Date'",
     ("item", "stock_type"): "'Standaard Inkoop', 'Custom Inkoop'",
+    ("item", "naming_series"): "'B-', 'MV1-', 'O-', 'SV-', 'CS-', 'SUB-', 'OK-', 'OH-', 'A-', 'OA-'",
     ("voorraad_transactie", "transactie_type"): "'In', 'Uit'",
 }
 FOREIGN = {
-    ("export_layout", "supplier"): ("supplier", "name"), ("item", "material"): ("materiaal_variant", "variant_code"), ("item", "warehouse"): ("warehouse", "name"),
+    ("export_layout", "supplier"): ("supplier", "name"), ("handeling_artikelen", "handeling_activiteit"): ("routing", "name"), ("item", "material"): ("materiaal_variant", "variant_code"), ("item", "warehouse"): ("warehouse", "name"),
     ("item_supplier", "supplier"): ("supplier", "name"), ("klant_portaal", "offerte"): ("quotation", "name"), ("quotation_item", "item_code"): ("item", "name"),
+    ("productie_module", "bom"): ("bom", "name"), ("voorraad_artikelen", "item_code"): ("item", "name"),
+    ("voorraad_artikelen", "supplier"): ("supplier", "name"), ("voorraad_artikelen", "uom"): ("uom", "name"),
     ("voorraad_check", "item"): ("item", "name"), ("voorraad_transactie", "artikel"): ("item", "name"),
 }
 VALUE_COLUMNS = "s: table_name column_name value i: violations"
@@ -101,9 +105,14 @@ SELECT i.name, i.item_group, g.item_group_code AS naming_series FROM t_item i LE
         f"SELECT '{table}' AS table_name, '{column}' AS column_name, count(*) FILTER (coalesce(CAST({column} AS VARCHAR), '') = '') AS violations, count(*) AS checked_rows FROM t_{table}"
         for table, columns in REQUIRED.items()
         for column in columns.split()
+    )
+    + "\nUNION ALL "
+    + union(
+        f"SELECT '{table}', '{child}', count(*) FILTER ({key} NOT IN (SELECT parent FROM t_{child})), count(*) FROM t_{table}"
+        for (table, child), key in ROWS.items()
     ),
     "check_unique": VALUE_COLUMNS
-    + "\n"
+    + "\nSELECT 'export_layout' AS table_name, 'supplier idx' AS column_name, supplier || ' ' || idx AS value, count(*) AS violations FROM t_export_layout GROUP BY 3 HAVING count(*) > 1\nUNION ALL "
     + union(values(table, column, having="HAVING count(*) > 1") for table, columns in UNIQUE.items() for column in columns.split()),
     "check_accepted_values": VALUE_COLUMNS
     + "\n"

@@ -100,6 +100,14 @@ def test_demand_counts_a_need_per_supplier_and_bin(planned):
     assert rows["F"]["qty"] == 3
 
 
+def test_threshold_is_exact_to_the_last_decimal(spark):
+    row = spark.sql(
+        "SELECT CAST(-2.000001 AS DECIMAL(38,6)) AS balance_qty, CAST(0 AS DECIMAL(18,6)) AS safety_stock, "
+        "CAST(0.333333333 AS DECIMAL(21,9)) AS conversion_factor, CAST(2.000002 AS DECIMAL(18,6)) AS min_order_qty"
+    )
+    assert row.select(planning._demand_qty().alias("qty")).first()["qty"] == D("2.000002")
+
+
 def test_exact_demand_counts_a_need_once(planned):
     rows = by(planning.planning_demand_exact(planned), "item_code")
     assert {name: row["req_qty"] for name, row in rows.items()} == {"A": 8, "B": 4, "C": 2, "F": 4}

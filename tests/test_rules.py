@@ -21,12 +21,31 @@ def test_rules(make):
     assert required["voorraad_transactie", "unit"]["violations"] == 1 and required["voorraad_transactie", "qty"]["violations"] == 1
     assert required["klant_portaal", "offerte"]["violations"] == 0  # no rows
     assert set(by(rules.check_unique(tables), "table_name", "column_name", "value")) == {("item", "configurator_id", "1")}
+    assert required["item", "naming_series"]["violations"] == 4 and required["productie", "productie_module"]["violations"] == 0
     accepted = by(rules.check_accepted_values(tables), "table_name", "column_name", "value")
     assert set(accepted) == {("item", "stock_type", "Anders"), ("voorraad_transactie", "transactie_type", "Retour")}
     foreign = by(rules.check_foreign_keys(tables), "table_name", "column_name", "value")
     assert set(foreign) == {("item", "material", "M9"), ("voorraad_transactie", "artikel", "Z")}
 
 
+def test_child_rows_and_layouts(make, small):
+    tables = make(
+        productie=[dict(name="P1", datum="2024-01-01"), dict(name="P2")], productie_module=[dict(name="r", parent="P1", bom="B9")],
+        export_layout=[dict(supplier="S", idx=1, artikel_data="Rate"), dict(supplier="S", idx=1, artikel_data="Unit"), dict(supplier="S", idx=2, artikel_data="Unit")],
+    )
+    required = by(rules.check_required(tables), "table_name", "column_name")
+    assert required["productie", "productie_module"]["violations"] == required["productie", "datum"]["violations"] == 1
+    assert [r["value"] for r in rules.check_unique(tables).collect()] == ["S 1"]
+    assert ("productie_module", "bom", "B9") in by(rules.check_foreign_keys(tables), "table_name", "column_name", "value")
+    # every rule is broken somewhere in the derived tables
+    broken = {(r["table_name"], r["column_name"]) for r in rules.check_required(small).filter("violations > 0").collect()}
+    assert {("productie", "datum"), ("productie", "productie_module"), ("handeling_activiteit", "handeling_artikelen"), ("item", "naming_series")} <= broken
+    links = {(r["table_name"], r["column_name"]) for r in rules.check_foreign_keys(small).collect()}
+    assert {("productie_module", "bom"), ("handeling_artikelen", "handeling_activiteit")} <= links
+    assert {("voorraad_artikelen", name) for name in ("item_code", "supplier", "uom")} <= links
+    assert ("item", "naming_series") in {(r["table_name"], r["column_name"]) for r in rules.check_accepted_values(small).collect()}
+
+
 def test_fetched_columns(make):
     tables = make(
         item=[item("A", item_group="Basis")], item_group=[dict(name="Basis", item_group_code="B-")],

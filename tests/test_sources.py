@@ -10,7 +10,7 @@ from conftest import SMALL, by
 from bomwerk.plans import planning, report
 from bomwerk.session import checkpoint_dir
 from bomwerk.sources.schemas import SCHEMAS
-from bomwerk.sources.sinks import save_bucketed, save_per_supplier, save_report, save_table, save_tables
+from bomwerk.sources.sinks import save_bucketed, save_per_supplier, save_report, save_sheet, save_table, save_tables
 from bomwerk.sources.tables import CatalogTables, StoredTables
 
 
@@ -77,6 +77,14 @@ def test_report_sink(spark, small, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "report")).columns[1:3] == ["Item", "Description"]
 
 
+def test_sheet_sink(spark, small, tmp_path):
+    sheet = planning.planning_sheet(small)
+    for by in ("supplier", "item_code"):
+        save_sheet(sheet, str(tmp_path / by), by)
+        found = [row[by] for row in spark.read.option("header", True).csv(str(tmp_path / by)).collect()]
+        assert len(found) == sheet.count() and found == sorted(found, reverse=True)
+
+
 def test_scans_read_only_the_needed_columns(stored):
     plan = planning.planning_demand(stored)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan" in line]

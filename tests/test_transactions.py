@@ -67,6 +67,15 @@ def test_units_are_all_shown(scans):
     assert shown(page=20) == [f"u{n:02}" for n in range(24, 4, -1)]
 
 
+def test_batches_do_not_reduce_the_tables_again(spark, small, tmp_path):
+    known = {}
+    for name, rows in {**transactions.snapshot(small), "arriving": small["voorraad_transactie"]}.items():
+        rows.write.parquet(str(tmp_path / name))
+        known[name] = spark.read.parquet(str(tmp_path / name))
+    plan = transactions.checked(known, known["arriving"])._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
+
+
 def test_stream_equals_batch(spark, small):
     streamed = txn_stream(small, records_per_file=100, files_per_batch=3)
     judged = streamed.filter("outcome <> 'posted'").selectExpr("name", "IF(outcome = 'accepted', 1, 0) AS accepted", "reason")
