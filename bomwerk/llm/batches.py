@@ -12,17 +12,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20  # a longer text is a slice of its own
+SLICE_BYTES = 2 << 20  # a longer text is a slice of its own
 
 
-def slices(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch, each with about ``SLICE_BYTES`` of text in ``columns``."""
+def slices(batch: pa.RecordBatch, *columns: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch, each with about ``size`` bytes of text in ``columns``."""
     if not batch.num_rows:
         return
     sizes = np.zeros(batch.num_rows, np.int64)
     for column in columns or ("text",):
         sizes += pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes) // SLICE_BYTES
+    part = np.cumsum(sizes) // size
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for low, high in zip(edges, edges[1:], strict=False):
         if high > low:

@@ -24,6 +24,7 @@ WIDTH = 8  # tokens of a window; an item with fewer has one window of its length
 LEAST_TOKENS = 3  # items with fewer have no window
 LEAST_WORDS = 0.5  # share of a window's tokens that are no placeholder
 COVERAGE = 0.5  # share of an item's windows that makes a document contaminated
+SLICE = 1 << 20  # bytes of text that are canonical tokens at a time
 BITS = 24  # of the filter of window hashes that every task gets: 2 MB whatever the benchmark's size
 # Units that count as such behind a number.
 UNITS = frozenset(
@@ -127,7 +128,7 @@ def templates(benchmark: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for part in batches.slices(batch):
+            for part in batches.slices(batch, size=SLICE):
                 tokens, rows = Tokens(part.column("text")), []
                 for n, item in enumerate(part.column("item_id").to_pylist()):
                     low, high = int(tokens.starts[n]), int(tokens.starts[n + 1])
@@ -154,7 +155,7 @@ def _runs(docs: DataFrame, widths: list[int], mask: np.ndarray) -> DataFrame:
         import xxhash
 
         for batch in parts:
-            for part in batches.slices(batch):
+            for part in batches.slices(batch, size=SLICE):
                 tokens, ids, rows = Tokens(part.column("text")), part.column("doc_id").to_pylist(), []
                 for width in widths:
                     at, hashes = tokens.windows(width)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bomwerk.llm import batches
-from bomwerk.llm.tables import kept
+from bomwerk.llm.tables import kept, stored
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 128  # labelled documents fetched for each language, of at most SAMPLE_CHARS each
@@ -38,7 +38,8 @@ def train(labelled: DataFrame) -> dict[str, bytes]:
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS))
     rows = rows.select("lang", "text", digest.alias("digest"))
     chosen = rows.groupBy("lang", F.pmod("digest", F.lit(SAMPLE_DOCS)).alias("bucket")).agg(F.min("digest").alias("digest"))
-    found = rows.join(chosen.select("lang", "digest"), ["lang", "digest"]).dropDuplicates(["lang", "digest"]).collect()
+    chosen = stored(chosen.select("lang", "digest"), "lang-sample")  # small, so Spark sends it to the texts and not these to it
+    found = rows.join(chosen, ["lang", "digest"]).dropDuplicates(["lang", "digest"]).collect()
     contents: dict[str, bytes] = {}
     for row in sorted(found, key=lambda row: (row.lang, row.digest)):
         text = batches.plain(pa.array([row.text]))[0].as_py().encode()
