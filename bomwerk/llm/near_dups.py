@@ -10,17 +10,20 @@ share of agreeing coordinates is near the threshold, the shingles themselves dec
 Texts with equal signatures are one node. Nodes meet in buckets of equal bands. First
 all members of a bucket are compared with one hub, the node that meets most others. The
 members that this leaves in different classes are compared in blocks: a task compares
-two blocks of bounded size and hands on only the nearest links that join classes.
+two blocks of bounded size and hands on the sure links that join classes and the nodes
+with links in doubt. Classes that are still apart then are compared by their shingles,
+again in blocks, until a pair of them is joined or all its links are refused.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +39,8 @@ COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (math.log(COORDINATES) + 3)  # expected; leaves about one text in 20 without one at some coordinate
 DOUBT = 0.075  # so near the threshold, three standard errors, pairs are compared by their shingles
 LOW, SURE = math.floor((SIMILARITY - DOUBT) * COORDINATES), math.ceil((SIMILARITY + DOUBT) * COORDINATES)
-BLOCK = 256  # nodes
-NEAREST = 3  # links in doubt that are compared by their shingles for two classes
+BLOCK, BLOCK_BYTES = 256, 8 << 20  # nodes and bytes of text
+NEAREST = 3  # links in doubt to hubs that are tried for two classes; the blocks judge all others
 SLICE_DARTS = 1 << 18  # that a task throws at once
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,7 +133,7 @@ def signatures(text: np.ndarray, value: np.ndarray, weight: np.ndarray, number:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, signature) of all documents with an id; a null text counts as empty."""
+    """(doc_id, signature, bytes) of all documents with an id; a null text counts as empty."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -138,10 +141,12 @@ def signed(docs: DataFrame) -> DataFrame:
                 for low in range(0, part.num_rows, 512):
                     some = part.slice(low, 512)
                     prints = signatures(*shingles(some.column("text")), some.num_rows)
-                    yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([p.tobytes() for p in prints], pa.binary())], names=["doc_id", "signature"])
+                    bodies = [p.tobytes() for p in prints]
+                    lengths = pc.binary_length(some.column("text")).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(bodies, pa.binary()), lengths], names=["doc_id", "signature", "bytes"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, signature binary")
+    return rows.mapInArrow(run, "doc_id long, signature binary, bytes long")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -182,51 +187,55 @@ def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (node, other) between similar ``nodes`` (node, signature) that join all classes.
+    """Links (node, other) between similar ``nodes`` (node, signature, bytes) that join all classes.
 
     Every node that shares a bucket with one it resembles is linked to it or, by other
     links, to its class. ``docs`` (doc_id, text) has the texts of the nodes.
     """
     bands = F.array(*[F.xxhash64(F.lit(n), F.substring("signature", 1 + 2 * ROWS * n, 2 * ROWS)) for n in range(BANDS)])
-    members = nodes.select("node", F.explode(bands).alias("bucket"))
+    members = nodes.select("node", "bytes", F.posexplode(bands).alias("band", "bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    members = stored(join_on_key(members, sizes, {"bucket": "bucket"}, "inner").select("bucket", "node", "size"), "near-members")
+    members = stored(join_on_key(members, sizes, {"bucket": "bucket"}, "inner").select("bucket", "band", "node", "bytes", "size"), "near-members")
     # the middle of a group of near-copies shares a bucket with more of them than its fringe
     degrees = members.groupBy("node").agg(F.sum("size").alias("degree"))
     rank = F.struct("degree", F.xxhash64("node").alias("draw"), "node")
     hubs = join_on_key(members, degrees, {"node": "node"}, "inner").groupBy("bucket").agg(F.max(rank).alias("hub")).select("bucket", F.col("hub.node").alias("hub"))
     pairs = join_on_key(members, hubs, {"bucket": "bucket"}, "inner").where(F.col("node") != F.col("hub")).select("node", F.col("hub").alias("other")).distinct()
-    pairs = join_on_key(pairs, nodes, {"node": "node"}, "inner").withColumnRenamed("signature", "_left")
-    pairs = join_on_key(pairs, nodes, {"other": "node"}, "inner").select("node", "other", agreeing("_left", "signature").alias("near"))
-    starred = stored(_decided(pairs.where(F.col("near") >= LOW), None, docs), "near-starred")
+    prints = nodes.select("node", "signature")
+    pairs = join_on_key(pairs, prints, {"node": "node"}, "inner").withColumnRenamed("signature", "_left")
+    pairs = join_on_key(pairs, prints, {"other": "node"}, "inner").select("node", "other", agreeing("_left", "signature").alias("near"))
+    starred = stored(_starred(pairs.where(F.col("near") >= LOW), docs), "near-starred")
 
     # buckets whose members are in one class by now are done
     roots = stored(rounds.components(starred), "near-roots")
-    members = join_on_key(members.select("bucket", "node"), roots, {"node": "node"}).withColumn("root", F.coalesce("root", "node"))
-    mixed = members.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("size"))
-    mixed = mixed.where(F.col("_low") != F.col("_high")).select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    members = join_on_key(members.drop("size"), roots, {"node": "node"}).withColumn("root", F.coalesce("root", "node"))
+    mixed = members.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("size"), F.sum("bytes").alias("_bytes"))
+    blocks = F.least("size", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("_bytes") / BLOCK_BYTES)))
+    mixed = mixed.where(F.col("_low") != F.col("_high")).select("bucket", blocks.cast("int").alias("blocks"))
     members = join_on_key(members, mixed, {"bucket": "bucket"}, "inner")
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     members = members.withColumn("block", own).select(
-        "bucket", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_with")
+        "bucket", "band", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_with")
     )
-    members = members.select("bucket", F.least("block", "_with").alias("a"), F.greatest("block", "_with").alias("b"), "node", "root", "block")
-    members = join_on_key(members, nodes, {"node": "node"}, "inner")
+    members = members.select("bucket", F.least("block", "_with").alias("a"), F.greatest("block", "_with").alias("b"), "band", "node", "root", "block")
+    members = join_on_key(members, prints, {"node": "node"}, "inner")
     members = members.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    nearest = members.mapInArrow(_compare_blocks, "node long, other long, near int").groupBy("node", "other").agg(F.max("near").alias("near"))
-    return starred.unionByName(_decided(nearest, starred, docs))
+    compared = stored(members.mapInArrow(_by_groups(_compare), "bucket long, a int, b int, band int, block int, node long, other long"), "near-compared")
+    sure = starred.unionByName(compared.where(F.col("other").isNotNull()).select("node", "other"))
+    doubt = compared.where(F.col("other").isNull()).drop("other")
+    return sure if doubt.isEmpty() else sure.unionByName(_judged(doubt, sure, prints, docs))
 
 
-def _decided(edges: DataFrame, known: DataFrame | None, docs: DataFrame) -> DataFrame:
-    """Of ``edges`` (node, other, near) the links: the sure ones, and those in doubt that
-    join classes of sure and ``known`` links and whose shingles are similar.
+def _starred(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of ``edges`` (node, other, near) to hubs the sure ones, and the nearest in doubt that
+    join classes of sure ones and whose shingles are similar.
     """
     edges = stored(edges, "near-edges")
     sure = edges.where(F.col("near") >= SURE).select("node", "other")
     doubt = edges.where(F.col("near") < SURE)
     if doubt.isEmpty():
         return sure
-    roots = stored(rounds.components(sure if known is None else known.unionByName(sure)), "near-roots")
+    roots = stored(rounds.components(sure), "near-roots")
     for side in ("node", "other"):
         doubt = join_on_key(doubt, roots.withColumnRenamed("root", f"_{side}"), {side: "node"}).withColumn(f"_{side}", F.coalesce(f"_{side}", side))
     between = Window.partitionBy("_low", "_high").orderBy(F.col("near").desc(), "node", "other")
@@ -235,55 +244,122 @@ def _decided(edges: DataFrame, known: DataFrame | None, docs: DataFrame) -> Data
     return sure.unionByName(exact(doubt, docs).where(F.col("exact") >= SIMILARITY).select("node", "other"))
 
 
-def _compare_blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nearest links between classes of each (bucket, a, b); its rows follow each other."""
-    rest = None
-    for batch in parts:
-        batch = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-        keys = np.stack([batch.column(name).to_numpy() for name in ("bucket", "a", "b")])
-        starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
-        yield _nearest(batch, starts, starts[1:])
-        rest = batch.slice(starts[-1])  # the last group may go on in the next batch
-    if rest is not None and rest.num_rows:
-        yield _nearest(rest, [0], [rest.num_rows])
-
-
-def _nearest(batch: pa.RecordBatch, starts: list[int], ends: list[int]) -> pa.RecordBatch:
-    nodes, roots, blocks = (batch.column(name).to_numpy() for name in ("node", "root", "block"))
-    apart = batch.column("a").to_numpy() != batch.column("b").to_numpy()
-    prints = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(batch.num_rows, -1)
-    found: list[tuple[int, int, int]] = []
-    for low, high in zip(starts, ends, strict=False):
-        edges = []
-        for n in range(low, high - 1):
-            near = (prints[n + 1 : high] == prints[n]).sum(axis=1)
-            fits = (near >= LOW) & (roots[n + 1 : high] != roots[n])
-            if apart[low]:  # two blocks: each is compared with itself elsewhere
-                fits &= blocks[n + 1 : high] != blocks[n]
-            edges += [(int(near[m]), n, n + 1 + int(m)) for m in np.flatnonzero(fits)]
-        found += [(int(nodes[a]), int(nodes[b]), near) for near, a, b in _forest(edges, roots)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32())],
-        names=["node", "other", "near"],
-    )
+def _judged(doubt: DataFrame, sure: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (node, other) by shingles between the classes of ``sure`` links that each two blocks of ``doubt`` have."""
+    roots = stored(rounds.components(sure), "near-roots")
+    doubt = join_on_key(doubt, roots, {"node": "node"}).withColumn("root", F.coalesce("root", "node"))
+    apart = doubt.groupBy("bucket", "a", "b").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+    apart = apart.where(F.col("_low") != F.col("_high")).select("bucket", "a", "b")
+    doubt = stored(join_on_key(doubt, apart, {"bucket": "bucket", "a": "a", "b": "b"}, "inner"), "near-doubt")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(doubt.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "text"])
+    rows = join_on_key(join_on_key(doubt, prints, {"node": "node"}, "inner"), stored(texts, "near-texts"), {"node": "id"}, "inner")
+    rows = rows.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    return rows.mapInArrow(_by_groups(_judge), "node long, other long").distinct()
 
 
-def _forest(edges: list[tuple[int, int, int]], roots: np.ndarray) -> list[tuple[int, int, int]]:
-    """The edges that join classes, nearest first: at any threshold they join what all edges join."""
-    top: dict[int, int] = {}
+def _by_groups(work: Callable[[pa.RecordBatch, list[int], list[int]], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on the groups (bucket, a, b) of rows, which follow each other."""
 
-    def find(root: int) -> int:
-        while top.get(root, root) != root:
-            root = top[root]
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in parts:
+            batch = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(name).to_numpy() for name in ("bucket", "a", "b")])
+            starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
+            yield work(batch, starts, starts[1:])
+            rest = batch.slice(starts[-1])  # the last group may go on in the next batch
+        if rest is not None and rest.num_rows:
+            yield work(rest, [0], [rest.num_rows])
+
+    return run
+
+
+def _edges(batch: pa.RecordBatch, low: int, high: int, roots: np.ndarray, prints: np.ndarray) -> list[tuple[int, int, int]]:
+    """(near, row, row) between the classes of a group, each in the first band alone in which its nodes agree."""
+    band, apart = batch.column("band")[low].as_py(), batch.column("a")[low].as_py() != batch.column("b")[low].as_py()
+    blocks = batch.column("block").to_numpy()
+    edges = []
+    for n in range(low, high - 1):
+        same = prints[n + 1 : high] == prints[n]
+        near = same.sum(axis=1)
+        fits = (near >= LOW) & (roots[n + 1 : high] != roots[n])
+        if apart:  # two blocks: each is compared with itself elsewhere
+            fits &= blocks[n + 1 : high] != blocks[n]
+        at = np.flatnonzero(fits)
+        at = at[same[at].reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band] if len(at) else at
+        edges += [(int(near[m]), n, n + 1 + int(m)) for m in at]
+    return edges
+
+
+def _prints(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(batch.num_rows, -1)
+
+
+def _compare(batch: pa.RecordBatch, starts: list[int], ends: list[int]) -> pa.RecordBatch:
+    """Of each group the sure links that join classes, and without ``other`` the nodes with links in doubt between those still apart."""
+    nodes, roots, prints = batch.column("node").to_numpy(), batch.column("root").to_numpy(), _prints(batch)
+    rows: list[int] = []
+    others: list[int | None] = []
+    for low, high in zip(starts, ends, strict=False):
+        edges, classes = _edges(batch, low, high, roots, prints), _Classes(roots)
+        for _, a, b in sorted((edge for edge in edges if edge[0] >= SURE), reverse=True):
+            if classes.join(a, b):
+                rows.append(a)
+                others.append(int(nodes[b]))
+        open_ = {n for near, a, b in edges if near < SURE and classes.of(a) != classes.of(b) for n in (a, b)}
+        rows += sorted(open_)
+        others += [None] * len(open_)
+    names = ["bucket", "a", "b", "band", "block", "node"]
+    columns = [batch.column(name).take(pa.array(rows, pa.int64())) for name in names]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(others, pa.int64())], names=[*names, "other"])
+
+
+def _judge(batch: pa.RecordBatch, starts: list[int], ends: list[int]) -> pa.RecordBatch:
+    """Of each group the links between classes whose shingles are similar: nearest first, until two classes are one or all are judged."""
+    nodes, roots, prints = batch.column("node").to_numpy(), batch.column("root").to_numpy(), _prints(batch)
+    found: list[tuple[int, int]] = []
+    for low, high in zip(starts, ends, strict=False):
+        edges, classes = _edges(batch, low, high, roots, prints), _Classes(roots)
+        if not edges:
+            continue
+        text, value, weight = shingles(batch.column("text").slice(low, high - low))
+        cuts = np.searchsorted(text, np.arange(high - low + 1))
+        total = np.bincount(text, weight, high - low)
+        for _, a, b in sorted(edges, reverse=True):
+            if classes.of(a) == classes.of(b):
+                continue
+            left, right = slice(cuts[a - low], cuts[a - low + 1]), slice(cuts[b - low], cuts[b - low + 1])
+            at = np.minimum(np.searchsorted(value[left], value[right]), left.stop - left.start - 1)  # no text is without a shingle
+            same = value[left][at] == value[right]
+            shared = np.minimum(weight[left][at[same]], weight[right][same]).sum()
+            if shared / (total[a - low] + total[b - low] - shared) >= SIMILARITY:
+                classes.join(a, b)
+                found.append((int(nodes[a]), int(nodes[b])))
+    return pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in range(2)], names=["node", "other"])
+
+
+class _Classes:
+    """The classes of rows, named by their roots, as links join them."""
+
+    def __init__(self, roots: np.ndarray):
+        self.roots, self.top = roots, {}
+
+    def of(self, row: int) -> int:
+        root = int(self.roots[row])
+        while (up := self.top.get(root, root)) != root:
+            self.top[root] = self.top.get(up, up)
+            root = up
         return root
 
-    kept = []
-    for near, a, b in sorted(edges, reverse=True):
-        left, right = find(int(roots[a])), find(int(roots[b]))
+    def join(self, a: int, b: int) -> bool:
+        """Whether the classes of two rows were apart."""
+        left, right = self.of(a), self.of(b)
         if left != right:
-            top[left] = right
-            kept.append((near, a, b))
-    return kept
+            self.top[left] = right
+        return left != right
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -294,7 +370,7 @@ def classes(docs: DataFrame) -> DataFrame:
     Texts without a letter or digit, null and empty ones too, are alike only if equal.
     """
     prints = stored(signed(docs.select("doc_id", "text")), "near-prints")
-    nodes = stored(prints.groupBy("signature").agg(F.min("doc_id").alias("node")).select("node", "signature"), "near-nodes")
+    nodes = stored(prints.groupBy("signature").agg(F.min("doc_id").alias("node"), F.max("bytes").alias("bytes")).select("node", "signature", "bytes"), "near-nodes")
     roots = stored(rounds.components(links(nodes, docs)), "near-roots")
     named = nodes.select("node", F.xxhash64("signature").alias("_a"), F.xxhash64(F.lit(1), "signature").alias("_b"))
     named = join_on_key(named, roots, {"node": "node"}, "left").select("_a", "_b", F.coalesce("root", "node").alias("class_id"))
