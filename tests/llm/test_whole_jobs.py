@@ -32,3 +32,8 @@ def families(spark, seeds, copies):
 def test_refused_links_leave_the_others_of_a_block(spark):
     docs, want = families(spark, [0, 1, 2, 10], 8)
     assert {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()} == want
+
+
+def test_a_similar_pair_behind_many_others_in_doubt(spark):
+    docs, want = families(spark, [0, 2], 150)
+    assert {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()} == want
