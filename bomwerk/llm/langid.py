@@ -22,6 +22,7 @@ SAMPLE_CHARS = 8192
 DICTIONARY_BYTES = 1 << 17  # the dictionary of a language is made of whole documents up to this size
 MIN_MARGIN = 0.002  # best against second size, as a share of the second
 SHORT, SHORT_LEVEL, LEVEL = 1024, 12, 5  # short texts get the finer, slower level
+PIECE = 1 << 15  # bytes of a text that are compressed at once; what a dictionary saves on a frame is bounded
 CARRIER_BYTES = 256  # of each dictionary, for short texts that come out equal
 STEEP = 50.0  # margin at which the score is 1 - 1/e: 2 %
 
@@ -52,7 +53,8 @@ def train(labelled: DataFrame) -> dict[str, bytes]:
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and rejected beside all other columns.
 
-    Whole texts, in lower case and without anything but letters, are compressed. A null
+    Whole texts, in lower case and without anything but letters, are compressed, long ones
+    in pieces whose sizes add up, so that the margin does not shrink with the length. A null
     text and one without letters is ``und``, with score 0, and rejected; so is every
     text if there is no dictionary. Of equal sizes the language that sorts first wins,
     and the text is rejected. Columns with the names of the results are replaced.
@@ -95,7 +97,9 @@ def _judge(dictionaries: dict[str, bytes]):
 
     def weigh(raw: bytes) -> list[tuple[int, str]]:
         if len(raw) > SHORT:
-            return sorted((len(packer.compress(raw)), lang) for lang, packer in usual)
+            pieces = -(-len(raw) // PIECE)
+            cuts = [len(raw) * n // pieces for n in range(pieces + 1)]
+            return sorted((sum(len(packer.compress(raw[low:high])) for low, high in zip(cuts, cuts[1:], strict=False)), lang) for lang, packer in usual)
         sizes = sorted((len(packer.compress(raw)), lang) for lang, packer in fine)
         if len(sizes) > 1 and sizes[0][0] == sizes[1][0]:
             behind = carrier + b" " + raw + b" "

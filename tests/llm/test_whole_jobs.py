@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from bomwerk.llm import near_dups
+from bomwerk.llm import langid, near_dups
 
 
 def families(spark, seeds, copies):
@@ -37,3 +37,14 @@ def test_refused_links_leave_the_others_of_a_block(spark):
 def test_a_similar_pair_behind_many_others_in_doubt(spark):
     docs, want = families(spark, [0, 2], 150)
     assert {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()} == want
+
+
+def test_long_texts_keep_their_margin():
+    rng = np.random.default_rng(1)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    words = {lang: ["".join(rng.choice(letters, 7)) for _ in range(3000)] for lang in ("aa", "bb")}
+    text = {lang: " ".join(rng.choice(some, 15_000)) for lang, some in words.items()}
+    judge = langid._judge({lang: some.encode()[: langid.DICTIONARY_BYTES] for lang, some in text.items()})
+    short, long = (judge(" ".join(rng.choice(words["bb"], n))) for n in (3000, 1_500_000))
+    assert short[::2] == long[::2] == ("bb", False)
+    assert abs(short[1] - long[1]) < 0.1
