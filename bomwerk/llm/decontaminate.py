@@ -4,6 +4,7 @@ Numbers, names and units become typed placeholders, so a question whose figures
 were exchanged keeps its template. Windows of canonical tokens are joined by hash with
 those of the benchmark, and the slots behind the placeholders must be exchanged
 consistently: the same value of the item always for the same value of the document.
+Windows are found by their literal words too, those of mostly placeholders only so.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bomwerk.llm import batches
 from bomwerk.llm.tables import stored
@@ -22,7 +25,7 @@ from bomwerk.operators.lookup import join_on_key
 
 WIDTH = 8  # tokens of a window; an item with fewer has one window of its length
 LEAST_TOKENS = 3  # items with fewer have no window
-LEAST_WORDS = 0.5  # share of a window's tokens that are no placeholder
+LEAST_WORDS = 0.5  # share of a window's tokens that are no placeholder; with less, only its literal words count
 COVERAGE = 0.5  # share of an item's windows that makes a document contaminated
 SLICE = 1 << 20  # bytes of text that are canonical tokens at a time
 BITS = 24  # of the filter of window hashes that every task gets: 2 MB whatever the benchmark's size
@@ -98,28 +101,34 @@ class Tokens:
         sign = np.array([value in "$€£%" for value in self.values], bool)[self.place] if len(kind) else kind
         self.kind = np.where((kind == UNIT) & (before != NUMBER) & ~((after == NUMBER) & sign), WORD, kind) if len(kind) else kind
         own = hashes[self.place] if len(kind) else np.zeros(0, np.uint64)
+        self.own = own
         self.hash = np.where(self.kind == WORD, own, _mix(self.kind.astype(np.uint64) * _GOLDEN)) if len(kind) else own
 
     def slots(self, low: int, high: int) -> list[str | None]:
         """Type and value of each placeholder, None for words."""
         return [None if k == WORD else f"{k}:{self.values[p]}" for k, p in zip(self.kind[low:high].tolist(), self.place[low:high].tolist(), strict=True)]
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where windows with enough words start, and their hashes."""
+    def windows(self, width: int, literal: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows start, and their hashes: of templates with enough words, or of the ``literal`` words.
+
+        A template without placeholders has the hash of its literal words.
+        """
         last = len(self.hash) - width + 1
         if last <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        rolled = np.full(last, width, np.uint64)
-        for n in range(width):
-            rolled = _mix(rolled + _GOLDEN) ^ self.hash[n : n + last]
         text = np.searchsorted(self.starts, np.arange(last), "right") - 1
         worded = np.concatenate([[0], np.cumsum(self.kind == WORD)])
-        fits = (np.arange(last) + width <= self.starts[text + 1]) & (worded[width : width + last] - worded[:last] >= LEAST_WORDS * width)
-        at = np.flatnonzero(fits)
-        return at, _mix(rolled[at])
+        words = worded[width : width + last] - worded[:last]
+        fits = np.arange(last) + width <= self.starts[text + 1]
+        at = np.flatnonzero(fits & (words < width if literal else words >= LEAST_WORDS * width))
+        source, rolled = self.own if literal else self.hash, np.full(len(at), width, np.uint64)
+        for n in range(width):
+            rolled = _mix(rolled + _GOLDEN) ^ source[at + n]
+        return at, _mix(rolled)
 
 
-ITEM = "item_id long, width int, places array<int>, windows array<long>, slots array<string>"
+ITEM = "item_id long, width int, places array<int>, windows array<long>, literal array<boolean>, worded array<int>, wanted int, slots array<string>"
+HELD = T.StructType([T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("exchanged", T.BooleanType())])
 RUN = "doc_id long, run long, width int, windows array<long>, slots array<string>"
 
 
@@ -135,10 +144,19 @@ def templates(benchmark: DataFrame) -> DataFrame:
                     width = min(WIDTH, high - low)
                     if width < LEAST_TOKENS:
                         continue
-                    at, hashes = tokens.windows(width)
-                    mine = (at >= low) & (at < high)
-                    rows.append((item, width, (at[mine] - low).tolist(), hashes[mine].view(np.int64).tolist(), tokens.slots(low, high)))
-                yield _batch(rows, [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())], ["item_id", "width", "places", "windows", "slots"])
+                    slots, places, windows, literal = tokens.slots(low, high), [], [], []
+                    for plain in (False, True):
+                        at, hashes = tokens.windows(width, plain)
+                        mine = (at >= low) & (at < high)
+                        places += (at[mine] - low).tolist()
+                        windows += hashes[mine].view(np.int64).tolist()
+                        # a template without placeholders is literal
+                        literal += [plain or not any(slots[place : place + width]) for place in (at[mine] - low).tolist()]
+                        if not plain:
+                            worded = list(places)
+                    rows.append((item, width, places, windows, literal, worded, high - low - width + 1, slots))
+                kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.string())]
+                yield _batch(rows, kinds, ["item_id", "width", "places", "windows", "literal", "worded", "wanted", "slots"])
 
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     return rows.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, ITEM).where(F.size("windows") > 0)
@@ -157,8 +175,8 @@ def _runs(docs: DataFrame, widths: list[int], mask: np.ndarray) -> DataFrame:
         for batch in parts:
             for part in batches.slices(batch, size=SLICE):
                 tokens, ids, rows = Tokens(part.column("text")), part.column("doc_id").to_pylist(), []
-                for width in widths:
-                    at, hashes = tokens.windows(width)
+                for width, literal in ((width, literal) for width in widths for literal in (False, True)):
+                    at, hashes = tokens.windows(width, literal)
                     bit = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
                     hit = (mask[bit >> 3] >> (bit & 7)) & 1 == 1
                     at, hashes = at[hit], hashes[hit]
@@ -168,7 +186,7 @@ def _runs(docs: DataFrame, widths: list[int], mask: np.ndarray) -> DataFrame:
                     breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(text) != 0)) + 1
                     for low, high in zip([0, *breaks.tolist()], [*breaks.tolist(), len(at)], strict=True):
                         first, last = int(at[low]), int(at[high - 1]) + width
-                        slots = tokens.slots(first, last)
+                        slots = [] if literal else tokens.slots(first, last)
                         key = xxhash.xxh64(hashes[low:high].tobytes())
                         key.update("\u0000".join(slot or "" for slot in slots))
                         rows.append((ids[int(text[low])], key.intdigest() - (1 << 63), width, hashes[low:high].view(np.int64).tolist(), slots))
@@ -181,8 +199,9 @@ def _runs(docs: DataFrame, widths: list[int], mask: np.ndarray) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, coverage, reparameterised) for every benchmark item that a document contains.
 
-    ``coverage`` is the share of the item's windows found with consistent slots;
-    ``reparameterised`` tells that some value was exchanged. Documents and items without
+    ``coverage`` is the share of the item's windows found literally or with consistent
+    slots; or that of its windows with enough words, if higher, since the others are not
+    found with values exchanged. ``reparameterised`` tells that some value was exchanged. Documents and items without
     an id, null texts and items of fewer than three tokens give no row; rows that repeat
     an id are one document or item.
     """
@@ -196,32 +215,51 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     runs = stored(_runs(docs, sorted(widths), mask), "leak-runs")
     # a passage that very many documents share is one run: it is compared once
     distinct = stored(runs.groupBy("run", "width").agg(F.first("windows").alias("windows"), F.first("slots").alias("theirs")), "leak-distinct")
-    offered = items.select("item_id", "width", F.explode(F.arrays_zip("windows", "places")).alias("w"))
-    offered = offered.select("item_id", "width", F.col("w.windows").alias("hash"), F.col("w.places").alias("place"))
+    offered = items.select("item_id", "width", F.explode(F.arrays_zip("windows", "places", "literal")).alias("w"))
+    offered = offered.select("item_id", "width", F.col("w.windows").alias("hash"), F.col("w.places").alias("place"), F.col("w.literal").alias("literal"))
     asked = distinct.select("run", "width", F.posexplode("windows").alias("at", "hash"))
     met = asked.join(offered, ["hash", "width"]).groupBy("run", "width", "item_id", (F.col("at") - F.col("place")).alias("shift"))
-    met = met.agg(F.collect_set("place").alias("places"))  # at most an item's windows
-    ours = items.select("item_id", "width", F.size("windows").alias("wanted"), F.col("slots").alias("ours"))
+    met = met.agg(F.collect_set(F.when(~F.col("literal"), F.col("place"))).alias("places"), F.collect_set(F.when(F.col("literal"), F.col("place"))).alias("same"))  # at most an item's windows
+    ours = items.select("item_id", "width", "wanted", "worded", F.col("slots").alias("ours"))
     met = met.join(distinct.select("run", "width", "theirs"), ["run", "width"]).join(ours, ["item_id", "width"])
     pairs = _slot_pairs(F.col("places"), F.col("width"), F.col("shift"))
-    met = met.withColumn("pairs", pairs).where(F.size(F.array_distinct(F.col("pairs.ours"))) == F.size(F.array_distinct("pairs")))
-    met = stored(met.select("run", "item_id", "places", "wanted", F.exists("pairs", lambda p: p["ours"] != p["theirs"]).alias("exchanged")), "leak-met")
-    per_run = met.groupBy("run").agg(F.collect_list(F.struct("item_id", "places", "wanted", "exchanged")).alias("items"))  # items that one run holds
+    held = _held(F.col("places"), F.col("same"), F.col("width"), F.col("pairs"))
+    met = met.withColumn("pairs", pairs).withColumn("held", held).where(F.size("held.places") > 0)
+    met = stored(met.select("run", "item_id", "held.places", "wanted", "worded", "held.exchanged"), "leak-met")
+    per_run = met.groupBy("run").agg(F.collect_list(F.struct("item_id", "places", "wanted", "worded", "exchanged")).alias("items"))  # items that one run holds
     back = join_on_key(runs.select("doc_id", "run"), per_run, {"run": "run"}, "inner").select("doc_id", F.inline("items"))
     found = back.groupBy("doc_id", "item_id").agg(
-        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.max("wanted").alias("wanted"), F.bool_or("exchanged").alias("reparameterised")
+        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.max("wanted").alias("wanted"), F.max("worded").alias("worded"), F.bool_or("exchanged").alias("reparameterised")
     )
-    share = F.size("places") / F.col("wanted")
+    worded = F.size(F.array_intersect("places", "worded")) / F.greatest(F.size("worded"), F.lit(1))
+    share = F.greatest(F.size("places") / F.col("wanted"), worded)
     return found.select("doc_id", "item_id", F.least(share, F.lit(1.0)).alias("coverage"), "reparameterised").where(F.col("coverage") >= coverage)
 
 
 def _slot_pairs(places: Column, width: Column, shift: Column) -> Column:
     """The item's and the document's value of each placeholder in the windows that met."""
     tokens = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + width - 1))))
-    pairs = F.transform(tokens, lambda t: F.struct(F.get("ours", t).alias("ours"), F.get("theirs", t + shift).alias("theirs")))
+    pairs = F.transform(tokens, lambda t: F.struct(t.alias("at"), F.get("ours", t).alias("ours"), F.get("theirs", t + shift).alias("theirs")))
     return F.filter(pairs, lambda p: p["ours"].isNotNull())
 
 
+@F.pandas_udf(HELD)
+def _held(places: pd.Series, same: pd.Series, width: pd.Series, pairs: pd.Series) -> pd.DataFrame:
+    """The windows that hold, and whether one has a value exchanged: the ``same`` ones, and those of ``places`` with consistent slots."""
+    rows = []
+    for mine, plain, wide, found in zip(places, same, width, pairs, strict=True):
+        slots = {p["at"]: (p["ours"], p["theirs"]) for p in found}
+        keep = _consistent([int(p) for p in mine], int(wide), slots)
+        exchanged = any(slots[t][0] != slots[t][1] for p in keep for t in range(p, p + int(wide)) if t in slots)
+        rows.append((sorted({*keep, *(int(p) for p in plain)}), exchanged))
+    return pd.DataFrame(rows, columns=["places", "exchanged"])
+
+
+def _consistent(places: list[int], width: int, slots: dict[int, tuple[str, str]]) -> list[int]:
+    """``places`` if each value of the item stands for one of the document, else none."""
+    return places if len({ours for ours, _ in slots.values()}) == len(set(slots.values())) else []
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` without the contaminated ones; rows without an id stay."""
     found = stored(contaminated(docs.select("doc_id", "text"), benchmark, coverage).select("doc_id").distinct(), "leak-ids")

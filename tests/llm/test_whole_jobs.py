@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from bomwerk.llm import langid, near_dups
+from bomwerk.llm import decontaminate, langid, near_dups
 
 
 def families(spark, seeds, copies):
@@ -48,3 +48,14 @@ def test_long_texts_keep_their_margin():
     short, long = (judge(" ".join(rng.choice(words["bb"], n))) for n in (3000, 1_500_000))
     assert short[::2] == long[::2] == ("bb", False)
     assert abs(short[1] - long[1]) < 0.1
+
+
+def leaks(spark, item, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    return sorted((r.doc_id, r.reparameterised) for r in found)
+
+
+def test_items_of_mostly_placeholders(spark):
+    item = "What is 12 + 7 - 3 + 9?"
+    assert leaks(spark, item, f"Some words. {item} More words.", "Some words. What is 5 + 4 - 1 + 2? More words.", None) == [(0, False)]
