@@ -10,6 +10,7 @@ Windows are found by their literal words too, those of mostly placeholders only
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -256,8 +257,25 @@ def _held(places: pd.Series, same: pd.Series, width: pd.Series, pairs: pd.Series
 
 
 def _consistent(places: list[int], width: int, slots: dict[int, tuple[str, str]]) -> list[int]:
-    """``places`` if each value of the item stands for one of the document, else none."""
-    return places if len({ours for ours, _ in slots.values()}) == len(set(slots.values())) else []
+    """The ``places`` whose slots are all unchanged, or all exchanged as they mostly are.
+
+    Each value of the item stands for the value of the document that takes most of its
+    places; of a tie for itself if that is one of them, or else for none.
+    """
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for ours, theirs in slots.values():
+        counts[ours][theirs] += 1
+    stands = {}
+    for ours, found in counts.items():
+        most = max(found.values())
+        best = [theirs for theirs, count in found.items() if count == most]
+        stands[ours] = best[0] if len(best) == 1 else ours
+    keep = []
+    for place in places:
+        inside = [slots[t] for t in range(place, place + width) if t in slots]
+        if all(ours == theirs for ours, theirs in inside) or all(stands[ours] == theirs for ours, theirs in inside):
+            keep.append(place)
+    return keep
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

@@ -59,3 +59,9 @@ def leaks(spark, item, *texts):
 def test_items_of_mostly_placeholders(spark):
     item = "What is 12 + 7 - 3 + 9?"
     assert leaks(spark, item, f"Some words. {item} More words.", "Some words. What is 5 + 4 - 1 + 2? More words.", None) == [(0, False)]
+
+
+def test_one_changed_value_leaves_the_other_windows(spark):
+    item = "A farmer sells 12 boxes of ripe pears at the old market and then he drives home again to fetch another 12 boxes for his neighbour in town."
+    changed = item.replace("another 12", "another 15")
+    assert leaks(spark, item, item, f"Some words. {changed} More words.", "Some words, and 12 boxes, and 15 boxes.") == [(0, False), (1, False)]
