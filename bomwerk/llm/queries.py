@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bomwerk.llm import decontaminate, langid, mixing, near_dups, pii, sharding, spotsigs, tokens, toxicity, url_filter
+from bomwerk.llm import decontaminate, langid, mixing, near_dups, pieces, pii, sharding, spotsigs, tokens, toxicity, url_filter
 from bomwerk.llm.tables import read
 from bomwerk.session import tune
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 URL_RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
     ("net", "/es/", "block"), ("net", "/fr/", "block"),
@@ -103,6 +104,14 @@ def op10_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count(docs, public_tokenizers.path(TOKENIZER)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents and the texts that they decode to."""
+    import public_tokenizers
+
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return pieces.encode(docs, public_tokenizers.path(PIECES))
+
+
 URL_FILTER_SQL = """
 WITH parts AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -123,6 +132,7 @@ QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(rule_host || rule_pa
 
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_spotsigs, op2_sharding, op3_pii, op4_decontaminate, op5_langid, op6_toxicity, op7_near_dups, op8_mixing, op9_url_filter, op10_tokens,
+    op11_pieces,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: (lambda spark, folder, query=query: query(tune(spark), folder)) for query in _QUERIES
