@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bomwerk.llm import decontaminate, langid, mixing, near_dups, pieces, pii, sharding, spotsigs, tokens, toxicity, url_filter
+from bomwerk.llm import decontaminate, filter_audit, langid, mixing, near_dups, pieces, pii, sharding, spotsigs, tokens, toxicity, url_filter
 from bomwerk.llm.tables import read
 from bomwerk.session import tune
 
@@ -112,6 +112,14 @@ def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(docs, public_tokenizers.path(PIECES))
 
 
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from all documents in every order, by language."""
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audited(docs, read(spark, folder, "labels")).select(
+        "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"
+    )
+
+
 URL_FILTER_SQL = """
 WITH parts AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -130,11 +138,57 @@ FROM hosts LEFT JOIN rules
 QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) = 1
 """
 
+FILTER_AUDIT_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body FROM documents
+), measured AS (
+  SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words,
+    min(doc_id) OVER (PARTITION BY body) AS first FROM texts
+), failing AS (
+  SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+    100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 3 * length(body) AS c,
+    regexp_matches(body, '[#$%&*|]') AS d, coalesce(first < doc_id, false) AS e
+  FROM measured
+), marked AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), counts AS (
+  SELECT part, a, b, c, d, e, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM failing LEFT JOIN marked USING (doc_id) GROUP BY ALL
+), letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')), orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order
+  FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), removals AS (
+  SELECT counts.*, filter_order, least(
+    CASE WHEN a THEN strpos(filter_order, 'A') ELSE 6 END, CASE WHEN b THEN strpos(filter_order, 'B') ELSE 6 END,
+    CASE WHEN c THEN strpos(filter_order, 'C') ELSE 6 END, CASE WHEN d THEN strpos(filter_order, 'D') ELSE 6 END,
+    CASE WHEN e THEN strpos(filter_order, 'E') ELSE 6 END) AS removal
+  FROM counts, orders
+), steps AS (
+  SELECT *, substr(filter_order, step, 1) AS letter,
+    CASE substr(filter_order, step, 1) WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS fails,
+    a::INT + b::INT + c::INT + d::INT + e::INT AS n_fails
+  FROM removals, range(1, 6) AS s(step)
+), summed AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (removal > step), 0) AS kept, coalesce(sum(n) FILTER (removal = step), 0) AS removed,
+    coalesce(sum(n) FILTER (fails AND removal < step), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails AND n_fails = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (removal = step), 0) AS good_lost, coalesce(sum(toxic) FILTER (removal = step), 0) AS toxic_lost
+  FROM steps GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM summed
+"""
+
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_spotsigs, op2_sharding, op3_pii, op4_decontaminate, op5_langid, op6_toxicity, op7_near_dups, op8_mixing, op9_url_filter, op10_tokens,
-    op11_pieces,
+    op11_pieces, op12_filter_audit,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: (lambda spark, folder, query=query: query(tune(spark), folder)) for query in _QUERIES
 } | {"pipeline": corpus_pipeline.run}
-ORACLE_SQL = {"op9_url_filter": URL_FILTER_SQL}
+ORACLE_SQL = {"op9_url_filter": URL_FILTER_SQL, "op12_filter_audit": FILTER_AUDIT_SQL}
