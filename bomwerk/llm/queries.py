@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bomwerk.llm import decontaminate, filter_audit, langid, mixing, near_dups, pieces, pii, sharding, spotsigs, tokens, toxicity, url_filter
+from bomwerk.llm import decontaminate, filter_audit, langid, mixing, near_dups, pieces, pii, prefix_trie, sharding, spotsigs, tokens, toxicity, url_filter
 from bomwerk.llm.tables import read
 from bomwerk.session import tune
 
@@ -120,6 +120,11 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The trie of shared beginnings of all conversations."""
+    return prefix_trie.trie(read(spark, folder, "conversations")).drop("enter", "leave")
+
+
 URL_FILTER_SQL = """
 WITH parts AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -184,11 +189,55 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
 FROM summed
 """
 
+PREFIX_TRIE_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT n, 0 AS k, n AS c FROM range(256) AS r(n)
+  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+), crc_table AS (
+  SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), crcs AS (
+  SELECT DISTINCT conv_id, conv_id::VARCHAR AS s, 0 AS k, 4294967295 AS c FROM turns
+  UNION ALL
+  SELECT conv_id, s, k + 1, xor(c >> 8, t[((xor(c, ascii(substr(s, k + 1, 1))) & 255) + 1)]) FROM crcs, crc_table WHERE k < length(s)
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(c, 4294967295) % 4 AS h, own
+  FROM crcs JOIN (SELECT conv_id, max(pos) AS own FROM turns GROUP BY conv_id) USING (conv_id) WHERE k = length(s)
+), rebuilt AS (
+  SELECT c.conv_id, t.pos AS depth, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(b.own, 0)), t.role, t.text
+  FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h LEFT JOIN convs b ON b.conv_id = c.base
+), paths AS (
+  SELECT conv_id, depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+    string_agg(md5(md5(role) || md5(text)), '') OVER (PARTITION BY conv_id ORDER BY depth) AS path,
+    depth = max(depth) OVER (PARTITION BY conv_id) AS ending
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '', conv_id NOT IN (SELECT conv_id FROM rebuilt) FROM convs
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ending), '')) AS ends_sha256
+  FROM paths GROUP BY path, depth
+), children AS (
+  SELECT substr(path, 1, 32 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), subtrees AS (
+  SELECT substr(path, 1, 32 * d) AS path, count(*) FILTER (n_children IS NULL) AS n_leaves, sum(saved) AS saved_tokens
+  FROM nodes LEFT JOIN children USING (path), range(0, depth + 1) AS r(d) GROUP BY 1
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+  n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees USING (path) LEFT JOIN children USING (path)
+  LEFT JOIN nodes u ON n.depth > 0 AND u.path = substr(n.path, 1, 32 * (n.depth - 1))
+"""
+
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_spotsigs, op2_sharding, op3_pii, op4_decontaminate, op5_langid, op6_toxicity, op7_near_dups, op8_mixing, op9_url_filter, op10_tokens,
-    op11_pieces, op12_filter_audit,
+    op11_pieces, op12_filter_audit, op13_prefix_trie,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: (lambda spark, folder, query=query: query(tune(spark), folder)) for query in _QUERIES
 } | {"pipeline": corpus_pipeline.run}
-ORACLE_SQL = {"op9_url_filter": URL_FILTER_SQL, "op12_filter_audit": FILTER_AUDIT_SQL}
+ORACLE_SQL = {"op9_url_filter": URL_FILTER_SQL, "op12_filter_audit": FILTER_AUDIT_SQL, "op13_prefix_trie": PREFIX_TRIE_SQL}
