@@ -109,7 +109,7 @@ def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     docs = read(spark, folder, "documents").select("doc_id", "text")
-    return pieces.encode(docs, public_tokenizers.path(PIECES))
+    return pieces.encode(docs, public_tokenizers.path(PIECES)).drop("text")
 
 
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
