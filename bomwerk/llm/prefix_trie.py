@@ -114,6 +114,7 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Conversation c has the first h turns of conversation c - c % 20, h being the CRC-32
     of its id as text modulo 4, or all if there are fewer, then its own after its first h.
+    The remainder of a negative id is negative, as in SQL.
     """
     head = F.pmod(F.crc32(F.col("conv_id").cast("string")), F.lit(HEADS)).cast("int")
     own = turns.groupBy("conv_id").agg(F.max("position").alias("own")).select("conv_id", "own", head.alias("head"), (F.col("conv_id") - F.col("conv_id") % GROUP).alias("base"))
