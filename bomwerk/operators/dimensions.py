@@ -11,6 +11,9 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bomwerk.operators.intervals import contained
+from bomwerk.operators.lookup import join_on_key, lookup
+
 Tables = Mapping[str, DataFrame]
 
 
@@ -28,14 +31,12 @@ def bom_per_product(tables: Tables) -> DataFrame:
     return active_boms(tables).groupBy("product").agg(F.max("bom").alias("bom"), F.count("*").alias("n_bom"))
 
 
-def bins_per_item(tables: Tables, only_positive: bool = False, warehouses: DataFrame | None = None) -> DataFrame:
-    """item_code with the largest and the total stock over its bins."""
+def bins_per_item(tables: Tables, only_positive: bool = False, nodes: DataFrame | None = None) -> DataFrame:
+    """item_code with the largest and the total stock over its bins; with ``nodes``, for each of them."""
     bins = tables["bin"]
-    if warehouses is not None:
-        bins = bins.join(warehouses, bins["warehouse"] == warehouses["name"], "left_semi")
     if only_positive:
         bins = bins.filter(F.col("actual_qty") > 0)
-    return bins.groupBy("item_code").agg(
+    return at_nodes(bins, nodes).groupBy(*([] if nodes is None else ["node"]), "item_code").agg(
         F.max("actual_qty").alias("max_actual"),
         F.max("ordered_qty").alias("max_ordered"),
         F.sum("actual_qty").alias("sum_actual"),
@@ -106,29 +107,37 @@ def component_needs(tables: Tables, direct: bool = False, quantity: str = "stock
     )
 
 
-def warehouse_tree(tables: Tables, warehouse: str) -> DataFrame:
-    """Names of a warehouse and all below it; just the name if it is not in the tree."""
-    tree = tables["warehouse"]
-    root = tree.filter(F.col("name") == warehouse).agg(
-        F.min("lft").alias("low"), F.max("rgt").alias("high")
-    )
-    low, high = root.select("low").scalar(), root.select("high").scalar()
-    inside = (F.col("lft") >= low) & (F.col("rgt") <= high)
-    return tree.filter(inside | (F.col("name") == warehouse)).select("name")
+def warehouse_nodes(tables: Tables, asked: DataFrame) -> DataFrame:
+    """(node, warehouse) for each distinct ``node`` asked for: the warehouses in it, itself included.
+
+    The tree holds each warehouse as a range of numbers that contains those of all below
+    it. A name that is not in the tree is that warehouse alone.
+    """
+    tree = tables["warehouse"].select(F.col("name").alias("warehouse"), "lft", F.col("rgt").alias("_end"))
+    spans = tables["warehouse"].select("name", F.col("lft").alias("_low"), F.col("rgt").alias("_high"))
+    spans = lookup(asked, spans, {"node": "name"}, {"_low": "_low", "_high": "_high"})
+    below = contained(tree, spans, "lft", "_low", "_high").filter(F.col("_end") <= F.col("_high"))
+    alone = spans.filter(F.col("_low").isNull()).select("node", F.col("node").alias("warehouse"))
+    return below.select("node", "warehouse").unionByName(alone)
+
+
+def at_nodes(stock: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """Rows that have a ``warehouse``, once for each of ``nodes`` they are in, and once for the node '', which is everywhere."""
+    if nodes is None:
+        return stock
+    return join_on_key(stock, nodes, {"warehouse": "warehouse"}, "inner").unionByName(stock.withColumn("node", F.lit("")))
 
 
-def batch_ledger(tables: Tables, warehouses: DataFrame | None = None) -> DataFrame:
-    """Ledger stock per customer reference, panel variant and item.
+def batch_ledger(tables: Tables, nodes: DataFrame | None = None) -> DataFrame:
+    """Ledger stock per customer reference, panel variant and item; with ``nodes``, for each of them.
 
     Both parts are cut out of the batch number before the join, so it stays an
     equi-join, and the ledger is summed first, so the join sees one row per key.
     """
-    ledger = tables["stock_ledger_entry"]
-    if warehouses is not None:
-        ledger = ledger.join(warehouses, ledger["warehouse"] == warehouses["name"], "left_semi")
     return (
-        ledger.filter(F.col("batch_no").isNotNull())
+        at_nodes(tables["stock_ledger_entry"].filter(F.col("batch_no").isNotNull()), nodes)
         .groupBy(
+            *([] if nodes is None else ["node"]),
             F.lower(F.substring_index("batch_no", "-", 1)).alias("ref"),
             F.lower(F.substring_index("batch_no", "-", -1)).alias("variant"),
             "item_code",

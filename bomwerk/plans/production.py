@@ -91,13 +91,15 @@ def check_parts(
     tables: Tables,
     plain_without_subassemblies: bool = True,
     direct_quantity: str = "qty",
-    warehouses: DataFrame | None = None,
+    asked: DataFrame | None = None,
+    nodes: DataFrame | None = None,
 ) -> DataFrame:
     """Per (bom, component): its kind, quantity per unit and largest positive bin.
 
     ``plain`` and ``batch`` come from the exploded lines, ``subassembly`` from the
     direct ones. Bins are joined here, on the side that grows with the catalogue,
-    not on the exploded orders.
+    not on the exploded orders. With ``asked``, distinct pairs (node, bom), the parts are
+    those of the pairs and the bins those of the warehouse ``nodes``.
     """
     flags = tables["item"].filter(F.col("bakje_bakje") != 1).select(
         F.col("name").alias("item_code"), "has_batch_no", "sub_assembly_voorraad"
@@ -116,19 +118,19 @@ def check_parts(
         .filter(loose & (F.col("sub_assembly_voorraad") == 1))
         .withColumn("kind", F.lit("subassembly"))
     )
-    stock = bins_per_item(tables, only_positive=True, warehouses=warehouses)
+    stock = bins_per_item(tables, only_positive=True, nodes=nodes)
     parts = exploded.unionByName(direct).select("bom", "item_code", "component_name", "per_unit", "kind")
-    return lookup(parts, stock, {"item_code": "item_code"}, {"max_actual": "max_actual"})
+    if asked is None:
+        return lookup(parts, stock, {"item_code": "item_code"}, {"max_actual": "max_actual"})
+    return lookup(asked.join(parts, "bom"), stock, {"node": "node", "item_code": "item_code"}, {"max_actual": "max_actual"})
 
 
-def from_ledger(
-    needs: DataFrame, tables: Tables, warehouses: DataFrame | None = None
-) -> DataFrame:
+def from_ledger(needs: DataFrame, tables: Tables, nodes: DataFrame | None = None) -> DataFrame:
     """Add ``actual_qty`` and ``enough`` to batch items: the unfloored share of the need
     that the ledger of this customer and variant covers."""
     needs = needs.withColumn("_ref", F.lower("ref")).withColumn("_variant", F.lower("variant"))
-    batch_of = {"_ref": "ref", "_variant": "variant", "item_code": "item_code"}
-    needs = lookup(needs, batch_ledger(tables, warehouses), batch_of, {"ledger_qty": "ledger_qty"})
+    batch_of = {"_ref": "ref", "_variant": "variant", "item_code": "item_code"} | ({} if nodes is None else {"node": "node"})
+    needs = lookup(needs, batch_ledger(tables, nodes), batch_of, {"ledger_qty": "ledger_qty"})
     booked = F.coalesce("ledger_qty", F.lit(0)).cast("decimal(28,6)")
     return needs.withColumn("actual_qty", booked).withColumn("enough", ratio(booked, F.col("need"))).drop("_ref", "_variant", "ledger_qty")
 
@@ -140,18 +142,19 @@ def from_bins(needs: DataFrame) -> DataFrame:
 
 
 def needs_with_stock(
-    orders: DataFrame, parts: DataFrame, need: Column, tables: Tables, warehouses: DataFrame | None = None, how: str = "inner"
+    orders: DataFrame, parts: DataFrame, need: Column, tables: Tables, nodes: DataFrame | None = None, how: str = "inner"
 ) -> DataFrame:
     """Orders with every part of their bill of material, its need and its stock.
 
     The parts are split before they meet the orders, so only batch items go through the
     join with the ledger. With ``how`` left, an order without other parts has one row
-    whose part is NULL.
+    whose part is NULL. With warehouse ``nodes``, orders and parts have a node each.
     """
     is_batch = F.col("kind") == "batch"
-    loose = orders.join(parts.filter(~is_batch), "bom", how).withColumn("need", need)
-    batch = orders.join(parts.filter(is_batch), "bom").withColumn("need", need)
-    return from_bins(loose).unionByName(from_ledger(batch, tables, warehouses))
+    key = ["bom"] if nodes is None else ["node", "bom"]
+    loose = orders.join(parts.filter(~is_batch), key, how).withColumn("need", need)
+    batch = orders.join(parts.filter(is_batch), key).withColumn("need", need)
+    return from_bins(loose).unionByName(from_ledger(batch, tables, nodes))
 
 
 def _need():

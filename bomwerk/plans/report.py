@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bomwerk.operators.dimensions import Tables, warehouse_tree
+from bomwerk.operators.dimensions import Tables, warehouse_nodes
 from bomwerk.plans.production import check_parts, needs_with_stock
 
 
@@ -25,18 +25,23 @@ def bom_stock_report(
     """Per request and component: quantity per unit, required, in stock, sets that can be built.
 
     Unlike the production check, stocked subassemblies also appear among the exploded
-    components. ``warehouse`` limits the stock to a warehouse and those below it.
+    components. A request's ``warehouse`` limits its stock to that warehouse and those
+    below it; without one all stock counts. ``warehouse`` sets it for all requests.
     """
     requests = tables["report_request"] if requests is None else requests
-    below = warehouse_tree(tables, warehouse) if warehouse else None
+    if warehouse:
+        requests = requests.withColumn("warehouse", F.lit(warehouse))
     quotations = tables["quotation"].select(
         F.col("name").alias("quotation"), F.col("klant_referentie").alias("ref"), F.col("hpl_variant").alias("variant")
     )
-    parts = check_parts(
-        tables, plain_without_subassemblies=False, direct_quantity="stock_qty", warehouses=below
-    )
+    orders, asked, nodes = requests.filter(_valid()).join(quotations, "quotation"), None, None
+    if "warehouse" in requests.columns:
+        orders = orders.withColumn("node", F.coalesce("warehouse", F.lit(""))).drop("warehouse")
+        asked = orders.select("node", "bom").distinct()
+        nodes = warehouse_nodes(tables, asked.select("node").filter(F.col("node") != "").distinct())
+    parts = check_parts(tables, plain_without_subassemblies=False, direct_quantity="stock_qty", asked=asked, nodes=nodes)
     need = (F.col("per_unit") * F.col("qty_to_produce")).cast("decimal(28,6)")
-    return needs_with_stock(requests.filter(_valid()).join(quotations, "quotation"), parts, need, tables, below).select(
+    return needs_with_stock(orders, parts, need, tables, nodes).select(
         "request_id",
         F.col("kind").alias("branch"),
         "item_code",

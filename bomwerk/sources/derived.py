@@ -272,6 +272,12 @@ VIEWS: dict[str, str] = {
     "t_report_request": """
         SELECT name AS request_id, parent AS quotation, 'BOM-' || item_code AS bom, CAST(qty AS INT) - 5 AS qty_to_produce
         FROM t_quotation_item""",
+    # the same requests, each for a warehouse, a hall, one that is not in the tree, or all stock
+    "t_located_request": """
+        SELECT request_id, quotation, bom, qty_to_produce,
+               CASE qty_to_produce % 7 WHEN 0 THEN 'Alle' WHEN 1 THEN 'Hal 1' WHEN 2 THEN 'WH-2' WHEN 3 THEN 'Hal 2'
+                    WHEN 4 THEN 'Buiten' WHEN 5 THEN '' ELSE NULL END AS warehouse
+        FROM t_report_request""",
 }
 
 

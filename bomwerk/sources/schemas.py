@@ -55,6 +55,7 @@ SCHEMAS: dict[str, str] = {
     "journal": f"name STRING, customer STRING, posting_date DATE, grand_total {MONEY}",
     "quote_request": "request_id STRING, received_at TIMESTAMP, payload STRING",
     "report_request": "request_id STRING, quotation STRING, bom STRING, qty_to_produce INT",
+    "located_request": "request_id STRING, quotation STRING, bom STRING, qty_to_produce INT, warehouse STRING",
     "artikel_variant": "variant_code STRING, variant_details STRING",
     "materiaal_variant": "variant_code STRING, variant_details STRING",
     "levertijd_categorie": f"levertijd_categorie STRING, levertijd_factor {QTY}",

@@ -67,10 +67,18 @@ WITH wanted AS (
   SELECT r.request_id, r.bom, r.qty_to_produce AS todo, q.klant_referentie, q.hpl_variant
   FROM t_report_request r JOIN t_quotation q ON q.name = r.quotation WHERE r.qty_to_produce > 0)"""
 
+LOCATED = """
+WITH inside AS (
+  SELECT a.name AS node, list(d.name) AS places FROM t_warehouse a JOIN t_warehouse d ON d.lft >= a.lft AND d.rgt <= a.rgt GROUP BY a.name),
+wanted AS (
+  SELECT r.request_id, r.bom, r.qty_to_produce AS todo, q.klant_referentie, q.hpl_variant,
+         CASE WHEN coalesce(r.warehouse, '') <> '' THEN coalesce(i.places, [r.warehouse]) END AS places
+  FROM t_located_request r JOIN t_quotation q ON q.name = r.quotation LEFT JOIN inside i ON i.node = r.warehouse WHERE r.qty_to_produce > 0)"""
 
-def report(where_bin: str = "", where_ledger: str = "") -> str:
+
+def report(where_bin: str = "", where_ledger: str = "", requests: str = REQUESTS) -> str:
     columns = "request_id, '{0}' AS branch, item_code, component_name AS item_name, per_unit AS qty_per_line, need AS required_qty, actual_qty AS in_stock_qty, {1} AS buildable"
-    return f"""{REQUESTS},
+    return f"""{requests},
 report AS (
   SELECT {columns.format('plain', 'buildable')} FROM ({bins('wanted', 'request_id', False, 'stock_qty', '', where_bin)}) a
   UNION ALL
@@ -157,6 +165,10 @@ SELECT *, CASE WHEN coalesce(buildable, 0) > 0 THEN 'green' ELSE 'red' END AS fl
     "bom_stock_report_warehouse": f"""{REPORT_COLUMNS}
 {report("AND s.warehouse IN ('WH-0', 'WH-1')", "AND g.warehouse IN ('WH-0', 'WH-1')")}
 --main
+SELECT * FROM report""",
+    "bom_stock_report_located": f"""{REPORT_COLUMNS}
+{report("AND (m.places IS NULL OR list_contains(m.places, s.warehouse))", "AND (m.places IS NULL OR list_contains(m.places, g.warehouse))", LOCATED)}
+--main
 SELECT * FROM report""",
     "report_rejects": """s: request_id quotation bom i: qty_to_produce
 SELECT * FROM t_report_request WHERE NOT qty_to_produce > 0""",
