@@ -128,21 +128,38 @@ def at_nodes(stock: DataFrame, nodes: DataFrame | None) -> DataFrame:
     return join_on_key(stock, nodes, {"warehouse": "warehouse"}, "inner").unionByName(stock.withColumn("node", F.lit("")))
 
 
+def batch_sums(entries: DataFrame) -> DataFrame:
+    """Ledger entries of batches, summed: (ref, variant, item_code, warehouse, ledger_qty)."""
+    batches = entries.filter(F.col("batch_no").isNotNull()).select(
+        F.lower(F.substring_index("batch_no", "-", 1)).alias("ref"), F.lower(F.substring_index("batch_no", "-", -1)).alias("variant"),
+        "item_code", "warehouse", F.col("actual_qty").cast("decimal(28,6)").alias("ledger_qty"),
+    )
+    return add_sums(batches)
+
+
+def add_sums(sums: DataFrame) -> DataFrame:
+    """Sums of the same batch and warehouse as one."""
+    return sums.groupBy("ref", "variant", "item_code", "warehouse").agg(F.sum("ledger_qty").cast("decimal(28,6)").alias("ledger_qty"))
+
+
 def batch_ledger(tables: Tables, nodes: DataFrame | None = None) -> DataFrame:
     """Ledger stock per customer reference, panel variant and item; with ``nodes``, for each of them.
 
     Both parts are cut out of the batch number before the join, so it stays an
-    equi-join, and the ledger is summed first, so the join sees one row per key.
+    equi-join, and the ledger is summed first, so the join sees one row per key. Tables
+    that keep sums up to an entry give those, and only the entries since are read.
     """
+    entries, stored = tables["stock_ledger_entry"], None
+    if getattr(tables, "has", lambda name: False)("ledger_mark"):
+        stored = tables["batch_stock"]
+        entries = entries.filter(F.col("entry") > tables["ledger_mark"].first()["upto"])
+    sums = batch_sums(entries)
+    if stored is not None:
+        sums = sums.unionByName(stored)
     return (
-        at_nodes(tables["stock_ledger_entry"].filter(F.col("batch_no").isNotNull()), nodes)
-        .groupBy(
-            *([] if nodes is None else ["node"]),
-            F.lower(F.substring_index("batch_no", "-", 1)).alias("ref"),
-            F.lower(F.substring_index("batch_no", "-", -1)).alias("variant"),
-            "item_code",
-        )
-        .agg(F.sum("actual_qty").alias("ledger_qty"))
+        at_nodes(sums, nodes)
+        .groupBy(*([] if nodes is None else ["node"]), "ref", "variant", "item_code")
+        .agg(F.sum("ledger_qty").alias("ledger_qty"))
     )
 
 

@@ -111,19 +111,26 @@ def price_upsert(tables: Tables, requests: DataFrame | None = None) -> DataFrame
         F.coalesce("price_list", F.lit(PRICE_LIST)).alias("price_list"),
         F.coalesce("currency", F.lit(CURRENCY)).alias("currency"),
         F.coalesce("selling", F.lit(1)).alias("selling"),
+        F.when(F.col("name").isNull(), 0).alias("buying"),
         F.when(hit | F.col("name").isNull(), F.col("new_rate")).otherwise(F.col("price_list_rate")).alias("price_list_rate"),
         F.when(F.col("name").isNull(), "insert").when(hit, "update").otherwise("keep").alias("action"),
     )
 
 
-def prices_after_intake(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
-    """The price table after intake: changed rates, and a selling price for items without one."""
+def price_changes(tables: Tables, requests: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The price rows to change (name, price_list_rate), and a selling price for each item that has no price."""
     changes = price_upsert(tables, requests)
     updates = changes.filter(F.col("action") == "update").select("name", "price_list_rate")
     new = changes.filter(F.col("action") == "insert").select(
         F.concat(F.lit("IP-"), "item_code").alias("name"), "item_code", "price_list", "currency",
         F.col("price_list_rate").cast(MONEY).alias("price_list_rate"), F.col("selling").cast("int").alias("selling"),
     )
+    return updates, new
+
+
+def prices_after_intake(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
+    """The price table after intake: changed rates, and a selling price for items without one."""
+    updates, new = price_changes(tables, requests)
     return insert_new(update_by_key(tables["item_price"], updates, ["name"]), new, ["name"])
 
 
@@ -163,12 +170,16 @@ def lead_upsert(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
     )
 
 
-def leads_after_intake(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
-    """The lead table after intake, with a lead for every configurator id that had none."""
-    new = lead_upsert(tables, requests).filter(F.col("action") == "insert").select(
+def new_leads(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
+    """A lead for every configurator id in the requests that has none."""
+    return lead_upsert(tables, requests).filter(F.col("action") == "insert").select(
         F.col("lead").alias("name"), "lead_name", "configurator_id", "email_id", "mobile_no"
     )
-    return insert_new(tables["lead"], new, ["name"])
+
+
+def leads_after_intake(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
+    """The lead table after intake, with a lead for every configurator id that had none."""
+    return insert_new(tables["lead"], new_leads(tables, requests), ["name"])
 
 
 def quote_headers(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
@@ -184,6 +195,7 @@ def quote_headers(tables: Tables, requests: DataFrame | None = None) -> DataFram
         F.concat(F.lit("Offerte aangemaakt via configurator ID : "), "configurator_id").alias("remark"),
         F.col("configurator_id").alias("klant_referentie"),
         F.lit("Draft").alias("status"),
+        F.lit("Configurator").alias("lead_source"),
         _address().alias("address_display"),
         F.col("contact_email"),
         F.col("contact_telefoon").alias("contact_mobile"),

@@ -46,7 +46,8 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Where none is named, a folder below the warehouse, which a cluster keeps in shared storage.
+    Where none is named, a folder below the warehouse; on a cluster the warehouse must then
+    be in shared storage, not in a folder of the driver's machine.
     """
     context = spark.sparkContext
     folder = context.getCheckpointDir()
@@ -54,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+            if not context.master.startswith("local") and folder.startswith(("file:", "/")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder)
     return folder
 
@@ -61,3 +64,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def run_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    files, path = _file_system(spark, folder)
+    return files.exists(path)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that ``run_folder`` gave, with all that is in it."""
+    if "/" not in folder.rstrip("/").removeprefix(checkpoint_dir(spark).rstrip("/")) or not folder.startswith(checkpoint_dir(spark).rstrip("/") + "/"):
+        raise ValueError(f"{folder} is not below the checkpoint folder")
+    files, path = _file_system(spark, folder)
+    files.delete(path, True)

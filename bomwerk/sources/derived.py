@@ -118,7 +118,8 @@ VIEWS: dict[str, str] = {
         SELECT CAST(l_partkey AS STRING) AS item_code,
                CAST(o_custkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-HPL' || CAST(o_orderkey % 4 AS STRING) AS batch_no,
                'WH-' || CAST(l_suppkey % 3 AS STRING) AS warehouse,
-               CAST(CASE WHEN l_returnflag = 'A' THEN -1 ELSE 1 END * CAST(l_quantity AS DECIMAL(12,2)) AS DECIMAL(18,6)) AS actual_qty
+               CAST(CASE WHEN l_returnflag = 'A' THEN -1 ELSE 1 END * CAST(l_quantity AS DECIMAL(12,2)) AS DECIMAL(18,6)) AS actual_qty,
+               CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS entry
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     # two halls below a root: WH-0 and WH-1 in hall 1, the rest in hall 2
     "t_warehouse": """
@@ -174,6 +175,11 @@ VIEWS: dict[str, str] = {
                CASE WHEN s_suppkey % 3 = 2 THEN DATE '1999-05-31' ELSE DATE '1999-06-01' END AS transaction_date,
                CASE WHEN s_suppkey % 3 = 1 THEN 1 ELSE 0 END AS docstatus
         FROM supplier""",
+    "t_purchase_order_item": """
+        SELECT 'PO-' || CAST(s_suppkey AS STRING) AS parent, 1 AS idx, CAST(s_suppkey % 7 AS STRING) AS item_code, CAST(NULL AS STRING) AS supplier_part_no,
+               DATE '1999-06-01' AS schedule_date, CAST(1 + s_suppkey % 4 AS DECIMAL(18,6)) AS qty, 'Stuks' AS uom, 'Stuks' AS stock_uom,
+               CAST(1 AS DECIMAL(21,9)) AS conversion_factor, 'Oud' AS description, CAST(0 AS DECIMAL(18,6)) AS stock_qty
+        FROM supplier""",
     "t_cost_centre": """
         SELECT 'CC-' || CAST(c_custkey AS STRING) AS id, CAST(c_custkey AS INT) AS nummer FROM customer WHERE c_custkey % 2 = 0""",
     "t_relation": """

@@ -30,7 +30,12 @@ SCHEMAS: dict[str, str] = {
     f"quotation_item STRING, item_code STRING, bom STRING, module STRING, qty {QTY}, verwerkt INT",
     "productie": "name STRING, datum DATE",
     "bin": f"item_code STRING, warehouse STRING, actual_qty {QTY}, ordered_qty {QTY}, valuation_rate {QTY}",
-    "stock_ledger_entry": f"item_code STRING, batch_no STRING, warehouse STRING, actual_qty {QTY}",
+    "stock_ledger_entry": f"item_code STRING, batch_no STRING, warehouse STRING, actual_qty {QTY}, entry LONG",
+    # kept by the runs: ledger sums and the last entry in them, series counters, document names
+    "batch_stock": "ref STRING, variant STRING, item_code STRING, warehouse STRING, ledger_qty DECIMAL(28,6)",
+    "ledger_mark": "upto LONG",
+    "series_counter": "prefix STRING, last_number LONG",
+    "document_name": "document STRING, series STRING, created TIMESTAMP, name STRING",
     "warehouse": "name STRING, parent_warehouse STRING, lft INT, rgt INT",
     "lead": "name STRING, lead_name STRING, configurator_id STRING, email_id STRING, mobile_no STRING, "
     "snelstart_relatie STRING, snelstart_kostenplaats STRING",
@@ -43,6 +48,8 @@ SCHEMAS: dict[str, str] = {
     "item_price": f"name STRING, item_code STRING, price_list STRING, currency STRING, "
     f"price_list_rate {MONEY}, selling INT",
     "purchase_order": "name STRING, supplier STRING, transaction_date DATE, docstatus INT",
+    "purchase_order_item": f"parent STRING, idx INT, item_code STRING, supplier_part_no STRING, schedule_date DATE, "
+    f"qty {QTY}, uom STRING, stock_uom STRING, conversion_factor DECIMAL(21,9), description STRING, stock_qty {QTY}",
     "cost_centre": "id STRING, nummer INT",
     "relation": "id STRING, relatiecode STRING",
     "ledger_account": "grootboek_naam STRING, grootboek_code STRING",

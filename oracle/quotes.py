@@ -35,11 +35,11 @@ SELECT request_id, received_at, pos, line AS sequence, item_code, 'Artikel ' ||
 {READ}
 --main
 SELECT request_id, cid AS configurator_id, bpm FROM tax""",
-    "price_upsert": f"""s: item_code name price_list currency i: selling n: price_list_rate s: action
+    "price_upsert": f"""s: item_code name price_list currency i: selling buying n: price_list_rate s: action
 {READ},
 last AS (SELECT item_code, prijs FROM ql QUALIFY row_number() OVER (PARTITION BY item_code ORDER BY received_at DESC, request_id DESC, pos DESC) = 1)
 --main
-SELECT item_code, name, 'Verkoop' AS price_list, 'EUR' AS currency, 1 AS selling, coalesce(prijs, price_list_rate) AS price_list_rate,
+SELECT item_code, name, 'Verkoop' AS price_list, 'EUR' AS currency, 1 AS selling, CASE WHEN name IS NULL THEN 0 END AS buying, coalesce(prijs, price_list_rate) AS price_list_rate,
        CASE WHEN name IS NULL THEN 'insert' WHEN prijs IS NULL THEN 'keep' ELSE 'update' END AS action
 FROM t_item_price FULL JOIN last USING (item_code)""",
     "prices_after_intake": f"""s: name item_code price_list currency n: price_list_rate i: selling
@@ -61,11 +61,11 @@ SELECT configurator_id, lead, CASE WHEN fresh THEN 'Klant ' || cid END AS lead_n
        CASE WHEN fresh THEN '06-' || o_orderkey END AS mobile_no, CASE WHEN fresh THEN 'https://example.org/c/' || o_orderkey END AS website,
        CASE WHEN fresh THEN 'Quotation' END AS status, CASE WHEN fresh THEN 'Configurator' END AS source, CASE WHEN fresh THEN 'insert' ELSE 'keep' END AS action
 FROM leads""",
-    "quote_headers": f"""s: request_id lead quotation_to customer_name d: transaction_date s: remark klant_referentie status address_display contact_email contact_mobile configurator_link screen_dump_link_1 screen_dump_link_2 currency selling_price_list n: basis_bedrag interieur_bedrag styling_bedrag accessoires_bedrag i: vat_rate vat_included s: payment_terms_template
+    "quote_headers": f"""s: request_id lead quotation_to customer_name d: transaction_date s: remark klant_referentie status lead_source address_display contact_email contact_mobile configurator_link screen_dump_link_1 screen_dump_link_2 currency selling_price_list n: basis_bedrag interieur_bedrag styling_bedrag accessoires_bedrag i: vat_rate vat_included s: payment_terms_template
 {LEADS}
 --main
 SELECT q.request_id, l.lead, 'Lead' AS quotation_to, 'Klant ' || q.cid AS customer_name, q.received_at AS transaction_date,
-       'Offerte aangemaakt via configurator ID : ' || q.cid AS remark, q.cid AS klant_referentie, 'Draft' AS status,
+       'Offerte aangemaakt via configurator ID : ' || q.cid AS remark, q.cid AS klant_referentie, 'Draft' AS status, 'Configurator' AS lead_source,
        {ADDRESS.replace('o_', 'q.o_')} AS address_display, 'k' || q.o_orderkey || '@example.org' AS contact_email, '06-' || q.o_orderkey AS contact_mobile,
        'https://example.org/c/' || q.o_orderkey AS configurator_link, 'https://example.org/s1/' || q.o_orderkey AS screen_dump_link_1,
        'https://example.org/s2/' || q.o_orderkey AS screen_dump_link_2, 'EUR' AS currency, 'Verkoop' AS selling_price_list, q.total AS basis_bedrag,
