@@ -9,6 +9,7 @@ from bomwerk.functions.columns import MONEY, filled, money
 from bomwerk.operators.dimensions import Tables
 from bomwerk.operators.lookup import lookup, one_per_key
 from bomwerk.operators.mutate import insert_new, update_by_key
+from bomwerk.operators.shared import once
 from bomwerk.sources.requests import parse_requests, usable
 
 # Fixed values of the ERP: the item an unknown article becomes, the article that carries
@@ -226,35 +227,45 @@ def lead_lookup(tables: Tables, requests: DataFrame | None = None) -> DataFrame:
 
 def cost_centre_resolve(tables: Tables) -> DataFrame:
     """Cost centre of each lead by its number in the bookkeeping directory, or one to create."""
-    directory = tables["cost_centre"].filter(F.col("nummer").isNotNull()).groupBy("nummer").agg(F.min("id").alias("id"))
     leads = tables["lead"].filter(filled(F.col("configurator_id"))).select(
         F.col("name").alias("lead"), F.col("configurator_id").alias("reference"), F.col("lead_name").alias("description"),
         F.expr("try_cast(configurator_id AS INT)").alias("nummer"),
     )
     action = F.when(F.col("nummer").isNull(), "invalid").when(F.col("id").isNotNull(), "matched").otherwise("create")
     # references that are no number have none here; they must not meet in one task
-    return lookup(leads, directory, {"nummer": "nummer"}, {"id": "id"}).select(
+    return lookup(leads, _cost_centres(tables), {"nummer": "nummer"}, {"id": "id"}).select(
         "lead", "reference", "description", F.col("id").alias("cost_centre"), action.alias("action")
     )
 
 
 def relation_resolve(tables: Tables) -> DataFrame:
     """Customer relation of each lead by its code in the bookkeeping directory, or one to create."""
-    directory = tables["relation"].groupBy("relatiecode").agg(F.min("id").alias("id"))
     leads = tables["lead"].filter(filled(F.col("configurator_id"))).select(
         F.col("name").alias("lead"), F.col("configurator_id").alias("reference"), "lead_name", "mobile_no", "email_id"
     )
     action = F.when(F.col("id").isNotNull(), "matched").otherwise("create")
-    return lookup(leads, directory, {"reference": "relatiecode"}, {"id": "id"}).select(
+    return lookup(leads, _relations(tables), {"reference": "relatiecode"}, {"id": "id"}).select(
         "lead", "reference", "lead_name", "mobile_no", "email_id", F.col("id").alias("relation"), action.alias("action")
     )
 
 
+def _cost_centres(tables: Tables) -> DataFrame:
+    return tables["cost_centre"].filter(F.col("nummer").isNotNull()).groupBy("nummer").agg(F.min("id").alias("id"))
+
+
+def _relations(tables: Tables) -> DataFrame:
+    return tables["relation"].groupBy("relatiecode").agg(F.min("id").alias("id"))
+
+
 def leads_linked(tables: Tables) -> DataFrame:
     """Leads with the cost centre and relation found for them."""
-    def found(resolved: DataFrame, column: str, target: str) -> DataFrame:
-        return resolved.filter(F.col("action") == "matched").select(F.col("lead").alias("name"), F.col(column).alias(target))
-
-    centres = found(cost_centre_resolve(tables), "cost_centre", "snelstart_kostenplaats")
-    relations = found(relation_resolve(tables), "relation", "snelstart_relatie")
-    return update_by_key(update_by_key(tables["lead"], centres, ["name"]), relations, ["name"])
+    def build() -> DataFrame:
+        # one lookup in each directory; a blank reference has no match
+        reference = F.when(filled(F.col("configurator_id")), F.col("configurator_id"))
+        rows = tables["lead"].withColumns({"_reference": reference, "_number": F.expr("try_cast(configurator_id AS INT)")})
+        rows = lookup(rows, _cost_centres(tables), {"_number": "nummer"}, {"_centre": "id"})
+        rows = lookup(rows, _relations(tables), {"_reference": "relatiecode"}, {"_relation": "id"})
+        found = {"snelstart_kostenplaats": "_centre", "snelstart_relatie": "_relation"}
+        return rows.select(*[F.coalesce(found[name], name).alias(name) if name in found else F.col(name) for name in tables["lead"].columns])
+
+    return once(tables, "leads_linked", build)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -98,40 +99,71 @@ def check_required(tables: Tables, rules: dict = REQUIRED, rows: dict = REQUIRED
     return _union(found).fillna(0, ["violations"])
 
 
-def _values(tables: Tables, table: str, column: str | tuple[str, ...]) -> DataFrame:
-    """Distinct filled values of a column, or of several together, with their number of rows."""
-    if isinstance(column, tuple):
-        value, column = F.concat_ws(" ", *[F.col(name).cast("string") for name in column]), " ".join(column)
-    else:
-        value = F.col(column).cast("string")
-    return (
-        tables[table].filter(filled(value)).groupBy(value.alias("value")).agg(F.count("*").alias("violations"))
-        .select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "value", "violations")
-    )
+def _by_table(columns: Iterable[tuple[str, str | tuple[str, ...]]]) -> dict[str, list[tuple[str, ...]]]:
+    """The checked columns, or tuples of columns, of each table."""
+    found: dict[str, list[tuple[str, ...]]] = {}
+    for table, column in columns:
+        found.setdefault(table, []).append((column,) if isinstance(column, str) else tuple(column))
+    return found
+
+
+def _counted(tables: Tables, columns: Iterable[tuple[str, str | tuple[str, ...]]]) -> DataFrame:
+    """Distinct filled values of columns, or of several together, with their number of rows.
+
+    One pass over each table turns its columns into rows; one shuffle counts them all.
+    Values of several columns are told apart part by part, NULL parts included.
+    """
+    def unpivoted(table: str, groups: list[tuple[str, ...]]) -> DataFrame:
+        cells = [F.struct(F.lit(" ".join(group)).alias("column_name"), F.array(*[F.col(name).cast("string") for name in group]).alias("parts")) for group in groups]
+        return tables[table].select(F.lit(table).alias("table_name"), F.inline(F.array(*cells)))
+
+    cells = _union([unpivoted(table, groups) for table, groups in _by_table(columns).items()])
+    value = F.array_join("parts", " ")
+    counted = cells.filter(filled(value)).groupBy("table_name", "column_name", "parts").agg(F.count("*").alias("violations"))
+    return counted.select("table_name", "column_name", value.alias("value"), "violations")
 
 
 def check_unique(tables: Tables, rules: dict = UNIQUE) -> DataFrame:
     """Values that occur more than once."""
-    found = [_values(tables, table, column) for table, columns in rules.items() for column in columns]
-    return _union(found).filter(F.col("violations") > 1)
+    return _counted(tables, [(table, column) for table, columns in rules.items() for column in columns]).filter(F.col("violations") > 1)
 
 
 def check_accepted_values(tables: Tables, rules: dict = ACCEPTED) -> DataFrame:
     """Values outside the list of a column."""
-    return _union(
-        [_values(tables, table, column).filter(~F.col("value").isin(list(allowed))) for (table, column), allowed in rules.items()]
+    allowed = reduce(
+        Column.__or__,
+        [(F.col("table_name") == table) & (F.col("column_name") == column) & F.col("value").isin(list(values)) for (table, column), values in rules.items()],
     )
+    return _counted(tables, list(rules)).filter(~allowed)
 
 
 def check_foreign_keys(tables: Tables, rules: dict = FOREIGN) -> DataFrame:
-    """Link values without a target. Values are counted before the join, so a hot value is one row."""
-    def dangling(table: str, column: str, target: str, key: str) -> DataFrame:
-        targets = tables[target].select(F.col(key).alias("value"))
-        return _values(tables, table, column).join(targets, "value", "left_anti")
-
-    return _union([dangling(*link, *target) for link, target in rules.items()]).select(
-        "table_name", "column_name", "value", "violations"
-    )
+    """Link values without a target.
+
+    One pass over each table gives its link values and, where it is a target itself, its
+    keys. One shuffle by (target, value) counts the links of each rule and sees whether
+    there is a key; both combine before it, so a hot value is one row of a task.
+    """
+    links = list(rules.items())
+    targets = {target for target in rules.values()}
+
+    def cells(table: str) -> DataFrame:
+        found = [
+            F.struct(F.lit(" ".join(target)).alias("target"), F.col(column).cast("string").alias("value"), F.lit(n).alias("rule"))
+            for n, ((source, column), target) in enumerate(links) if source == table
+        ]
+        found += [F.struct(F.lit(" ".join((table, key))).alias("target"), F.col(key).cast("string").alias("value"), F.lit(-1).alias("rule")) for of, key in sorted(targets) if of == table]
+        return tables[table].select(F.inline(F.array(*found)))
+
+    scanned = dict.fromkeys([source for source, _ in rules] + [of for of, _ in sorted(targets)])
+    rows = _union([cells(table) for table in scanned]).filter(filled(F.col("value")))
+    counts = [F.count_if(F.col("rule") == n).alias(f"_{n}") for n in range(len(links))]
+    met = rows.groupBy("target", "value").agg(F.bool_or(F.col("rule") == -1).alias("_key"), *counts).filter(~F.col("_key"))
+    each = [
+        F.struct(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), F.col(f"_{n}").alias("violations"))
+        for n, ((table, column), _) in enumerate(links)
+    ]
+    return met.select("value", F.inline(F.array(*each))).filter(F.col("violations") > 0).select("table_name", "column_name", "value", "violations")
 
 
 def portal_customer(tables: Tables) -> DataFrame:
