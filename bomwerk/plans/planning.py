@@ -28,6 +28,7 @@ from bomwerk.operators.dimensions import (
 )
 from bomwerk.operators.lookup import join_on_key
 from bomwerk.operators.ranking import numbered
+from bomwerk.operators.shared import once
 
 # Fixed values of the ERP: quotation states that need material, item groups bought elsewhere.
 STATUSES = ("Klant Aanbetaald", "Klant besteld", "In productie")
@@ -319,17 +320,20 @@ def replenish_bin_unstocked(tables: Tables, **params) -> DataFrame:
 
 def _sheet_rows(tables: Tables, guard: str) -> DataFrame:
     """The sheet with all its columns."""
-    demand = (
-        _demand(tables, STATUSES, EXCLUDED_GROUPS, True)
-        .withColumn("qty", _demand_qty())
-        .select("*", *_balance())
-        .drop("balance_qty")
-        .withColumn("source", F.lit("demand"))
-    )
-    # the sheet shows what is on order as order_qty and the proposal as qty
-    names = {"order_qty": "qty", "ordered_qty": "order_qty", "shortage": "balance"}
-    below_safety = replenishment(tables, guard=guard).withColumnsRenamed(names).withColumn("status", F.lit("red"))
-    return demand.unionByName(below_safety, allowMissingColumns=True)
+    def build() -> DataFrame:
+        demand = (
+            _demand(tables, STATUSES, EXCLUDED_GROUPS, True)
+            .withColumn("qty", _demand_qty())
+            .select("*", *_balance())
+            .drop("balance_qty")
+            .withColumn("source", F.lit("demand"))
+        )
+        # the sheet shows what is on order as order_qty and the proposal as qty
+        names = {"order_qty": "qty", "ordered_qty": "order_qty", "shortage": "balance"}
+        below_safety = replenishment(tables, guard=guard).withColumnsRenamed(names).withColumn("status", F.lit("red"))
+        return demand.unionByName(below_safety, allowMissingColumns=True)
+
+    return once(tables, f"planning sheet {guard}", build)
 
 
 def planning_sheet(tables: Tables, guard: str = "global") -> DataFrame:

@@ -144,26 +144,29 @@ def check_foreign_keys(tables: Tables, rules: dict = FOREIGN) -> DataFrame:
     keys. One shuffle by (target, value) counts the links of each rule and sees whether
     there is a key; both combine before it, so a hot value is one row of a task.
     """
-    links = list(rules.items())
-    targets = {target for target in rules.values()}
+    linked: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for link, target in rules.items():
+        linked.setdefault(target, []).append(link)
+    slots = {link: n for links in linked.values() for n, link in enumerate(links)}
 
     def cells(table: str) -> DataFrame:
-        found = [
-            F.struct(F.lit(" ".join(target)).alias("target"), F.col(column).cast("string").alias("value"), F.lit(n).alias("rule"))
-            for n, ((source, column), target) in enumerate(links) if source == table
-        ]
-        found += [F.struct(F.lit(" ".join((table, key))).alias("target"), F.col(key).cast("string").alias("value"), F.lit(-1).alias("rule")) for of, key in sorted(targets) if of == table]
+        def cell(target: tuple[str, str], column: str, slot: int) -> Column:
+            return F.struct(F.lit(" ".join(target)).alias("target"), F.col(column).cast("string").alias("value"), F.lit(slot).alias("slot"))
+
+        found = [cell(target, column, slots[source, column]) for (source, column), target in rules.items() if source == table]
+        found += [cell((of, key), key, -1) for of, key in linked if of == table]
         return tables[table].select(F.inline(F.array(*found)))
 
-    scanned = dict.fromkeys([source for source, _ in rules] + [of for of, _ in sorted(targets)])
+    scanned = dict.fromkeys([source for source, _ in rules] + [of for of, _ in linked])
     rows = _union([cells(table) for table in scanned]).filter(filled(F.col("value")))
-    counts = [F.count_if(F.col("rule") == n).alias(f"_{n}") for n in range(len(links))]
-    met = rows.groupBy("target", "value").agg(F.bool_or(F.col("rule") == -1).alias("_key"), *counts).filter(~F.col("_key"))
+    counts = [F.count_if(F.col("slot") == n).alias(f"_{n}") for n in range(max(slots.values()) + 1)]
+    met = rows.groupBy("target", "value").agg(F.bool_or(F.col("slot") == -1).alias("_key"), *counts).filter(~F.col("_key"))
     each = [
-        F.struct(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), F.col(f"_{n}").alias("violations"))
-        for n, ((table, column), _) in enumerate(links)
+        F.struct(F.lit(" ".join(rules[link])).alias("_of"), F.lit(link[0]).alias("table_name"), F.lit(link[1]).alias("column_name"), F.col(f"_{n}").alias("violations"))
+        for link, n in slots.items()
     ]
-    return met.select("value", F.inline(F.array(*each))).filter(F.col("violations") > 0).select("table_name", "column_name", "value", "violations")
+    found = met.select("target", "value", F.inline(F.array(*each))).filter((F.col("target") == F.col("_of")) & (F.col("violations") > 0))
+    return found.select("table_name", "column_name", "value", "violations")
 
 
 def portal_customer(tables: Tables) -> DataFrame:

@@ -31,11 +31,6 @@ SCHEMAS: dict[str, str] = {
     "productie": "name STRING, datum DATE",
     "bin": f"item_code STRING, warehouse STRING, actual_qty {QTY}, ordered_qty {QTY}, valuation_rate {QTY}",
     "stock_ledger_entry": f"item_code STRING, batch_no STRING, warehouse STRING, actual_qty {QTY}, entry LONG",
-    # kept by the runs: ledger sums and the last entry in them, series counters, document names
-    "batch_stock": "ref STRING, variant STRING, item_code STRING, warehouse STRING, ledger_qty DECIMAL(28,6)",
-    "ledger_mark": "upto LONG",
-    "series_counter": "prefix STRING, last_number LONG",
-    "document_name": "document STRING, series STRING, created TIMESTAMP, name STRING",
     "warehouse": "name STRING, parent_warehouse STRING, lft INT, rgt INT",
     "lead": "name STRING, lead_name STRING, configurator_id STRING, email_id STRING, mobile_no STRING, "
     "snelstart_relatie STRING, snelstart_kostenplaats STRING",
@@ -74,3 +69,12 @@ SCHEMAS: dict[str, str] = {
     "klant_updates": "parent STRING, datum DATE, update_tekst STRING",
     "instellingen": f"standaard_uurtarief {MONEY}",
 }
+
+# What the runs keep beside the ERP tables: ledger sums and the last entry in them, the
+# last number of each series, the names given.
+KEPT: dict[str, str] = {
+    "batch_stock": "ref STRING, variant STRING, item_code STRING, warehouse STRING, ledger_qty DECIMAL(28,6)",
+    "ledger_mark": "upto LONG",
+    "series_counter": "prefix STRING, last_number LONG",
+    "document_name": "document STRING, series STRING, created TIMESTAMP, name STRING",
+}

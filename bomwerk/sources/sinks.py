@@ -67,3 +67,27 @@ def save_bucketed(tables, names: Sequence[str], database: str, buckets: int) ->
         key = BUCKETS[name]
         rows = tables[name].repartition(buckets, key)
         rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(f"{database}.{name}")
+
+
+# How large tables are laid out: a folder for each value of the first columns, which the
+# jobs filter by, and rows in ranges of the others.
+LAYOUT = {
+    "quotation": (("docstatus", "vj_status"), ("transaction_date", "name")),
+    "quotation_item": (("item_group",), ("parent", "idx")),
+    "productie_module": (("docstatus",), ("quotation_item",)),
+    "purchase_order": (("docstatus",), ("transaction_date", "supplier")),
+    "item": (("is_stock_item", "item_group"), ("name",)),
+}
+
+
+def save_laid_out(tables, names: Sequence[str], root: str, files: int | None = None) -> None:
+    """Store tables below ``root`` so that filters on status, group and date skip folders and files.
+
+    Rows are dealt into ``files`` ranges of the columns in ``LAYOUT`` and sorted, so a folder
+    has few files and a file a narrow range of dates. A blank value of a folder column
+    reads back as NULL, which all filters of the jobs treat alike.
+    """
+    for name in names:
+        by, order = LAYOUT[name]
+        ranges = tables[name].repartitionByRange(*([files] if files else []), *by, *order).sortWithinPartitions(*by, *order)
+        ranges.write.mode("overwrite").partitionBy(*by).parquet(f"{root.rstrip('/')}/{name}")

@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomwerk.session import folder_exists
-from bomwerk.sources.schemas import SCHEMAS
+from bomwerk.sources.schemas import KEPT, SCHEMAS
 
+TABLES = SCHEMAS | KEPT
 COMMITS = "version LONG, run STRING, tables MAP<STRING, STRUCT<buckets: INT, key: STRING, parts: ARRAY<STRUCT<bucket: INT, folder: STRING>>>>"
 WHOLE = -1  # bucket of a folder that has rows of all buckets
 
@@ -78,14 +79,14 @@ class SnapshotTables(Mapping[str, DataFrame]):
 
     def _rows(self, name: str, folders: Sequence[str]) -> DataFrame:
         if not folders:
-            return self._spark.createDataFrame([], SCHEMAS[name])
-        return self._spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{folder}" for folder in folders])
+            return self._spark.createDataFrame([], TABLES[name])
+        return self._spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{folder}" for folder in folders])
 
     def __iter__(self) -> Iterator[str]:
-        return iter(SCHEMAS)
+        return iter(TABLES)
 
     def __len__(self) -> int:
-        return len(SCHEMAS)
+        return len(TABLES)
 
     def folders(self, name: str) -> dict[str, int]:
         """The folders of a table with their bucket."""
@@ -134,7 +135,7 @@ class Change:
         # a large bucket becomes several files, a small one a single one
         placed = shaped(rows, name).withColumn("_bucket", where).hint("rebalance", F.col("_bucket"))
         placed.write.partitionBy("_bucket").parquet(f"{self._base.root}/{folder}")
-        written = self._base._spark.read.schema(f"{SCHEMAS[name]}, _bucket INT").parquet(f"{self._base.root}/{folder}")
+        written = self._base._spark.read.schema(f"{TABLES[name]}, _bucket INT").parquet(f"{self._base.root}/{folder}")
         kept = written.select("_bucket").distinct().collect()  # at most a number for each bucket
         self._layouts[name] = Layout(buckets, key, tuple(sorted((row[0], f"{folder}/_bucket={row[0]}") for row in kept)))
         return self
@@ -183,7 +184,7 @@ class Change:
 
 def shaped(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` with the columns and types of a table; those they lack are NULL."""
-    schema = rows.sparkSession.createDataFrame([], SCHEMAS[name]).schema
+    schema = rows.sparkSession.createDataFrame([], TABLES[name]).schema
     given = set(rows.columns)
     return rows.select(*[(F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 

@@ -1,15 +1,18 @@
-"""Stock transactions as a stream, against a static snapshot of items and bins."""
+"""Stock transactions as a stream, each micro-batch against one snapshot of items and bins."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bomwerk.operators.dimensions import Tables
 from bomwerk.plans.transactions import checked, snapshot, to_post
-from bomwerk.session import run_folder
+from bomwerk.session import folder_exists, run_folder
 from bomwerk.sources.schemas import SCHEMAS
+from bomwerk.sources.snapshots import SnapshotTables
 
 
 def read_transactions(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -24,17 +27,46 @@ def read_transactions(spark: SparkSession, folder: str, files_per_batch: int = 1
 def start_transactions(tables: Tables, transactions: DataFrame, out: str, **trigger) -> StreamingQuery:
     """Check arriving transactions and write ``out/checked`` and ``out/postings``.
 
-    Stateless: a transaction is held to the stock in the snapshot of ``tables``, which is
-    reduced and stored once, in ``out/snapshot``, before the stream starts. The static joins are planned per micro-batch, adaptively. Each micro-batch overwrites
-    its own folders and posts from what it wrote, so a batch repeated after a failure
-    leaves one copy and no transaction is judged twice.
+    Stateless: each micro-batch is held to one snapshot of ``tables``. With
+    ``SnapshotTables`` that is the version that is the latest when the batch is first
+    tried, so the stream follows the stock; other tables are taken as they are at the
+    start. A snapshot is reduced and stored once, below ``out/snapshot``, and the batch
+    records which one it uses before it is judged: repeated after a failure, it is judged
+    by the same. Each micro-batch overwrites its own folders and posts from what it wrote,
+    so a repeated batch leaves one copy. The static joins are planned per micro-batch,
+    adaptively.
     """
     spark = transactions.sparkSession
-    for name, rows in snapshot(tables).items():
-        rows.write.mode("overwrite").parquet(f"{out}/snapshot/{name}")
-    known = {name: spark.read.parquet(f"{out}/snapshot/{name}") for name in ("items", "bins", "factors")}
+    started = f"start-{uuid.uuid4().hex}"
+    stored: set[str] = set()
+
+    def store(label: str, source: Tables) -> str:
+        if label not in stored:
+            for name, rows in snapshot(source).items():
+                rows.write.mode("overwrite").parquet(f"{out}/snapshot/{label}/{name}")
+            stored.add(label)
+        return label
+
+    def now() -> str:
+        if isinstance(tables, SnapshotTables):
+            latest = tables.latest()
+            return store(f"version-{latest.version}", latest)
+        return store(started, tables)
+
+    def used(number: int) -> str:
+        """The snapshot of a batch: the recorded one, else the latest, which is recorded."""
+        record = f"{out}/versions/batch={number}"
+        if folder_exists(spark, record):
+            known = spark.read.schema("label STRING").json(record).first()
+            if known:
+                return known["label"]
+        label = now()
+        spark.range(1).select(F.lit(label).alias("label")).coalesce(1).write.mode("overwrite").json(record)
+        return label
 
     def write(batch: DataFrame, number: int) -> None:
+        label = used(number)
+        known = {name: spark.read.parquet(f"{out}/snapshot/{label}/{name}") for name in ("items", "bins", "factors")}
         judged = f"{out}/checked/batch={number}"
         checked(known, batch).write.mode("overwrite").parquet(judged)
         to_post(batch.sparkSession.read.parquet(judged)).write.mode("overwrite").parquet(f"{out}/postings/batch={number}")

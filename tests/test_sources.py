@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
 from conftest import SMALL, by
+from pyspark.sql import functions as F
 
-from bomwerk.plans import planning, report
-from bomwerk.session import checkpoint_dir
+from bomwerk.operators.shared import Run
+from bomwerk.plans import invoices, planning, production, report, rules
+from bomwerk.session import checkpoint_dir, folder_exists
 from bomwerk.sources.schemas import SCHEMAS
-from bomwerk.sources.sinks import save_bucketed, save_per_supplier, save_report, save_sheet, save_table, save_tables
-from bomwerk.sources.tables import CatalogTables, StoredTables
+from bomwerk.sources.sinks import save_bucketed, save_laid_out, save_per_supplier, save_report, save_sheet, save_table, save_tables
+from bomwerk.sources.tables import CatalogTables, LocalTables, StoredTables
 
 
 @pytest.fixture(scope="module")
@@ -93,6 +96,60 @@ def test_scans_read_only_the_needed_columns(stored):
     assert "configurator_id" not in items and "PushedFilters: [IsNotNull(bakje_bakje)" in items
 
 
+def test_layout_skips_folders_and_files(spark, small, tmp_path):
+    save_laid_out(small, ["quotation", "quotation_item", "productie_module"], str(tmp_path), files=12)
+    laid = LocalTables(spark, {**{n: small[n] for n in ("bom", "item")}, **{n: StoredTables(spark, str(tmp_path))[n] for n in ("quotation", "quotation_item", "productie_module")}})
+    found, want = production.open_modules(laid), production.open_modules(small)
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    folders = re.findall(r"PartitionFilters: \[(.*?), PushedFilters", plan)
+    assert any("docstatus" in found and "vj_status" in found for found in folders) and any("item_group" in found for found in folders)
+
+    def files(rows):
+        return rows.select("_metadata.file_path").distinct().count()
+
+    quotations = laid["quotation"]
+    active = (F.col("docstatus") == 1) & F.lower("vj_status").isin(["in productie"])
+    # folders of other states are not read, and of these a day is in few files
+    assert files(quotations.filter(active)) < files(quotations) / 2
+    day = quotations.filter(active).agg(F.min("transaction_date")).first()[0]
+    stats = {}
+    for row in quotations.filter(active).groupBy("_metadata.file_path").agg(F.min("transaction_date").alias("a"), F.max("transaction_date").alias("b")).collect():
+        stats[row.file_path] = row.a <= day <= row.b
+    assert 0 < sum(stats.values()) < len(stats)
+
+
+def test_one_run_stores_its_intermediates_once(spark, stored):
+    jobs = (
+        invoices.booking_documents, invoices.booking_rejects, invoices.invoice_balance_check, invoices.quote_linked_flag, invoices.direct_relations_to_create,
+        lambda t: planning.purchase_order_lines(t, "1999-06-01"), lambda t: planning.purchase_order_headers(t, "1999-06-01"), planning.planning_sheet,
+    )
+    with Run(stored) as run:
+        for job in jobs:
+            alone, shared = job(stored), job(run)
+            assert alone.exceptAll(shared).isEmpty() and shared.exceptAll(alone).isEmpty()
+        assert set(run._stored) == {"leads_linked", "invoice documents", "planning sheet global"}
+        plan = invoices.invoice_balance_check(run)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "/sales_invoice" not in plan
+        folder = run._folder[1]
+        assert folder_exists(spark, folder)
+    assert not folder_exists(spark, folder)
+
+
+def test_directories_are_read_once(stored):
+    plan = invoices.down_payment_invoices(stored)._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line and "/relation]" in line for line in plan.splitlines()) == 1
+    assert sum("FileScan" in line and "/lead]" in line for line in plan.splitlines()) == 1
+
+
+def test_rules_scan_each_table_once(stored):
+    for check in (rules.check_foreign_keys, rules.check_unique, rules.check_accepted_values):
+        plan = check(stored)._jdf.queryExecution().executedPlan().toString()
+        scans = re.findall(r"FileScan.*?Location: \S+\(1 paths?\)\[\S*/(\w+)\]", plan)
+        assert len(scans) == len(set(scans)) > 1
+        assert plan.count("Exchange") == 1
+
+
 @pytest.mark.parametrize("name", ["planning_sheet", "module_status", "bom_stock_report", "invoice_group_totals", "check_foreign_keys"])
 def test_no_nested_loops(spark, stored, name):
     import __spark_entry__ as entry

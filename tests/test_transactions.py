@@ -6,6 +6,7 @@ from decimal import Decimal as D
 
 import pytest
 from conftest import by
+from pyspark.sql import functions as F
 from test_planning import item, unit
 
 from bomwerk.plans import transactions
@@ -96,3 +97,47 @@ def test_stream_restart_adds_nothing(spark, scans, tmp_path):
     scans["voorraad_transactie"].limit(1).write.mode("append").parquet(str(tmp_path / "in"))
     start_transactions(scans, read_transactions(spark, str(tmp_path / "in")), str(tmp_path / "out")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/checked")).count() == 10
+
+
+def test_each_batch_keeps_the_version_it_was_first_judged_by(spark, scans, tmp_path, monkeypatch):
+    from bomwerk.sources.snapshots import stored_tables
+    from bomwerk.streaming import transactions as stream
+
+    store = stored_tables(spark, str(tmp_path / "erp"), scans, ["item", "bin", "uom_conversion_detail"])
+    issue = scans["voorraad_transactie"].filter("name = 'equal'")
+    assert issue.count() == 1
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(name):
+        issue.withColumn("name", F.lit(name)).write.mode("append").parquet(source)
+
+    def bins(factor):
+        return scans["bin"].withColumn("actual_qty", (F.col("actual_qty") * factor).cast("decimal(18,6)"))
+
+    def run():
+        start_transactions(store, read_transactions(spark, source, 1), out).awaitTermination()
+
+    def reasons():
+        return {r["name"]: r["reason"] for r in spark.read.parquet(f"{out}/checked").select("name", "reason").collect()}
+
+    arrive("first")
+    run()
+    store.latest().change("sold out").replace("bin", bins(0)).commit()
+    arrive("second")
+    run()
+    assert reasons() == {"first": None, "second": "more than stock"}
+
+    # the third batch fails after it was judged; the stock is refilled before it is tried again
+    arrive("third")
+    monkeypatch.setattr(stream, "to_post", lambda rows: rows.select(F.raise_error(F.lit("lost"))))
+    with pytest.raises(Exception, match="lost"):
+        run()
+    monkeypatch.undo()
+    store.latest().change("refilled").replace("bin", bins(1)).commit()
+    run()
+    assert reasons()["third"] == "more than stock"
+    arrive("fourth")
+    run()
+    assert reasons() == {"first": None, "second": "more than stock", "third": "more than stock", "fourth": None}
+    labels = {r["batch"]: r["label"] for r in spark.read.json(f"{out}/versions").collect()}
+    assert labels == {0: "version-1", 1: "version-2", 2: "version-2", 3: "version-3"}
