@@ -9,9 +9,9 @@ share of agreeing coordinates is near the threshold, the shingles themselves dec
 
 Texts with equal signatures are one node. Nodes meet in buckets of equal bands. First
 all members of a bucket are compared with one hub, the node that meets most others. The
-members that this leaves in different classes are compared in blocks: a task compares
-two blocks of bounded size and hands on the sure links that join classes and the nodes
-with links in doubt. Classes that are still apart then are compared by their shingles,
+members that this leaves in different classes are compared in blocks: those outside the
+largest class of the bucket with all others. A task compares two blocks of bounded size
+and hands on the sure links that join classes and the nodes with links in doubt. Classes that are still apart then are compared by their shingles,
 again in blocks, until a pair of them is joined or all its links are refused.
 """
 
@@ -186,11 +186,12 @@ def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
     return shared / (np.bincount(text, weight, len(left)) - shared)
 
 
-def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (node, other) between similar ``nodes`` (node, signature, bytes) that join all classes.
+def roots(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) of the similar ``nodes`` (node, signature, bytes): the root is the lowest of its class.
 
     Every node that shares a bucket with one it resembles is linked to it or, by other
-    links, to its class. ``docs`` (doc_id, text) has the texts of the nodes.
+    links, to its class; nodes without a link may be left out. ``docs`` (doc_id, text)
+    has the texts of the nodes.
     """
     bands = F.array(*[F.xxhash64(F.lit(n), F.substring("signature", 1 + 2 * ROWS * n, 2 * ROWS)) for n in range(BANDS)])
     members = nodes.select("node", "bytes", F.posexplode(bands).alias("band", "bucket"))
@@ -204,50 +205,63 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     prints = nodes.select("node", "signature")
     pairs = join_on_key(pairs, prints, {"node": "node"}, "inner").withColumnRenamed("signature", "_left")
     pairs = join_on_key(pairs, prints, {"other": "node"}, "inner").select("node", "other", agreeing("_left", "signature").alias("near"))
-    starred = stored(_starred(pairs.where(F.col("near") >= LOW), docs), "near-starred")
-
-    # buckets whose members are in one class by now are done
-    roots = stored(rounds.components(starred), "near-roots")
-    members = join_on_key(members.drop("size"), roots, {"node": "node"}).withColumn("root", F.coalesce("root", "node"))
-    mixed = members.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("size"), F.sum("bytes").alias("_bytes"))
-    blocks = F.least("size", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("_bytes") / BLOCK_BYTES)))
-    mixed = mixed.where(F.col("_low") != F.col("_high")).select("bucket", blocks.cast("int").alias("blocks"))
-    members = join_on_key(members, mixed, {"bucket": "bucket"}, "inner")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    members = members.withColumn("block", own).select(
-        "bucket", "band", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_with")
+    starred = _starred(pairs.where(F.col("near") >= LOW), docs)
+
+    # buckets whose members are in one class by now are done; in others, the largest class
+    # is compared with the rest, and the rest with itself
+    members = join_on_key(members.drop("size"), starred, {"node": "node"}).withColumn("root", F.coalesce("root", "node"))
+    shares = members.groupBy("bucket", "root").agg(F.count("*").alias("_n"), F.sum("bytes").alias("_bytes"))
+    largest = F.struct("_n", "root")
+    mixed = shares.groupBy("bucket").agg(
+        F.max_by("root", largest).alias("_main"), F.max_by("_n", largest).alias("_main_n"), F.max_by("_bytes", largest).alias("_main_bytes"),
+        F.sum("_n").alias("_n"), F.sum("_bytes").alias("_bytes"), F.count("*").alias("_classes"),
+    )
+    blocks = lambda n, size: F.least(n, F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)))
+    mixed = mixed.where(F.col("_classes") > 1).select(
+        "bucket", "_main", blocks(F.col("_main_n"), F.col("_main_bytes")).cast("int").alias("_mains"),
+        blocks(F.col("_n") - F.col("_main_n"), F.col("_bytes") - F.col("_main_bytes")).cast("int").alias("_rests"),
     )
+    members = join_on_key(members, mixed, {"bucket": "bucket"}, "inner")
+    is_main = F.col("root") == F.col("_main")
+    place = lambda count: F.pmod(F.xxhash64("node"), F.col(count).cast("long")).cast("int")
+    own = F.when(is_main, F.col("_rests") + place("_mains")).otherwise(place("_rests"))
+    upto = F.when(is_main, F.col("_rests")).otherwise(F.col("_rests") + F.col("_mains"))
+    members = members.withColumn("block", own).select("bucket", "band", "node", "root", "block", F.explode(F.sequence(F.lit(0), upto - 1)).alias("_with"))
     members = members.select("bucket", F.least("block", "_with").alias("a"), F.greatest("block", "_with").alias("b"), "band", "node", "root", "block")
     members = join_on_key(members, prints, {"node": "node"}, "inner")
     members = members.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    compared = stored(members.mapInArrow(_by_groups(_compare), "bucket long, a int, b int, band int, block int, node long, other long"), "near-compared")
-    sure = starred.unionByName(compared.where(F.col("other").isNotNull()).select("node", "other"))
+    compared = stored(members.mapInArrow(_by_groups(_compare), "bucket long, a int, b int, band int, block int, node long, root long, other long"), "near-compared")
+    sure = compared.where(F.col("other").isNotNull()).select(F.col("root").alias("node"), "other")
     doubt = compared.where(F.col("other").isNull()).drop("other")
-    return sure if doubt.isEmpty() else sure.unionByName(_judged(doubt, sure, prints, docs))
+    many, in_doubt = compared.agg(F.count("*"), F.count_if(F.col("other").isNull())).first()
+    if in_doubt:
+        sure = sure.unionByName(_judged(doubt, sure, prints, docs))
+    return rounds.joined(starred, sure) if many else starred
 
 
 def _starred(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of ``edges`` (node, other, near) to hubs the sure ones, and the nearest in doubt that
-    join classes of sure ones and whose shingles are similar.
+    """(node, root) of ``edges`` (node, other, near) to hubs: of the sure ones, and of the
+    nearest in doubt between classes of those whose shingles are similar.
     """
     edges = stored(edges, "near-edges")
-    sure = edges.where(F.col("near") >= SURE).select("node", "other")
+    found = rounds.components(edges.where(F.col("near") >= SURE).select("node", "other"))
     doubt = edges.where(F.col("near") < SURE)
     if doubt.isEmpty():
-        return sure
-    roots = stored(rounds.components(sure), "near-roots")
+        return found
     for side in ("node", "other"):
-        doubt = join_on_key(doubt, roots.withColumnRenamed("root", f"_{side}"), {side: "node"}).withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+        doubt = join_on_key(doubt, found.withColumnRenamed("root", f"_{side}"), {side: "node"}).withColumn(f"_{side}", F.coalesce(f"_{side}", side))
     between = Window.partitionBy("_low", "_high").orderBy(F.col("near").desc(), "node", "other")
     doubt = doubt.where(F.col("_node") != F.col("_other")).withColumn("_low", F.least("_node", "_other")).withColumn("_high", F.greatest("_node", "_other"))
-    doubt = stored(doubt.withColumn("_place", F.row_number().over(between)).where(F.col("_place") <= NEAREST).select("node", "other"), "near-doubt")
-    return sure.unionByName(exact(doubt, docs).where(F.col("exact") >= SIMILARITY).select("node", "other"))
+    doubt = stored(doubt.withColumn("_place", F.row_number().over(between)).where(F.col("_place") <= NEAREST).select("node", "other", "_low", "_high"), "near-doubt")
+    judged = exact(doubt, docs).where(F.col("exact") >= SIMILARITY)
+    similar = join_on_key(doubt, judged, {"node": "node", "other": "other"}, "inner").select(F.col("_low").alias("node"), F.col("_high").alias("other"))
+    return stored(rounds.joined(found, similar), "near-roots")
 
 
 def _judged(doubt: DataFrame, sure: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (node, other) by shingles between the classes of ``sure`` links that each two blocks of ``doubt`` have."""
-    roots = stored(rounds.components(sure), "near-roots")
-    doubt = join_on_key(doubt, roots, {"node": "node"}).withColumn("root", F.coalesce("root", "node"))
+    """Links (node, other) by shingles between the classes after ``sure`` links that each two blocks of ``doubt`` have."""
+    found = rounds.components(sure)
+    doubt = join_on_key(doubt, found.withColumnRenamed("root", "_root"), {"root": "node"}).withColumn("root", F.coalesce("_root", "root")).drop("_root")
     apart = doubt.groupBy("bucket", "a", "b").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
     apart = apart.where(F.col("_low") != F.col("_high")).select("bucket", "a", "b")
     doubt = stored(join_on_key(doubt, apart, {"bucket": "bucket", "a": "a", "b": "b"}, "inner"), "near-doubt")
@@ -255,7 +269,7 @@ def _judged(doubt: DataFrame, sure: DataFrame, prints: DataFrame, docs: DataFram
     texts = texts.join(doubt.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "text"])
     rows = join_on_key(join_on_key(doubt, prints, {"node": "node"}, "inner"), stored(texts, "near-texts"), {"node": "id"}, "inner")
     rows = rows.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    return rows.mapInArrow(_by_groups(_judge), "node long, other long").distinct()
+    return stored(rows.mapInArrow(_by_groups(_judge), "node long, other long").distinct(), "near-judged")
 
 
 def _by_groups(work: Callable[[pa.RecordBatch, list[int], list[int]], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -299,8 +313,8 @@ def _prints(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _compare(batch: pa.RecordBatch, starts: list[int], ends: list[int]) -> pa.RecordBatch:
-    """Of each group the sure links that join classes, and without ``other`` the nodes with links in doubt between those still apart."""
-    nodes, roots, prints = batch.column("node").to_numpy(), batch.column("root").to_numpy(), _prints(batch)
+    """Of each group the sure links that join classes, from ``root`` to ``other``, and without ``other`` the nodes with links in doubt between those still apart."""
+    roots, prints = batch.column("root").to_numpy(), _prints(batch)
     rows: list[int] = []
     others: list[int | None] = []
     for low, high in zip(starts, ends, strict=False):
@@ -308,18 +322,18 @@ def _compare(batch: pa.RecordBatch, starts: list[int], ends: list[int]) -> pa.Re
         for _, a, b in sorted((edge for edge in edges if edge[0] >= SURE), reverse=True):
             if classes.join(a, b):
                 rows.append(a)
-                others.append(int(nodes[b]))
+                others.append(int(roots[b]))
         open_ = {n for near, a, b in edges if near < SURE and classes.of(a) != classes.of(b) for n in (a, b)}
         rows += sorted(open_)
         others += [None] * len(open_)
-    names = ["bucket", "a", "b", "band", "block", "node"]
+    names = ["bucket", "a", "b", "band", "block", "node", "root"]
     columns = [batch.column(name).take(pa.array(rows, pa.int64())) for name in names]
     return pa.RecordBatch.from_arrays([*columns, pa.array(others, pa.int64())], names=[*names, "other"])
 
 
 def _judge(batch: pa.RecordBatch, starts: list[int], ends: list[int]) -> pa.RecordBatch:
-    """Of each group the links between classes whose shingles are similar: nearest first, until two classes are one or all are judged."""
-    nodes, roots, prints = batch.column("node").to_numpy(), batch.column("root").to_numpy(), _prints(batch)
+    """Of each group the links between roots of classes whose shingles are similar: nearest first, until two classes are one or all are judged."""
+    roots, prints = batch.column("root").to_numpy(), _prints(batch)
     found: list[tuple[int, int]] = []
     for low, high in zip(starts, ends, strict=False):
         edges, classes = _edges(batch, low, high, roots, prints), _Classes(roots)
@@ -337,7 +351,7 @@ def _judge(batch: pa.RecordBatch, starts: list[int], ends: list[int]) -> pa.Reco
             shared = np.minimum(weight[left][at[same]], weight[right][same]).sum()
             if shared / (total[a - low] + total[b - low] - shared) >= SIMILARITY:
                 classes.join(a, b)
-                found.append((int(nodes[a]), int(nodes[b])))
+                found.append((int(roots[a]), int(roots[b])))
     return pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in range(2)], names=["node", "other"])
 
 
@@ -371,11 +385,17 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     prints = stored(signed(docs.select("doc_id", "text")), "near-prints")
     nodes = stored(prints.groupBy("signature").agg(F.min("doc_id").alias("node"), F.max("bytes").alias("bytes")).select("node", "signature", "bytes"), "near-nodes")
-    roots = stored(rounds.components(links(nodes, docs)), "near-roots")
     named = nodes.select("node", F.xxhash64("signature").alias("_a"), F.xxhash64(F.lit(1), "signature").alias("_b"))
-    named = join_on_key(named, roots, {"node": "node"}, "left").select("_a", "_b", F.coalesce("root", "node").alias("class_id"))
+    named = join_on_key(named, roots(nodes, docs), {"node": "node"}, "left").select("_a", "_b", F.coalesce("root", "node").alias("class_id"))
     hashed = prints.select("doc_id", F.xxhash64("signature").alias("_a"), F.xxhash64(F.lit(1), "signature").alias("_b"))
-    return join_on_key(hashed, named, {"_a": "_a", "_b": "_b"}, "inner").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    classed = join_on_key(hashed, named, {"_a": "_a", "_b": "_b"}, "inner").select("doc_id", "class_id")
+    found = stored(classed.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("_last")), "near-classes")
+    # an id on rows with different texts joins their classes
+    several = found.where(F.col("class_id") != F.col("_last")).select("doc_id", F.col("class_id").alias("node"))
+    if several.isEmpty():
+        return found.drop("_last")
+    merged = rounds.components(join_on_key(classed, several, {"doc_id": "doc_id"}, "inner").select("node", F.col("class_id").alias("other")))
+    return join_on_key(found.drop("_last"), merged, {"class_id": "node"}).select("doc_id", F.coalesce("root", "class_id").alias("class_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

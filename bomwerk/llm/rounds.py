@@ -8,14 +8,16 @@ done after one round, and no link between classes is lost.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bomwerk.llm.tables import stored
 from bomwerk.operators.lookup import join_on_key
 
+SHORT = 1 << 17  # edges that one task joins
 MOST_HUBS = 64  # of a bucket in one round; rounds go on as long as they must
 
 
@@ -62,26 +64,61 @@ def links(members: DataFrame, judge: Callable[[DataFrame], DataFrame], slack: fl
         hubs = min(2 * hubs, MOST_HUBS)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _apart(edges: DataFrame) -> DataFrame:
+    """Each pair of different nodes once."""
+    return edges.where(F.col("node") != F.col("other")).select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct()
+
+
+def _united(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of a bounded number of edges: the root is its component's lowest node."""
+    up: dict[int, int] = {}
+
+    def top(node: int) -> int:
+        while (above := up.setdefault(node, node)) != node:
+            up[node] = up[above]
+            node = above
+        return node
+
+    for batch in parts:
+        for node, other in zip(batch.column("node").to_pylist(), batch.column("other").to_pylist(), strict=True):
+            low, high = sorted((top(node), top(other)))
+            up[high] = low
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(node) for node in up], pa.int64())], names=["node", "root"])
+
+
+def components(edges: DataFrame, short: int = SHORT) -> DataFrame:
     """(node, root) for every node of ``edges`` (node, other): the root is its component's lowest node.
 
-    Large-star and small-star steps in turn: each node tells its neighbours its lowest
-    one. Only minima are aggregated, so a node with very many neighbours costs little.
+    While there are more than ``short`` edges, each node joins the first of its neighbours
+    and itself in an order drawn anew, and edges go on between those; a constant share of
+    the nodes vanishes each time. Only minima are aggregated, so a node with very many
+    neighbours costs little. The rest, at most ``short`` edges, is joined in one task.
     """
-    edges = edges.where(F.col("node") != F.col("other")).select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct()
-    edges = stored(edges, "near-edges")
-    mark = None
-    while True:
+    edges = stored(_apart(edges), "near-edges")
+    hooks: list[DataFrame] = []
+    while edges.count() > short:
+        draw = lambda name, turn=len(hooks): F.struct(F.xxhash64(F.lit(turn), F.col(name)).alias("draw"), F.col(name).alias("id"))
         both = edges.unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other")))
-        lowest = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("low"))
-        large = join_on_key(both.where(F.col("other") > F.col("node")), lowest, {"node": "node"}, "inner").select(F.col("other").alias("node"), F.col("low").alias("other"))
-        large = stored(large.distinct(), "near-large")
-        lowest = large.groupBy("node").agg(F.min("other").alias("low"))
-        small = join_on_key(large, lowest, {"node": "node"}, "inner")
-        small = small.select(F.explode(F.array(F.struct("node", F.col("low").alias("to")), F.struct(F.col("other").alias("node"), F.col("low").alias("to")))).alias("e"))
-        small = small.select("e.node", F.col("e.to").alias("other")).where(F.col("node") != F.col("other")).distinct()
-        edges = stored(small, "near-edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("node", "other") % (1 << 40))).first()
-        if now == mark:
-            return edges.select("node", F.col("other").alias("root"))
-        mark = now
+        hook = both.groupBy("node").agg(F.min(draw("other")).alias("to")).select("node", F.least("to", draw("node")).getField("id").alias("to"))
+        hook = stored(hook, "near-hooks")
+        hooks.append(hook)
+        moved = join_on_key(edges, hook.withColumnRenamed("to", "_node"), {"node": "node"}, "inner")
+        moved = join_on_key(moved, hook.withColumnRenamed("to", "_other"), {"other": "node"}, "inner")
+        edges = stored(_apart(moved.select(F.col("_node").alias("node"), F.col("_other").alias("other"))), "near-edges")
+    found = stored(edges.repartition(1).mapInArrow(_united, "node long, root long"), "near-roots")
+    for hook in reversed(hooks):
+        placed = join_on_key(hook, found, {"to": "node"}).select("node", F.coalesce("root", "to").alias("root"))
+        # a node that was joined to has a row of its own among the hooks
+        found = stored(placed, "near-roots")
+    if not hooks:
+        return found
+    lowest = found.groupBy("root").agg(F.min("node").alias("low"))
+    return stored(join_on_key(found, lowest, {"root": "root"}, "inner").select("node", F.col("low").alias("root")), "near-roots")
+
+
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after ``edges`` (node, other) between roots, or nodes without one, were added."""
+    more = components(edges)
+    renamed = join_on_key(roots, more.withColumnRenamed("root", "_root"), {"root": "node"}).select("node", F.coalesce("_root", "root").alias("root"))
+    return renamed.unionByName(more).groupBy("node").agg(F.min("root").alias("root"))
