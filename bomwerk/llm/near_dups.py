@@ -41,6 +41,7 @@ DOUBT = 0.075  # so near the threshold, three standard errors, pairs are compare
 LOW, SURE = math.floor((SIMILARITY - DOUBT) * COORDINATES), math.ceil((SIMILARITY + DOUBT) * COORDINATES)
 BLOCK, BLOCK_BYTES = 256, 8 << 20  # nodes and bytes of text
 NEAREST = 3  # links in doubt to hubs that are tried for two classes; the blocks judge all others
+COLUMNS = 1 << 13  # shingles of a block that are counted at once
 SLICE_DARTS = 1 << 18  # that a task throws at once
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -331,8 +332,29 @@ def _compare(batch: pa.RecordBatch, starts: list[int], ends: list[int]) -> pa.Re
     return pa.RecordBatch.from_arrays([*columns, pa.array(others, pa.int64())], names=[*names, "other"])
 
 
+def _shared(text: np.ndarray, value: np.ndarray, weight: np.ndarray, number: int) -> np.ndarray:
+    """The shared weight, the sum of the lower ones, of each two of ``number`` texts.
+
+    A minimum of weights is the sum of the steps between weights that both reach, so each
+    step is a product of matrices of zeros and ones, over the shingles of two texts or more.
+    """
+    shared, below = np.zeros((number, number)), 0.0
+    for level in np.unique(weight):
+        reach = weight >= level
+        rows, (_, codes, counts) = text[reach], np.unique(value[reach], return_inverse=True, return_counts=True)
+        common = counts[codes] > 1
+        rows, codes = rows[common], (np.cumsum(counts > 1) - 1)[codes[common]]
+        for low in range(0, int(codes.max()) + 1 if len(codes) else 0, COLUMNS):
+            some = (codes >= low) & (codes < low + COLUMNS)
+            has = np.zeros((number, COLUMNS), np.float32)
+            has[rows[some], codes[some] - low] = 1
+            shared += (level - below) * (has @ has.T)
+        below = level
+    return shared
+
+
 def _judge(batch: pa.RecordBatch, starts: list[int], ends: list[int]) -> pa.RecordBatch:
-    """Of each group the links between roots of classes whose shingles are similar: nearest first, until two classes are one or all are judged."""
+    """Of each group the links between roots of classes whose shingles are similar, as many as join them."""
     roots, prints = batch.column("root").to_numpy(), _prints(batch)
     found: list[tuple[int, int]] = []
     for low, high in zip(starts, ends, strict=False):
@@ -340,17 +362,13 @@ def _judge(batch: pa.RecordBatch, starts: list[int], ends: list[int]) -> pa.Reco
         if not edges:
             continue
         text, value, weight = shingles(batch.column("text").slice(low, high - low))
-        cuts = np.searchsorted(text, np.arange(high - low + 1))
-        total = np.bincount(text, weight, high - low)
-        for _, a, b in sorted(edges, reverse=True):
-            if classes.of(a) == classes.of(b):
-                continue
-            left, right = slice(cuts[a - low], cuts[a - low + 1]), slice(cuts[b - low], cuts[b - low + 1])
-            at = np.minimum(np.searchsorted(value[left], value[right]), left.stop - left.start - 1)  # no text is without a shingle
-            same = value[left][at] == value[right]
-            shared = np.minimum(weight[left][at[same]], weight[right][same]).sum()
-            if shared / (total[a - low] + total[b - low] - shared) >= SIMILARITY:
-                classes.join(a, b)
+        total = np.bincount(text, weight, high - low)  # no text is without a shingle
+        shared = _shared(text, value, weight, high - low)
+        left, right = np.array([edge[1:] for edge in edges]).T - low
+        both = shared[left, right]
+        for n in np.flatnonzero(both / (total[left] + total[right] - both) >= SIMILARITY):
+            _, a, b = edges[n]
+            if classes.join(a, b):
                 found.append((int(roots[a]), int(roots[b])))
     return pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in range(2)], names=["node", "other"])
 

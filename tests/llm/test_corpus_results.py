@@ -89,22 +89,36 @@ def test_op1(result, docs):
 
 def test_spot_signatures(spark):
     def plain(text):
-        words = re.findall(r"[a-z0-9]+", text.lower())
+        words = re.findall(r"[^\W_]+", text.lower())
         content = [(n, w) for n, w in enumerate(words) if w not in spotsigs.ANCHORS]
+        begins = {n for n, w in enumerate(words) if w in spotsigs.ANCHORS}
+        stops = [-1, *sorted(begins), len(words)]
+        for low, high in zip(stops, stops[1:], strict=False):
+            if high - low > spotsigs.STRETCH or len(stops) == 2:
+                begins |= set(range(low + 1, high))
         chains = set()
-        for n, word in [(-1, "^"), *((n, w) for n, w in enumerate(words) if w in spotsigs.ANCHORS)]:
+        for n, word in [(-1, "^"), *((n, words[n]) for n in begins if n < len(words))]:
             chain = [w for m, w in content if m > n][:2]
             if len(chain) == 2:
                 chains.add(f"{word}:{chain[0]}:{chain[1]}")
         return chains or ({" ".join(words)} if words else set())
 
     texts = ["The cat sat on a mat, and the dog slept.", "of the of the", "red", "", "Cats of the in a to barn", "x the y"]
+    texts += ["один два три четыре", "один два три пять", "menu soup bread", "menu soup", " ".join(f"row{n}" for n in range(60))]
+    texts += ["the list " + " ".join(f"part{n}" for n in range(count)) + " of it and more" for count in (22, 23, 24, 50)]
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
     hashed = {t: {spark.range(1).select(F.shiftrightunsigned(F.xxhash64(F.lit(c)), 32)).first()[0] for c in plain(t)} for t in texts}
     for row in rows.select("text", spotsigs.signatures(F.col("text")).alias("s")).collect():
         assert set(row.s) == hashed[row.text], row.text
 
 
+def test_texts_without_anchors_differ_in_their_fingerprints(spark):
+    texts = [f"один два три слово{n}" for n in range(20)] + [f"menu soup item{n}" for n in range(20)]
+    texts += ["the start " + " ".join(f"cell{n if n != edit else 'x'}" for n in range(40)) for edit in range(40)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert rows.select(spotsigs.written(spotsigs.signatures(F.col("text")))).distinct().count() == len(texts)
+
+
 def test_spotsig_classes(spark, docs):
     rows = spark.read.parquet(f"{FOLDER}/documents.parquet")
     sets = {r.doc_id: set(r.s) for r in rows.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect()}
@@ -113,6 +127,17 @@ def test_spotsig_classes(spark, docs):
     assert found == classes(sims, sorted(sets), spotsigs.SIMILARITY)
 
 
+def test_shared_weights_of_a_block():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d e", "f g h"], size=n)) for n in (5, 40, 41, 90, 200, 3)] + ["a b c d e f", "", "?"]
+    text, value, weight = near_dups.shingles(pa.array(texts))
+    found = near_dups._shared(text, value, weight, len(texts))
+    sets = [dict(zip(value[text == n].tolist(), weight[text == n].tolist(), strict=True)) for n in range(len(texts))]
+    for i, left in enumerate(sets):
+        for j, right in enumerate(sets):
+            assert i == j or found[i, j] == pytest.approx(sum(min(w, right[v]) for v, w in left.items() if v in right))
+
+
 def test_op2(result, docs):
     found = result("op2_sharding").merge(docs, on="doc_id")
     assert len(found) == len(docs) and set(found.law) == {"bytes"} and found.grown_shard.isna().all()
