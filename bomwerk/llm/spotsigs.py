@@ -10,6 +10,7 @@ and between neighbouring ranges of sizes, and only where rare signatures meet.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ ANCHORS = (
     "al como con de del el en lo los las no para por se si su y"
 ).split()
 CHAIN = 2  # content words behind an anchor
+STRETCH = 24  # words without an anchor among them, of which each is taken as one
 SKIP = 8  # anchors a chain steps over between two content words
 DOCS_PER_RANGE = 512
 LEAST = -(2**63)
@@ -43,20 +45,39 @@ def _pattern(words) -> str:
 def signatures(text: Column, anchors=ANCHORS, chain: int = CHAIN) -> Column:
     """The sorted set of a text's signatures, each as a number below 2^32.
 
-    The start of a text counts as an anchor too, so a text with ``chain`` words has a
-    signature. Chains that the end of the text cuts short do not count, unless the text
-    has no other: then its words in a row are its signature. Null and empty texts, and
-    those without a letter or digit, have none.
+    The start of a text counts as an anchor too. Where ``STRETCH`` words or more follow
+    each other without an anchor, and in a text that has none, every word is one, so
+    texts in other languages, lists and tables are covered in whole. Chains that the end
+    of the text cuts short do not count, unless the text has no other: then its words in
+    a row are its signature. Null and empty texts, and those without a letter or digit,
+    have none.
     """
-    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]++", " "))
-    # \u0001 marks an anchor; the text's start is the anchor ^
-    marked = F.regexp_replace(F.concat(F.lit("\u0001^ "), words, F.lit(" ")), f"(?<= )(?=(?:{_pattern(anchors)}) )", "\u0001")
-    follow = "".join(rf"(?: \u0001[^ ]++){{0,{SKIP}}}+ ([^ \u0001]++)" for _ in range(chain))
+    follow = "".join(rf"(?: \u0001[^ ]++){{0,{SKIP}}}+ \u0004?([^ \u0001\u0004]++)" for _ in range(chain))
     out = ":".join(f"${n + 1}" for n in range(chain + 1))
-    cut = F.split(F.regexp_replace(marked, rf"\u0001([^ ]++)(?={follow})", f"\u0002{out}\u0002"), "\u0002")
-    spots = F.filter(cut, lambda _, n: n % 2 == 1)
-    spots = F.when(F.size(spots) > 0, spots).when(words != "", F.array(words)).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(F.transform(spots, lambda spot: F.shiftrightunsigned(F.xxhash64(spot), 32))))
+    bare = f"(?<![^ ])(?:[^ \u0001]++ ){{{STRETCH},}}+"
+
+    # \u0001 marks an anchor, \u0004 a word that is one beside being content; the text's start is the anchor ^
+    def every(part: Column) -> Column:
+        return F.regexp_replace(part, "(?<![^ ])(?=[^ ])", "\u0004")
+
+    def covered(marked: Column) -> Column:
+        parts = F.split(F.regexp_replace(marked, bare, "\u0003$0\u0003"), "\u0003")
+        stretched = F.array_join(F.transform(parts, lambda part, n: F.when(n % 2 == 1, every(part)).otherwise(part)), "")
+        return F.when(F.instr(marked, "\u0001") == 0, every(marked)).when(marked.rlike(bare), stretched).otherwise(marked)
+
+    def chains(words: Column) -> Column:
+        marked = F.regexp_replace(F.concat(words, F.lit(" ")), f"(?<![^ ])(?=(?:{_pattern(anchors)}) )", "\u0001")
+        cut = F.split(F.regexp_replace(F.concat(F.lit("\u0001^ "), _once(marked, covered)), rf"[\u0001\u0004]([^ ]++)(?={follow})", f"\u0002{out}\u0002"), "\u0002")
+        whole = F.when(words != "", F.array(words)).otherwise(F.array().cast("array<string>"))
+        return _once(F.filter(cut, lambda _, n: n % 2 == 1), lambda spots: F.when(F.size(spots) > 0, spots).otherwise(whole))
+
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]++", " "))
+    return F.array_sort(F.array_distinct(F.transform(_once(words, chains), lambda spot: F.shiftrightunsigned(F.xxhash64(spot), 32))))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def written(spots: Column) -> Column:
