@@ -17,27 +17,28 @@ from bomwerk.llm import batches
 from bomwerk.llm.tables import kept, stored
 
 UNKNOWN = "und"
-SAMPLE_DOCS = 128  # labelled documents fetched for each language, of at most SAMPLE_CHARS each
+SAMPLE_DOCS = 128  # labelled documents fetched for each language, and of each so many characters from its middle
 SAMPLE_CHARS = 8192
 DICTIONARY_BYTES = 1 << 17  # the dictionary of a language is made of whole documents up to this size
 MIN_MARGIN = 0.002  # best against second size, as a share of the second
-SHORT, SHORT_LEVEL, LEVEL = 1024, 12, 5  # short texts get the finer, slower level
+LEVEL = 5
 PIECE = 1 << 15  # bytes of a text that are compressed at once; what a dictionary saves on a frame is bounded
-CARRIER_BYTES = 256  # of each dictionary, for short texts that come out equal
+CARRIER_BYTES = 256  # of each dictionary, for texts that come out equal
 STEEP = 50.0  # margin at which the score is 1 - 1/e: 2 %
 
 
 def train(labelled: DataFrame) -> dict[str, bytes]:
     """A dictionary for each value of ``lang`` in ``labelled`` (doc_id, text, lang).
 
-    The sample is bounded: of the documents with a letter and at most ``SAMPLE_CHARS``
-    characters, each of ``SAMPLE_DOCS`` hash buckets of a language gives the one with the
-    lowest hash. Only hashes are aggregated, so a language with most of all rows costs
-    no more than another.
+    The sample is bounded: of the documents with a letter, each of ``SAMPLE_DOCS`` hash
+    buckets of a language gives the one with the lowest hash, cut to ``SAMPLE_CHARS``
+    around its middle. Only hashes are aggregated, so a language with most of all rows
+    costs no more than another.
     """
     digest = F.xxhash64("doc_id", "text")
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS))
-    rows = rows.select("lang", "text", digest.alias("digest"))
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    middle = F.greatest(F.lit(0), F.floor((F.length("text") - SAMPLE_CHARS) / 2)).cast("int") + 1
+    rows = rows.select("lang", F.substr("text", middle, F.lit(SAMPLE_CHARS)).alias("text"), digest.alias("digest"))
     chosen = rows.groupBy("lang", F.pmod("digest", F.lit(SAMPLE_DOCS)).alias("bucket")).agg(F.min("digest").alias("digest"))
     chosen = stored(chosen.select("lang", "digest"), "lang-sample")  # small, so Spark sends it to the texts and not these to it
     found = rows.join(chosen, ["lang", "digest"]).dropDuplicates(["lang", "digest"]).collect()
@@ -82,28 +83,23 @@ def _judge(dictionaries: dict[str, bytes]):
 
     import zstandard
 
-    def compressors(level: int):
-        made = []
-        for lang, content in sorted(dictionaries.items()):
-            dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            dictionary.precompute_compress(level=level)
-            made.append((lang, zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_content_size=False)))
-        return made
-
-    fine, usual = compressors(SHORT_LEVEL), compressors(LEVEL)
+    compressors = []
+    for lang, content in sorted(dictionaries.items()):
+        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        dictionary.precompute_compress(level=LEVEL)
+        compressors.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False)))
     # behind text that all languages have pieces of, a few more words cost what they are worth, without the cost of a frame
     carrier = b" ".join(content[:CARRIER_BYTES] for _, content in sorted(dictionaries.items()))
-    bare = [len(packer.compress(carrier)) for _, packer in fine]
+    bare = [len(packer.compress(carrier)) for _, packer in compressors]
 
     def weigh(raw: bytes) -> list[tuple[int, str]]:
-        if len(raw) > SHORT:
-            pieces = -(-len(raw) // PIECE)
-            cuts = [len(raw) * n // pieces for n in range(pieces + 1)]
-            return sorted((sum(len(packer.compress(raw[low:high])) for low, high in zip(cuts, cuts[1:], strict=False)), lang) for lang, packer in usual)
-        sizes = sorted((len(packer.compress(raw)), lang) for lang, packer in fine)
+        pieces = -(-len(raw) // PIECE)
+        cuts = [len(raw) * n // pieces for n in range(pieces + 1)]
+        parts = [raw[low:high] for low, high in zip(cuts, cuts[1:], strict=False)]
+        sizes = sorted((sum(len(packer.compress(part)) for part in parts), lang) for lang, packer in compressors)
         if len(sizes) > 1 and sizes[0][0] == sizes[1][0]:
-            behind = carrier + b" " + raw + b" "
-            sizes = sorted((len(packer.compress(behind)) - before, lang) for (lang, packer), before in zip(fine, bare, strict=True))
+            behind = [carrier + b" " + part + b" " for part in parts]
+            sizes = sorted((sum(len(packer.compress(part)) - before for part in behind), lang) for (lang, packer), before in zip(compressors, bare, strict=True))
         return sizes
 
     def judge(body: str) -> tuple[str, float, bool]:
