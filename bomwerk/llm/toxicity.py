@@ -30,7 +30,7 @@ MOST_TOKENS = 50_000  # of the model: those with the highest z
 MOST_LABELLED = 40_000  # documents that the word counts use, drawn by hash; bounds the fit only
 CALIBRATION = 4  # one labelled document in so many is kept from the counts for the calibration
 K = 0.1  # of the extreme-value law
-MOST_EVIDENCE = 6.0  # more of it makes no difference to the calibrated score
+MOST_EVIDENCE = 6.0  # more of it does not bend the calibration; the score still grows with it
 EXPECTED = 0.01  # a segment is significant if fewer than so many are expected by chance
 
 
@@ -210,6 +210,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     ``score`` is replaced.
     """
     slope, offset = model.weights
-    curve = 1 / (1 + F.exp(-(F.lit(slope) * F.greatest(F.least(F.col("evidence"), F.lit(MOST_EVIDENCE)), F.lit(-50.0)) + F.lit(offset))))
+    # beyond the fitted range the curve runs out slowly, so that no two evidences share a score
+    beyond = F.greatest(F.col("evidence") - MOST_EVIDENCE, F.lit(0.0))
+    inner = F.greatest(F.least(F.col("evidence"), F.lit(MOST_EVIDENCE)), F.lit(-50.0)) + F.log1p(beyond)
+    curve = 1 / (1 + F.exp(-(F.lit(slope) * inner + F.lit(offset))))
     rows = evidence(docs, model)
     return rows.select(*kept(rows, "score"), curve.alias("score"))
