@@ -25,7 +25,7 @@ from bomwerk.llm.tables import stored
 from bomwerk.operators.lookup import join_on_key
 
 WIDTH = 8  # tokens of a window; an item with fewer has one window of its length
-LEAST_TOKENS = 3  # items with fewer have no window
+LEAST_TOKENS = 3  # items with fewer have no window; they are compared as whole texts
 LEAST_WORDS = 0.5  # share of a window's tokens that are no placeholder; with less, only its literal words count
 COVERAGE = 0.5  # share of an item's windows that makes a document contaminated
 SLICE = 1 << 20  # bytes of text that are canonical tokens at a time
@@ -202,27 +202,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     ``coverage`` is the share of the item's windows found literally or with consistent
     slots; or that of its windows with enough words, if higher, since the others are not
-    found with values exchanged. ``reparameterised`` tells that some value was exchanged. Documents and items without
-    an id, null texts and items of fewer than three tokens give no row; rows that repeat
-    an id are one document or item.
+    found with values exchanged. ``reparameterised`` tells that some value was exchanged.
+    An item of fewer than three tokens is contained in documents that consist of its
+    words. Documents and items without an id, null texts and items without a word give no
+    row; rows that repeat an id are one document or item.
     """
     items = stored(templates(benchmark), "leak-items")
     widths = [row[0] for row in items.select("width").distinct().collect()]  # at most WIDTH of them
-    # window hashes reduced to the places of a filter of fixed size
-    bits = items.select(F.explode("windows").alias("w")).select(F.shiftrightunsigned("w", 64 - BITS).alias("bit")).distinct()
-    mask = np.zeros(1 << (BITS - 3), np.uint8)
-    for row in bits.toLocalIterator():
-        mask[row.bit >> 3] |= 1 << (row.bit & 7)
-    runs = stored(_runs(docs, sorted(widths), mask), "leak-runs")
+    runs = stored(_runs(docs, sorted(widths), _filter(items)), "leak-runs")
     # a passage that very many documents share is one run: it is compared once
     distinct = stored(runs.groupBy("run", "width").agg(F.first("windows").alias("windows"), F.first("slots").alias("theirs")), "leak-distinct")
     offered = items.select("item_id", "width", F.explode(F.arrays_zip("windows", "places", "literal")).alias("w"))
     offered = offered.select("item_id", "width", F.col("w.windows").alias("hash"), F.col("w.places").alias("place"), F.col("w.literal").alias("literal"))
     asked = distinct.select("run", "width", F.posexplode("windows").alias("at", "hash"))
-    met = asked.join(offered, ["hash", "width"]).groupBy("run", "width", "item_id", (F.col("at") - F.col("place")).alias("shift"))
+    # a window that many items or runs have is split between tasks
+    met = join_on_key(asked, offered, {"hash": "hash", "width": "width"}, "inner").groupBy("run", "width", "item_id", (F.col("at") - F.col("place")).alias("shift"))
     met = met.agg(F.collect_set(F.when(~F.col("literal"), F.col("place"))).alias("places"), F.collect_set(F.when(F.col("literal"), F.col("place"))).alias("same"))  # at most an item's windows
     ours = items.select("item_id", "width", "wanted", "worded", F.col("slots").alias("ours"))
-    met = met.join(distinct.select("run", "width", "theirs"), ["run", "width"]).join(ours, ["item_id", "width"])
+    met = join_on_key(met, distinct.select("run", "width", "theirs"), {"run": "run", "width": "width"}, "inner").withColumn("_width", F.col("width"))
+    met = join_on_key(met, ours, {"item_id": "item_id", "_width": "width"}, "inner").drop("_width")
     pairs = _slot_pairs(F.col("places"), F.col("width"), F.col("shift"))
     held = _held(F.col("places"), F.col("same"), F.col("width"), F.col("pairs"))
     met = met.withColumn("pairs", pairs).withColumn("held", held).where(F.size("held.places") > 0)
@@ -234,7 +232,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     )
     worded = F.size(F.array_intersect("places", "worded")) / F.greatest(F.size("worded"), F.lit(1))
     share = F.greatest(F.size("places") / F.col("wanted"), worded)
-    return found.select("doc_id", "item_id", F.least(share, F.lit(1.0)).alias("coverage"), "reparameterised").where(F.col("coverage") >= coverage)
+    found = found.select("doc_id", "item_id", F.least(share, F.lit(1.0)).alias("coverage"), "reparameterised").where(F.col("coverage") >= coverage)
+    short = _short(benchmark, items)
+    return found if short.isEmpty() else found.unionByName(_equal(docs, short))
+
+
+def _words(text: str) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}$€£%]+", " "))
+
+
+def _short(benchmark: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, words) of items that have words but no window."""
+    rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), _words("text").alias("words"))
+    return rows.where(F.col("words") != "").join(items.select("item_id"), "item_id", "left_anti").distinct()
+
+
+def _equal(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """Documents that consist of the words of a short item."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _words("text").alias("words"))
+    met = join_on_key(rows, short, {"words": "words"}, "inner").select("doc_id", "item_id").distinct()
+    return met.select("doc_id", "item_id", F.lit(1.0).alias("coverage"), F.lit(False).alias("reparameterised"))
+
+
+def _filter(items: DataFrame) -> np.ndarray:
+    """The window hashes reduced to the places of a filter of fixed size; Spark packs them into words of 64 places."""
+    place = items.select(F.explode("windows").alias("w")).select(F.shiftrightunsigned("w", 64 - BITS).alias("place"))
+    word = F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), CAST(place % 64 AS INT))")).alias("bits")
+    packed = place.groupBy(F.floor(F.col("place") / 64).alias("word")).agg(word).toArrow()  # at most 2^BITS / 64 rows
+    mask = np.zeros(1 << (BITS - 6), np.int64)
+    mask[packed["word"].to_numpy()] = packed["bits"].to_numpy()
+    return mask.view(np.uint8)
 
 
 def _slot_pairs(places: Column, width: Column, shift: Column) -> Column:

@@ -65,3 +65,58 @@ def test_one_changed_value_leaves_the_other_windows(spark):
     item = "A farmer sells 12 boxes of ripe pears at the old market and then he drives home again to fetch another 12 boxes for his neighbour in town."
     changed = item.replace("another 12", "another 15")
     assert leaks(spark, item, item, f"Some words. {changed} More words.", "Some words, and 12 boxes, and 15 boxes.") == [(0, False), (1, False)]
+
+
+def test_short_items_are_whole_texts(spark):
+    items = spark.createDataFrame([(1, "Paris"), (2, "Yes, no!"), (3, "..."), (4, None), (5, "paris"), (6, "one two three four")], "item_id long, text string")
+    docs = [(1, " PARIS. "), (2, "in Paris"), (3, "yes no"), (4, "no yes"), (5, ""), (6, None), (7, "one two three four"), (None, "Paris")]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.coverage) for r in found) == [(1, 1, 1.0), (1, 5, 1.0), (3, 2, 1.0), (7, 6, 1.0)]
+
+
+def test_filter_of_window_hashes(spark):
+    values = [0, -1, 1, 2**63 - 1, -(2**63), 12345678901234567, -98765432109876543]
+    mask = decontaminate._filter(spark.createDataFrame([(values[:4],), (values[4:],), (values[:2],)], "windows array<long>"))
+    places = {(v % 2**64) >> (64 - decontaminate.BITS) for v in values}
+    assert all(mask[p >> 3] >> (p & 7) & 1 for p in places)
+    assert int(np.unpackbits(mask).sum()) == len(places)
+    assert not decontaminate._filter(spark.createDataFrame([], "windows array<long>")).any()
+
+
+def test_template_windows_equal_a_plain_join(spark):
+    """Which items a document holds word for word or with values exchanged, window by window."""
+    rng = np.random.default_rng(7)
+    words = [f"w{n}" for n in range(40)]
+    items = [(n, " ".join(rng.choice(words, 14)) + f" costs {n + 3} dollars") for n in range(30)]
+    docs = []
+    for n in range(60):
+        item = items[n % 30][1].split()
+        if n % 4 == 1:
+            item = [str(900 + n) if w.isdigit() else w for w in item]  # other figures
+        if n % 4 == 2:
+            item[6] = "elsewhere"  # breaks the windows around
+        if n % 4 == 3:
+            item = item[:9]
+        docs.append((n, "before " + " ".join(item) + " after and so on"))
+
+    def canonical(text):
+        out = []
+        for word in text.split():
+            out.append(("N", word) if word.isdigit() else ("U", word) if word == "dollars" and out and out[-1][0] == "N" else (word, None))
+        return out
+
+    want = set()
+    for d, text in docs:
+        theirs = canonical(text)
+        for i, item in items:
+            ours, held, total = canonical(item), 0, 0
+            for at in range(len(ours) - decontaminate.WIDTH + 1):
+                mine = [kind for kind, _ in ours[at : at + decontaminate.WIDTH]]
+                total += 1
+                held += any([kind for kind, _ in theirs[k : k + decontaminate.WIDTH]] == mine for k in range(len(theirs)))
+            if held / total >= decontaminate.COVERAGE:
+                want.add((d, i))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in found.collect()}
+    assert set(got) == want and {d for d, _ in want} >= {n for n in range(60) if n % 4 < 2}
+    assert all(got[d, i] == (d % 4 == 1) for d, i in got if d % 30 == i)
