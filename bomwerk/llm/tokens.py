@@ -1,8 +1,8 @@
 """Token counts of whole texts with a public tokenizer.
 
-White space is a proven boundary: the tokenizer's pattern never matches across it and
-its normalisation never joins what it separates, so the tokens on its two sides do not
-depend on each other. A huge text is encoded in overlapping chunks with offsets; two
+White space is a boundary where the tokenizer's file shows it: its normalisation never joins
+what white space separates, its pattern never matches across it and drops it, so the tokens
+on its two sides do not depend on each other. With any other file, texts are encoded whole. A huge text is encoded in overlapping chunks with offsets; two
 neighbours are spliced at a boundary in their overlap from which both have the same
 tokens, and an overlap without one is widened. Shorter texts are encoded word by word:
 the distinct words of a batch are chunks of one text, cut at the same boundaries.
@@ -10,6 +10,7 @@ the distinct words of a batch are chunks of one text, cut at the same boundaries
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,31 @@ CHUNK = 16_384  # characters; a longer text is encoded in chunks
 OVERLAP = 256  # characters, doubled where alignment fails
 REMEMBERED = 400_000  # words whose counts a task keeps
 SPACE = frozenset(" \t\n\r\v\f")
+# What a tokenizer's file may have for white space to be a boundary: normalisers that change
+# characters one by one, pre-tokenizers that drop white space, and patterns without any in them.
+NORMALIZERS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "BertNormalizer"}
+DROPPING = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
+PATTERNS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+
+
+def separates(file: dict) -> bool:
+    """Whether white space separates tokens, by the content of a ``tokenizers`` file."""
+
+    def parts(step: dict | None, names: str) -> list[dict]:
+        return [] if step is None else step[names] if step["type"] == "Sequence" else [step]
+
+    def harmless(step: dict) -> bool:
+        spaces = step["type"] == "Replace" and step["pattern"] == {"Regex": r"\s+"} and step["content"] == " "
+        return spaces or step["type"] in NORMALIZERS
+
+    def drops(step: dict) -> bool:
+        if step["type"] != "Split":
+            return step["type"] in DROPPING
+        return step["behavior"] == "Removed" and step["invert"] and step["pattern"].get("Regex") in PATTERNS
+
+    first = parts(file.get("pre_tokenizer"), "pretokenizers")[:1]
+    whole = all(not set(token["content"]) & SPACE and not token["lstrip"] and not token["rstrip"] for token in file["added_tokens"])
+    return whole and bool(first) and drops(first[0]) and all(harmless(step) for step in parts(file.get("normalizer"), "normalizers"))
 
 
 class Counter:
@@ -35,6 +61,7 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.separable = separates(json.loads(self.tokenizer.to_str()))
         self.chunk, self.overlap = chunk, overlap
         self.known: dict[str, int] = {}
 
@@ -121,6 +148,8 @@ class Counter:
         import pyarrow.compute as pc
 
         texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.separable:
+            return np.array([len(ids) for ids, _ in self.encode(texts.to_pylist())], np.int64)
         huge = pc.greater(pc.utf8_length(texts), self.chunk).to_numpy(zero_copy_only=False)
         codes, words, starts = batches.split(pc.if_else(pa.array(huge), "", texts))
         upto = np.concatenate([[0], np.cumsum(self.words(words)[codes] if len(codes) else codes)])

@@ -90,6 +90,21 @@ def test_few_segments_are_remembered(monkeypatch):
     assert len(coder.known) == len(coder.counts)
 
 
+def test_tokens_of_files_without_a_boundary(spark):
+    from tokenizers import Tokenizer
+
+    from bomwerk.llm import tokens
+
+    texts = [text or "" for text in ODD_TEXTS] + ["two  words\n\nand <|endoftext|> more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name, separable in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        assert tokens.Counter(path).separable is separable
+        library = Tokenizer.from_file(path)
+        want = {n: len(library.encode(text, add_special_tokens=False)) for n, text in enumerate(texts)}
+        assert {r.doc_id: r.n_tokens for r in tokens.count(docs, path).collect()} == want
+
+
 # --- filter audit ---
 
 
