@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +23,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
@@ -63,7 +68,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def run_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{_scratch.get() or checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """All folders of runs started inside are dropped at the end; write results before it."""
+    folder = run_folder(spark, "scratch")
+    outer = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(outer)
+        drop_folder(spark, folder)
 
 
 def _file_system(spark: SparkSession, folder: str):

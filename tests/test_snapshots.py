@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from bomwerk.operators.dimensions import batch_ledger
 from bomwerk.operators.mutate import delete_where, update_by_key
 from bomwerk.plans import numbering, planning, runs
-from bomwerk.session import checkpoint_dir, drop_folder, folder_exists, run_folder
+from bomwerk.session import checkpoint_dir, drop_folder, folder_exists, run_folder, scratch
 from bomwerk.sources.schemas import SCHEMAS
 from bomwerk.sources.snapshots import SnapshotTables, stored_tables
 
@@ -140,6 +140,16 @@ def test_intake_and_orders_add_nothing_when_repeated(spark, small, root):
     assert planning.purchase_order_lines(again, "1999-06-01").isEmpty()
 
 
+def test_scratch_folders_go_with_their_block(spark, small, tmp_path):
+    with scratch(spark) as folder:
+        with scratch(spark) as inner:
+            runs.ledger_stock(small).write.parquet(str(tmp_path / "out"))
+            assert inner.startswith(folder) and folder_exists(spark, inner)
+        assert folder_exists(spark, folder) and not folder_exists(spark, inner)
+    assert not folder_exists(spark, folder) and not run_folder(spark, "x").startswith(folder)
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
 def test_folders_are_dropped(spark, root):
     SnapshotTables(spark, root).change("a").replace("uom", rows(spark, "uom", {"name": "x"})).commit()
     assert folder_exists(spark, root)
