@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomwerk.session import checkpoint_dir
+from bomwerk.session import run_folder
 
 
 def numbered(
@@ -18,16 +18,15 @@ def numbered(
     Rows are range-partitioned on (keys, order), so a hot key is spread over many
     partitions. Each (partition, key) slice is numbered locally and shifted by the
     size of the slices before it. The partition of a row must not change between the
-    counting and the numbering, so the placement is written to the shared checkpoint
-    folder first. ``partitions`` sets their number, else Spark does; a large table wants
+    counting and the numbering, so the placement is written to a run folder first; a
+    ``scratch`` block drops it. ``partitions`` sets their number, else Spark does; a large table wants
     some hundred MB in each.
     """
-    checkpoint_dir(rows.sparkSession)
-    placed = (
-        rows.repartitionByRange(*([partitions] if partitions else []), *keys, *order)
-        .withColumn("_slice", F.spark_partition_id())
-        .checkpoint()
-    )
+    spark = rows.sparkSession
+    folder = run_folder(spark, "numbered")
+    placed = rows.repartitionByRange(*([partitions] if partitions else []), *keys, *order).withColumn("_slice", F.spark_partition_id())
+    placed.write.parquet(folder)
+    placed = spark.read.schema(placed.schema).parquet(folder)
     # at most one row per (slice, key): a few rows per partition, not per input row
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
