@@ -26,7 +26,6 @@ from bomwerk.llm.tables import kept, stored
 PRIOR = 0.05  # weight of the prior, as a share of the labelled documents
 CAUTION = (2.0, 2.5, 3.0, 3.5)  # a token's score is how far its log-odds are beyond so many standard errors; the best number is taken
 BEGINNINGS = (7, 6, 5)  # letters
-MOST_TOKENS = 50_000  # of the model: those with the highest z
 MOST_LABELLED = 40_000  # documents that the word counts use, drawn by hash; bounds the fit only
 CALIBRATION = 4  # one labelled document in so many is kept from the counts for the calibration
 K = 0.1  # of the extreme-value law
@@ -75,7 +74,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1).
 
     Counts documents per token over about ``MOST_LABELLED`` labelled ones; the tokens stay
-    in Spark but for the significant ones. A part of the documents is not counted: on it
+    in Spark but for the significant ones, which are the model. A part of the documents is not counted: on it
     the scores are calibrated, and the caution is chosen that fits best. A document with several labels is toxic if
     one says so; null labels and texts do not count. With one label only, every text
     gets the same score.
@@ -102,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     z = odds / F.sqrt(1 / y1 + 1 / y0)
     strong = (
         counts.where(F.col("in_all") > 1).select("token", odds.alias("odds"), z.alias("z"))
-        .where(F.abs("z") >= CAUTION[0]).orderBy(F.abs("z").desc(), "token").limit(MOST_TOKENS).collect()
+        .where(F.abs("z") >= CAUTION[0]).collect()  # of the words of a bounded sample
     )
     # in a toxic passage about one word in twenty is one of the model's
     drift = math.log(0.95)

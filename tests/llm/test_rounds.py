@@ -70,4 +70,4 @@ def test_many_in_doubt_that_are_all_refused(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
     started = time.time()
     assert near_dups.classes(docs).where("class_id <> doc_id").isEmpty()
-    assert time.time() - started < 60
+    assert time.time() - started < 180  # a minute on a machine with nothing else to do
