@@ -36,6 +36,7 @@ UNITS = frozenset(
     "hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent % $ € £".split()
 )
 WORD, NUMBER, UNIT, NAME = range(4)
+ENDS = frozenset(".!?:")  # of a sentence
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _PARTS = re.compile(r"[$€£%]|\d[\d.,]*|[^\W\d_]+")
 _FIGURE = re.compile(r"^[^\w$€£]*[$€£]?[+-]?\d")
@@ -49,7 +50,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _parts(word: str) -> list[tuple[int, str]]:
     """(kind, value) of what a word consists of: one for most words, none for mere marks."""
-    if _FIGURE.match(word):
+    if not word.isalpha() and _FIGURE.match(word):
         found = []
         for part in _PARTS.findall(word):
             if part[0].isdigit():
@@ -59,7 +60,7 @@ def _parts(word: str) -> list[tuple[int, str]]:
             else:
                 found.append((WORD, part.lower()))
         return found
-    core = "".join(c for c in word if c.isalnum())
+    core = word if word.isalnum() else "".join(filter(str.isalnum, word))
     if not core:
         return []
     if len(core) > 1 and core[0].isupper() and core[1:].islower():
@@ -78,7 +79,7 @@ class Tokens:
 
         codes, words, starts = batches.split(pc.fill_null(texts.cast(pa.string()), ""))
         parts = [_parts(word) for word in words]
-        ends = np.array([word.rstrip("\"')]»”")[-1:] in tuple(".!?:") for word in words], bool)
+        ends = np.array([not word[-1].isalnum() and word.rstrip("\"')]»”")[-1:] in ENDS for word in words], bool)
         number = np.array([len(p) for p in parts], np.int64)
         offset = np.concatenate([[0], np.cumsum(number)])
         kinds = np.array([kind for p in parts for kind, _ in p], np.int64)
@@ -117,7 +118,7 @@ class Tokens:
         last = len(self.hash) - width + 1
         if last <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        text = np.searchsorted(self.starts, np.arange(last), "right") - 1
+        text = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))[:last]
         worded = np.concatenate([[0], np.cumsum(self.kind == WORD)])
         words = worded[width : width + last] - worded[:last]
         fits = np.arange(last) + width <= self.starts[text + 1]
