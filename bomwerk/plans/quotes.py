@@ -120,7 +120,7 @@ def price_upsert(tables: Tables, requests: DataFrame | None = None) -> DataFrame
 
 def price_changes(tables: Tables, requests: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The price rows to change (name, price_list_rate), and a selling price for each item that has no price."""
-    changes = price_upsert(tables, requests)
+    changes = once(tables, "price changes", lambda: price_upsert(tables, requests).filter(F.col("action") != "keep"))
     updates = changes.filter(F.col("action") == "update").select("name", "price_list_rate")
     new = changes.filter(F.col("action") == "insert").select(
         F.concat(F.lit("IP-"), "item_code").alias("name"), "item_code", "price_list", "currency",

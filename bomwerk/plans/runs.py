@@ -10,9 +10,11 @@ from bomwerk.operators.dimensions import Tables, add_sums, batch_ledger, batch_s
 from bomwerk.operators.lookup import lookup
 from bomwerk.operators.mutate import update_by_key
 from bomwerk.operators.ranking import numbered
+from bomwerk.operators.shared import Run
 from bomwerk.plans.planning import purchase_order_lines
 from bomwerk.plans.quotes import new_leads, price_changes, quote_headers, quote_lines
 from bomwerk.session import run_folder
+from bomwerk.sources.requests import usable
 from bomwerk.sources.snapshots import SnapshotTables, stored_tables
 
 # Fixed value of the ERP: the tax template of a configurator quotation.
@@ -49,17 +51,20 @@ def intake(store: SnapshotTables, requests: DataFrame, run: str) -> SnapshotTabl
     """Leads, prices, quotations and their lines of ``requests``, all in one commit.
 
     Rows are appended; of the prices only the buckets with a changed rate are written
-    anew. A run that has committed is not done again.
+    anew. A run that has committed is not done again. The requests are read and parsed
+    once, and the prices worked out once, for all that is made of them.
     """
     if store.done(run):
         return store.latest()
-    updates, inserts = price_changes(store, requests)
-    change = store.change(run)
-    change.append("quotation_item", new_quotation_lines(store, requests))
-    change.append("quotation", new_quotations(store, change.added("quotation_item"), requests))
-    change.append("lead", new_leads(store, requests))
-    change.rewrite("item_price", updates, lambda rows: update_by_key(rows, updates, ["name"]))
-    return change.append("item_price", inserts).commit()
+    with Run(store) as kept:
+        parsed = kept.once("requests", lambda: usable(requests).drop("payload"))
+        updates, inserts = price_changes(kept, parsed)
+        change = store.change(run)
+        change.append("quotation_item", new_quotation_lines(kept, parsed))
+        change.append("quotation", new_quotations(kept, change.added("quotation_item"), parsed))
+        change.append("lead", new_leads(kept, parsed))
+        change.rewrite("item_price", updates, lambda rows: update_by_key(rows, updates, ["name"]))
+        return change.append("item_price", inserts).commit()
 
 
 def _after_intake(tables: Tables) -> SnapshotTables:

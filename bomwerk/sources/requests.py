@@ -81,4 +81,6 @@ def parse_requests(requests: DataFrame) -> DataFrame:
 
 
 def usable(requests: DataFrame) -> DataFrame:
-    return parse_requests(requests).filter(F.col("reason").isNull())
+    """The usable ones of ``requests``; what ``parse_requests`` gave is not parsed again."""
+    parsed = requests if {"articles", "reason"} <= set(requests.columns) else parse_requests(requests)
+    return parsed.filter(F.col("reason").isNull())
