@@ -349,8 +349,11 @@ def planning_sheet_pegging(tables: Tables, lines_per_part: int = LINES_PER_PART)
     return planning_pegging(tables, lines_per_part=lines_per_part).select(F.lit("demand").alias("source"), "item_code", "part", "bom_item")
 
 
-def purchase_order_lines(tables: Tables, delivery_date: str, guard: str = "global") -> DataFrame:
-    """Sheet rows to order, for suppliers without a draft order on the delivery date."""
+def purchase_order_lines(tables: Tables, delivery_date: str, guard: str = "global", sheet: DataFrame | None = None) -> DataFrame:
+    """Sheet rows to order, for suppliers without a draft order on the delivery date.
+
+    ``sheet`` has the rows of a planning sheet made before; without one it is planned here.
+    """
     day = F.lit(delivery_date).cast("date")
     drafts = (
         tables["purchase_order"]
@@ -358,7 +361,8 @@ def purchase_order_lines(tables: Tables, delivery_date: str, guard: str = "globa
         .select("supplier")
         .distinct()
     )
-    wanted = _sheet_rows(tables, guard).filter(filled(F.col("supplier")) & (F.col("qty") > 0))
+    sheet = _sheet_rows(tables, guard) if sheet is None else sheet
+    wanted = sheet.filter(filled(F.col("supplier")) & (F.col("qty") > 0))
     return join_on_key(wanted, drafts, {"supplier": "supplier"}, "left_anti").select(
         "supplier",
         "source",

@@ -11,7 +11,7 @@ from bomwerk.operators.lookup import lookup
 from bomwerk.operators.mutate import update_by_key
 from bomwerk.operators.ranking import numbered
 from bomwerk.operators.shared import Run
-from bomwerk.plans.planning import purchase_order_lines
+from bomwerk.plans.planning import planning_sheet, purchase_order_lines
 from bomwerk.plans.quotes import new_leads, price_changes, quote_headers, quote_lines
 from bomwerk.session import run_folder
 from bomwerk.sources.requests import usable
@@ -93,16 +93,20 @@ def quotation_lines_after_intake(tables: Tables) -> DataFrame:
     return _after_intake(tables)["quotation_item"]
 
 
-def order_run(store: SnapshotTables, delivery_date: str, run: str) -> SnapshotTables:
+def order_run(store: SnapshotTables, delivery_date: str, run: str, sheet: DataFrame | None = None) -> SnapshotTables:
     """Draft purchase orders and their lines for a delivery date, in one commit.
 
     A supplier that has a draft for that date gets no other one, so a further run with
-    another id adds nothing either.
+    another id adds nothing either. ``sheet`` is a stored planning sheet, where several runs
+    order from the same one.
     """
     if store.done(run):
         return store.latest()
-    lines = purchase_order_lines(store, delivery_date).withColumn("parent", F.concat("supplier", F.lit("/"), F.col("schedule_date").cast("string")))
-    change = store.change(run).append("purchase_order_item", numbered(lines, ["parent"], ["source", "item_code"], "idx"))
+    name = F.concat("supplier", F.lit("/"), F.col("schedule_date").cast("string"))
+    with Run(store) as kept:
+        # numbering reads its rows twice, to find ranges and to place them
+        lines = kept.once("order lines", lambda: purchase_order_lines(store, delivery_date, sheet=sheet).withColumn("parent", name))
+        change = store.change(run).append("purchase_order_item", numbered(lines, ["parent"], ["source", "item_code"], "idx"))
     day = F.col("schedule_date")
     heads = change.added("purchase_order_item").groupBy("parent", "schedule_date").agg(F.count("*").alias("lines"))
     supplier = F.expr("left(parent, length(parent) - length(CAST(schedule_date AS STRING)) - 1)")
@@ -113,8 +117,11 @@ def order_run(store: SnapshotTables, delivery_date: str, run: str) -> SnapshotTa
 def _after_orders(tables: Tables, delivery_date: str) -> SnapshotTables:
     spark = tables["purchase_order"].sparkSession
     store = stored_tables(spark, run_folder(spark, "orders"), tables, ["purchase_order", "purchase_order_item"])
-    for run in ("first", "first", "second"):
-        store = order_run(store, delivery_date, run)
+    with Run(tables) as kept:
+        # orders change nothing that the sheet is made of, so it is planned once
+        sheet = kept.once("sheet", lambda: planning_sheet(tables))
+        for run in ("first", "first", "second"):
+            store = order_run(store, delivery_date, run, sheet)
     return store
 
 

@@ -7,7 +7,7 @@ from conftest import by
 from pyspark.sql import functions as F
 from test_quotes import intake  # noqa: F401
 
-from bomwerk.plans import runs
+from bomwerk.plans import planning, runs
 from bomwerk.session import run_folder
 from bomwerk.sources.snapshots import SnapshotTables
 
@@ -38,3 +38,18 @@ def test_intake_reads_its_requests_once(spark, intake, counted):  # noqa: F811
         **{f"QTN-r1-{n}": n for n in (1, 2, 3, 4)}, **{f"QTN-r2-{n}": n for n in (1, 2, 3)}
     }
     assert {name: row["price_list_rate"] for name, row in by(store["item_price"], "name").items()} == {"IP-I1": 90, "IP-I201": 8, "IP-CU00003": 6}
+
+
+def test_order_runs_share_a_sheet(small, counted, monkeypatch):
+    plain = planning._sheet_rows(small, "global").count()
+    made = []
+
+    def sheet(tables, guard):
+        rows, count = counted(build(tables, guard), "item_code")
+        made.append(count)
+        return rows
+
+    build = planning._sheet_rows
+    monkeypatch.setattr(planning, "_sheet_rows", sheet)
+    runs.purchase_order_items_after_run(small, "1999-06-01").count()
+    assert sum(count.value for count in made) == plain > 0
