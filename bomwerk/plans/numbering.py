@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bomwerk.operators.dimensions import Tables
 from bomwerk.operators.lookup import lookup
 from bomwerk.operators.ranking import numbered
+from bomwerk.operators.shared import Run
 from bomwerk.session import run_folder
 from bomwerk.sources.snapshots import SnapshotTables
 
@@ -79,12 +80,14 @@ def number_run(store: SnapshotTables, rows: DataFrame, run: str) -> SnapshotTabl
 
 def _in_runs(tables: Tables) -> SnapshotTables:
     """All documents named in two runs, the second of which goes on where the first ended, and is repeated."""
-    rows = _documents(tables)
-    store = SnapshotTables(rows.sparkSession, run_folder(rows.sparkSession, "series"))
-    first = F.coalesce(F.col("created") < F.lit(SECOND_RUN).cast("timestamp"), F.lit(True))
-    store = number_run(store, rows.where(first), "first")
-    for _ in range(2):
-        store = number_run(store, rows.where(~first), "second")
+    with Run(tables) as kept:
+        # both runs name and count them, and numbering reads its rows twice
+        rows = kept.once("documents", lambda: _documents(tables))
+        store = SnapshotTables(rows.sparkSession, run_folder(rows.sparkSession, "series"))
+        first = F.coalesce(F.col("created") < F.lit(SECOND_RUN).cast("timestamp"), F.lit(True))
+        store = number_run(store, rows.where(first), "first")
+        for _ in range(2):
+            store = number_run(store, rows.where(~first), "second")
     return store
 
 

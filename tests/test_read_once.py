@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pytest
-from conftest import by
+from conftest import by, frame
 from pyspark.sql import functions as F
 from test_quotes import intake  # noqa: F401
 
-from bomwerk.plans import planning, runs
+from bomwerk.plans import numbering, planning, runs
 from bomwerk.session import run_folder
 from bomwerk.sources.snapshots import SnapshotTables
 
@@ -53,3 +53,12 @@ def test_order_runs_share_a_sheet(small, counted, monkeypatch):
     monkeypatch.setattr(planning, "_sheet_rows", sheet)
     runs.purchase_order_items_after_run(small, "1999-06-01").count()
     assert sum(count.value for count in made) == plain > 0
+
+
+def test_documents_are_gathered_once(spark, counted, monkeypatch):
+    given = [{"series": s, "created": f"202{n % 2 + 3}-02-01 00:00:{n:02}", "document": f"{s}{n}"} for n in range(20) for s in ("VB.YY.##", "PM.YY.#####")]
+    rows, made = counted(frame(spark, "series STRING, created TIMESTAMP, document STRING", given), "document")
+    monkeypatch.setattr(numbering, "_documents", lambda tables: rows)
+    names = by(numbering.document_numbers_in_runs({}), "document")
+    assert made.value == len(given) == len(names)
+    assert names["VB.YY.##0"]["name"] == "VB2301" and names["VB.YY.##19"]["name"] == "VB2410"
