@@ -5,9 +5,11 @@ from __future__ import annotations
 import pytest
 from conftest import by, frame
 from pyspark.sql import functions as F
+from test_planning import bom, item, line, unit
 from test_quotes import intake  # noqa: F401
 
-from bomwerk.plans import numbering, planning, runs
+from bomwerk.operators.dimensions import at_nodes, batch_ledger
+from bomwerk.plans import numbering, planning, report, runs
 from bomwerk.session import run_folder
 from bomwerk.sources.snapshots import SnapshotTables
 
@@ -62,3 +64,40 @@ def test_documents_are_gathered_once(spark, counted, monkeypatch):
     names = by(numbering.document_numbers_in_runs({}), "document")
     assert made.value == len(given) == len(names)
     assert names["VB.YY.##0"]["name"] == "VB2301" and names["VB.YY.##19"]["name"] == "VB2410"
+
+
+def test_report_reads_its_requests_once(make, counted):
+    tables = make(
+        item=[item("P"), item("part"), item("own", has_batch_no=1)], bom=[bom("P")], uom_conversion_detail=[unit("part")],
+        bom_explosion_item=[line("P", "part", 1, 2), line("P", "own", 2, 1)],
+        bin=[dict(item_code="part", warehouse="W", actual_qty=9, ordered_qty=0)],
+        stock_ledger_entry=[dict(item_code="own", batch_no="7-own-HPL1", warehouse="W", actual_qty=3)],
+        quotation=[dict(name="Q", klant_referentie="7", hpl_variant="HPL1")],
+        located_request=[dict(request_id=f"r{n}", quotation="Q", bom="BOM-P", qty_to_produce=1, warehouse=w) for n, w in enumerate(("W", None, "X"))],
+    )
+    requests, made = counted(tables["located_request"], "request_id")
+    rows = by(report.bom_stock_report(tables, requests), "request_id", "item_code")
+    assert made.value == 3
+    assert {key: row["in_stock_qty"] for key, row in rows.items()} == {
+        ("r0", "part"): 9, ("r0", "own"): 3, ("r1", "part"): 9, ("r1", "own"): 3, ("r2", "part"): None, ("r2", "own"): 0
+    }
+
+
+def test_ledger_of_some_items(spark, make):
+    entries = [dict(item_code=i, batch_no=f"7-{i}-HPL1", warehouse=w, actual_qty=q, entry=n) for n, (i, w, q) in enumerate((("a", "W", 1), ("b", "W", 2), ("a", "V", 4), ("a", None, 8)))]
+    tables = make(stock_ledger_entry=entries)
+    only = frame(spark, "item_code STRING", [{"item_code": "a"}, {"item_code": "a"}])
+    assert {key: row["ledger_qty"] for key, row in by(batch_ledger(tables, items=only), "item_code").items()} == {"a": 13}
+    nodes = frame(spark, "node STRING, warehouse STRING", [{"node": n, "warehouse": w} for n, w in (("all", "W"), ("all", "V"), ("one", "W"))])
+    assert {key: row["ledger_qty"] for key, row in by(batch_ledger(tables, nodes, only), "node", "item_code").items()} == {
+        ("", "a"): 13, ("all", "a"): 5, ("one", "a"): 1
+    }
+
+
+def test_stock_is_read_once_for_all_nodes(spark, make, counted):
+    bins, made = counted(make(bin=[dict(item_code="a", warehouse=w, actual_qty=q) for w, q in (("W", 1), ("V", 2), (None, 4))])["bin"], "item_code")
+    # a node that is given twice counts twice, as in a join
+    nodes = frame(spark, "node STRING, warehouse STRING", [{"node": n, "warehouse": w} for n, w in (("all", "W"), ("all", "V"), ("all", "V"))])
+    rows = at_nodes(bins, nodes).select("item_code", "node", "warehouse").collect()
+    assert made.value == 3
+    assert sorted((r.node, r.warehouse or "-") for r in rows) == [("", "-"), ("", "V"), ("", "W"), ("all", "V"), ("all", "V"), ("all", "W")]
